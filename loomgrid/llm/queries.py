@@ -16,6 +16,24 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op01_kd_shards import sharded
+
+    return sharded(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op04_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, length=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
