@@ -7,7 +7,7 @@ format counts it as the section's last byte. So files go through Spark's own com
 
 Layout of a file, all numbers little-endian but keys (big-endian, sign bit flipped, so that byte order is id order):
 
-    data block*   entries: u16 shared, u16 own, u32 value bytes, own key bytes, value; then u32 crc of all before, LF
+    data block*   zstd of the entries (u16 shared, u16 own, u32 value bytes, own key bytes, value); then u32 crc of all before, LF
     filter        u32 hashes, then the bits, LF
     index         per block: key (9 bytes), u64 place, u32 size, LF
     footer        u64 filter place, u32 filter size, u64 index place, u32 index size, u64 entries, u64 tokens,
@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,7 @@ class Writer:
         self.shard, self.width, self.block_bytes = shard, width, block_bytes
         self.block, self.size, self.first, self.last, self.place = [], 0, b"", b"", 0
         self.index, self.ids, self.tokens = [], [], 0
+        self.zstd = zstandard.ZstdCompressor(level=1)
 
     def add(self, doc_id: int, ids: bytes):
         key = key_of(doc_id)
@@ -82,7 +84,7 @@ class Writer:
             yield self._section()
 
     def _section(self) -> bytes:
-        body = b"".join(self.block)
+        body = self.zstd.compress(b"".join(self.block))
         body += struct.pack("<I", zlib.crc32(body))
         self.index.append(self.first + struct.pack("<QI", self.place, len(body)))
         self.block, self.size = [], 0
@@ -130,8 +132,9 @@ class Reader:
         raw = bytes(self.content[at : at + size])
         if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
             raise ValueError("a block is damaged")
+        raw = zstandard.ZstdDecompressor().decompress(raw[:-4])
         key, i = b"", 0
-        while i < size - 4:
+        while i < len(raw):
             shared, own, n = struct.unpack_from("<HHI", raw, i)
             key = key[:shared] + raw[i + 8 : i + 8 + own]
             yield key, raw[i + 8 + own : i + 8 + own + n]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import bodies, id_column, text_rows
-from .words import BYTE_BPE, NOT_PLAIN, Pieces, as_text, byte_vocabulary, per_worker
+from .words import BYTE_BPE, NOT_PLAIN, Pieces, as_text, byte_vocabulary, listed, per_worker
 
 #: Pairs of tokens whose test a worker remembers.
 MOST_PAIRS = 1_000_000
@@ -48,7 +48,7 @@ class PrefixBpe:
         self.alone: dict[int, bool] = {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces = Pieces(lambda words: [self.word(w.encode()) if w not in self.added else [self.added[w]] for w in words])
+        self.pieces = Pieces(lambda words: listed([self.word(w.encode()) if w not in self.added else [self.added[w]] for w in words]))
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(node, rank of the merge that takes it up) from the leaf at the border to the token; side 0: its left border, 1: its right."""

@@ -41,51 +41,71 @@ class Numbered(dict):
 
 
 class Pieces:
-    """Words to arrays of ids, through spell(words) -> list of id lists, which sees each distinct word once."""
+    """Words to arrays of ids, through spell(words) -> (ids one after another, number of ids of each word), which sees a new word once."""
 
     def __init__(self, spell, dtype=np.uint32, most: int = MOST_WORDS):
         self.spell, self.dtype, self.most = spell, dtype, most
-        self.clear()
+        self.hold([], np.zeros(0, dtype), np.zeros(0, np.int64))
 
-    def clear(self):
+    def hold(self, words: list, flat: np.ndarray, lens: np.ndarray):
         self.numbers = Numbered()
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.starts = np.zeros(1 << 14, np.int64)  # of word n, with the end of the last
-        self.count = 0
+        self.numbers.update(zip(words, range(len(words))))
+        self.flat = np.zeros(max(1 << 16, 2 * flat.size), self.dtype)
+        self.flat[: flat.size] = flat
+        self.starts = np.zeros(max(1 << 14, 2 * len(words)) + 1, np.int64)  # of word n, with the end of the last
+        self.starts[1 : len(words) + 1] = np.cumsum(lens)
+        self.uses = np.zeros(self.starts.size, np.int64)
+        self.count = len(words)
 
     def _learn(self):
         new = self.numbers.new
         if not new:
             return
-        spelt = self.spell(new)
-        lens = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        flat, lens = self.spell(new)
         at, n = int(self.starts[self.count]), self.count
-        end = at + int(lens.sum())
+        end = at + len(flat)
         while end > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) + 1 > self.starts.size:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[at:end] = np.fromiter((i for x in spelt for i in x), self.dtype, end - at)
+            self.starts, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.uses))
+        self.flat[at:end] = flat
         self.starts[n + 1 : n + 1 + len(new)] = at + np.cumsum(lens)
         self.count += len(new)
         self.numbers.new = []
 
+    def _forget(self):
+        """Keeps the words used most often, a third of those that may be held."""
+        n = self.count
+        uses, lens = self.uses[:n], np.diff(self.starts[: n + 1])
+        keep = np.zeros(n, bool)
+        keep[np.argpartition(uses, n - self.most // 3)[n - self.most // 3 :]] = True
+        keep &= uses > 1
+        flat = self.flat[: int(self.starts[n])][np.repeat(keep, lens)]
+        self.hold([w for w, k in zip(self.numbers, keep.tolist()) if k], flat, lens[keep])
+
     def ids(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
         if self.count > self.most:
-            self.clear()
+            self._forget()
         find = self.numbers.__getitem__
-        which = [np.fromiter(map(find, t), np.int64, len(t)) for t in texts]
-        self._learn()
         of = np.array([len(t) for t in texts], np.int64)
-        w = np.concatenate(which) if which else np.zeros(0, np.int64)
-        lens = self.starts[w + 1] - self.starts[w]
+        w = np.fromiter((n for t in texts for n in map(find, t)), np.int64, int(of.sum()))
+        self._learn()
+        self.uses[: self.count] += np.bincount(w, minlength=self.count)
+        starts = self.starts[w]
+        lens = self.starts[w + 1] - starts
         ends = np.cumsum(lens)
-        at = np.repeat(self.starts[w] - (ends - lens), lens) + np.arange(int(ends[-1]) if w.size else 0)
+        at = np.repeat(starts - (ends - lens), lens)
+        at += np.arange(at.size)
         stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of)])]
         return self.flat[at], np.diff(stops)
 
 
+def listed(spelt: list[list[int]]) -> tuple[list[int], list[int]]:
+    """What a spell() returns, from lists of ids."""
+    return [i for x in spelt for i in x], [len(x) for x in spelt]
+
+
 class Hashes:
     """Words (bytes) to 64-bit hashes, one text at a time."""
 
@@ -137,13 +157,12 @@ def word_bpe(path: str):
 
     def spell(words):
         """Words joined by blanks: the last token of each is marked as such."""
-        out = []
-        for at in range(0, len(words), 2000):
-            ids = np.array(library.encode(" ".join(words[at : at + 2000]), add_special_tokens=False).ids, np.int64)
-            out += [x.tolist() for x in np.split(ids, np.flatnonzero(last[ids])[:-1] + 1)]
-        if len(out) != len(words):
-            out = [library.encode(w, add_special_tokens=False).ids for w in words]
-        return out
+        got = library.encode_batch([" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in got])
+        lens = np.diff(np.flatnonzero(last[ids]), prepend=-1)
+        if lens.size != len(words):
+            return listed([library.encode(w, add_special_tokens=False).ids for w in words])
+        return ids, lens
 
     pieces = Pieces(spell)
 
