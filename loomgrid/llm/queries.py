@@ -46,6 +46,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op03_hamming import hamming_neighbours, sign_codes
+
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = sign_codes(vectors)
+    return hamming_neighbours(codes, codes.where("id % 50 = 0"), k=10)
+
+
+def op6_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op06_anisotropic import nearest_products, usable
+
+    rows = usable(table(spark, sf_dir, "embeddings"))
+    return nearest_products(rows, rows.where("id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
