@@ -61,6 +61,12 @@ def op6_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_products(rows, rows.where("id % 20 = 0"), k=20)
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op08_maxent import scored
+
+    return scored(table(spark, sf_dir, "documents"), by=7, held=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
