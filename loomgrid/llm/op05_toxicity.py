@@ -26,7 +26,7 @@ from .op08_maxent import fold
 from .words import MOST_WORDS, ascii_words, per_worker
 
 #: Labelled rows to learn from, discount, standard deviations, bytes of a stem, expressions that may be kept.
-SAMPLE, D, Z, STEM, MOST = 40_000, 0.75, 4.0, 7, 1 << 18
+SAMPLE, D, Z, STEM, MOST = 40_000, 0.75, 4.5, 7, 1 << 18
 EDGE = b".,;:!?\"'()[]{}<>|*#-_/\\"
 U = np.uint64
 
