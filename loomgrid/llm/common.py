@@ -82,8 +82,8 @@ def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("body"))
 
 
-def bodies(batch: pa.RecordBatch, most: int = PACK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of a batch of text_rows(), in slices of about `most` bytes."""
+def bodies(batch: pa.RecordBatch, most: int = PACK_BYTES, places: bool = False) -> Iterator[tuple]:
+    """(ids, texts) of a batch of text_rows(), in slices of about `most` bytes; places: (place in the batch, ids, texts)."""
     if not batch.num_rows:
         return
     ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
@@ -92,7 +92,8 @@ def bodies(batch: pa.RecordBatch, most: int = PACK_BYTES) -> Iterator[tuple[np.n
     at, before = 0, 0
     while at < len(ids):
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield ids[at:to], sizes.slice(at, to - at).to_pylist()
+        found = ids[at:to], sizes.slice(at, to - at).to_pylist()
+        yield (at, *found) if places else found
         at, before = to, int(ends[to - 1])
 
 
@@ -125,34 +126,62 @@ def unblob(body: bytes) -> list[np.ndarray]:
 PACKS = "pack long, docs long, raw long, body binary"
 
 
-def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = PACK_BYTES) -> DataFrame:
-    """Documents in packs, sorted by id in each: a written table of (pack, docs, raw bytes, body). A pack is one row, so later stages see the same packs whatever is retried."""
+def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = PACK_BYTES, keep: bool = False) -> DataFrame:
+    """Documents in packs, sorted by id in each: a written table of (pack, docs, raw bytes, body). A pack is one row, so later stages see the same packs whatever is retried.
+
+    keep: with a column rest, all columns of the documents' rows, for unpacked_rows()."""
+    source = text_rows(docs, text, doc_id)
+    if keep:
+        source = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("__body"), *docs.columns)
+    names = ["pack", "docs", "raw", "body"] + ["rest"] * keep
 
     def pack(batches):
         task = TaskContext.get()
         seq = task.partitionId() << 32
-        held, size = [], 0
+        held, rests, size = [], [], 0
 
         def out():
             nonlocal seq
-            held.sort(key=lambda x: x[0])
-            raw = np.frombuffer(b"".join(x[1] for x in held), np.uint8)
-            row = (seq, len(held), raw.size, blob(np.array([x[0] for x in held], np.int64), np.array([len(x[1]) for x in held], np.int64), raw))
+            order = sorted(range(len(held)), key=lambda k: held[k][0])
+            rows = [held[k] for k in order]
+            raw = np.frombuffer(b"".join(x[1] for x in rows), np.uint8)
+            row = [seq, len(rows), raw.size, blob(np.array([x[0] for x in rows], np.int64), np.array([len(x[1]) for x in rows], np.int64), raw)]
+            if keep:
+                whole = pa.Table.from_batches(rests).take(pa.array(order))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(whole)
+                row.append(sink.getvalue().to_pybytes())
             seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["pack", "docs", "raw", "body"])
+            kinds = [pa.int64()] * 3 + [pa.binary()] * (len(names) - 3)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
         for batch in batches:
-            for ids, texts in bodies(batch, most):
-                for i, x in zip(ids.tolist(), texts):
+            if keep:
+                rest = batch.drop_columns(["__id", "__body", text])
+                batch = pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__body"), pa.compute.is_null(batch.column(text))], ["doc_id", "body", "none"])
+                rest = rest.append_column("__none", batch.column("none"))
+            for at, ids, texts in bodies(batch, most, places=True):
+                start = 0
+                for k, (i, x) in enumerate(zip(ids.tolist(), texts)):
                     if held and (size + len(x) > most or len(held) >= 1 << 16):
+                        if keep and k > start:
+                            rests.append(rest.slice(at + start, k - start))
                         yield out()
-                        held, size = [], 0
+                        held, rests, size, start = [], [], 0, k
                     held.append((i, x))
                     size += len(x)
+                if keep:
+                    rests.append(rest.slice(at + start, len(texts) - start))
         if held:
             yield out()
 
-    return written(text_rows(docs, text, doc_id).mapInArrow(pack, PACKS), "packs", "uncompressed")
+    return written(source.mapInArrow(pack, PACKS + ", rest binary" * keep), "packs", "uncompressed")
+
+
+def unpacked_rows(rest: bytes) -> pa.Table:
+    """All columns but the text of a pack's rows, in the pack's order, and __none: where the text is null."""
+    return pa.ipc.open_stream(rest).read_all()
 
 
 def pack_texts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -199,3 +199,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sam
                 yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(fold(ids, by) == held), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return text_rows(docs, text, doc_id).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, all columns, whose text toxicity() would not predict to be toxic. No shuffle; rows are judged by their texts alone."""
+    models, curve = learned(docs, labels, by, held, sample, text, doc_id)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text).cast(pa.binary()).fill_null(b"")
+            keep = np.ones(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                x = models.features(texts[k].as_py())
+                keep[k] = curve[0] + x[0] * curve[1] + x[1] * curve[2] < 0 or not any(x)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_packs, at_parts, blob, dropped, id_column, mix, pack_texts, packs, parts_for, settle, to_parts, unblob, written
+from .common import at_packs, at_parts, blob, dropped, id_column, mix, pack_texts, packs, parts_for, settle, to_parts, unblob, unpacked_rows, written
 
 #: Bytes of a gram; a run has at most length - GRAM + 1 windows.
 GRAM = 50
@@ -190,15 +190,17 @@ def _classes(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[by], back[of] if h.size else of
 
 
-def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), with the kept bytes as `kept` if keep_text.
+def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", cut: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256); with cut, the rows of `docs` with what is left of their texts instead.
+
+    A cut text loses the bytes of characters that are cut in half too; null texts stay null.
 
     Null texts count as empty. Texts shorter than `length` are kept whole. Rows with equal ids are told apart by their
     order in the packs: one of them counts as the earlier. Strings are judged on the input, and never cross documents."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
-    spark = docs.sparkSession
-    source = packs(docs, text, doc_id)
+    spark, names = docs.sparkSession, docs.columns
+    source = packs(docs, text, doc_id, keep=cut)
     total = source.agg(F.sum("raw")).first()[0] or 0
     n_parts = parts_for(spark, total)
 
@@ -323,7 +325,7 @@ def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str
     verdicts = written(at_parts(asked.where("part >= 0"), n_parts, judge), "verdicts")
     settle(spark)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = docs.schema if cut else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def finish(pack, body, told):
         ids, starts, raw = pack_texts(body)
@@ -340,8 +342,13 @@ def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str
         begins[starts[:-1][starts[:-1] < raw.size]] |= gone[starts[:-1][starts[:-1] < raw.size]]
         taken, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
         kept = [raw[a:b][~gone[a:b]].tobytes() if taken[b] > taken[a] else raw[a:b].tobytes() for a, b in itertools.pairwise(starts.tolist())]
-        out = {"doc_id": id_column(ids), "n_bytes": pa.array(np.diff(starts)), "n_removed": pa.array(np.diff(taken[starts])), "n_spans": pa.array(np.diff(spans[starts])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if keep_text else {}))
-
-    return at_packs(source, [asked.where("part < 0"), verdicts], finish, schema)
-
+        if cut:
+            rows = unpacked_rows(told[2][-1])
+            texts = [None if none else x.decode("utf-8", "ignore") for x, none in zip(kept, rows.column("__none").to_pylist())]
+            return rows.drop_columns(["__none"]).append_column(text, pa.array(texts, pa.string())).select(names)
+        return pa.table({"doc_id": id_column(ids), "n_bytes": pa.array(np.diff(starts)), "n_removed": pa.array(np.diff(taken[starts])), "n_spans": pa.array(np.diff(spans[starts])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
+
+    answers = [asked.where("part < 0"), verdicts]
+    if cut:
+        answers.append(source.select(F.lit(-1).alias("part"), "pack", F.col("rest").alias("body")))
+    return at_packs(source, answers, finish, schema)
