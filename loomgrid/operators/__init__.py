@@ -1 +1 @@
-
+"""Operators over tables and arrays: DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Nothing streams here: the engine's workloads are batches, and no operator of the inventory has a streaming form."""
