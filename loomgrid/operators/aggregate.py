@@ -18,10 +18,10 @@ def max_count_mean(df: DataFrame, key: str, ints: str, floats: str, sort: bool =
         return out.orderBy(key) if sort else out
     part = F.spark_partition_id()
     partial = df.groupBy(key, (part if split_every is None else F.floor(part / split_every)).alias("_step"))
-    partial = partial.agg(F.max(ints).alias("m"), F.count(ints).alias("n"), F.sum(floats).alias("s"), F.count(floats).alias("k"))
+    partial = partial.agg(F.max(ints).alias("_max"), F.count(ints).alias("_n"), F.sum(floats).alias("_sum"), F.count(floats).alias("_k"))
     if split_out is not None:
         partial = partial.repartition(split_out, key)
-    out = partial.groupBy(key).agg(F.max("m").alias(names[0]), F.sum("n").alias(names[1]), F.try_divide(F.sum("s"), F.sum("k")).alias(names[2]))
+    out = partial.groupBy(key).agg(F.max("_max").alias(names[0]), F.sum("_n").alias(names[1]), F.try_divide(F.sum("_sum"), F.sum("_k")).alias(names[2]))
     return out.orderBy(key) if sort else out
 
 
