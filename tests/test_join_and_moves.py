@@ -90,16 +90,23 @@ def test_all_to_all(spark):
     assert repartition.all_to_all(spark, 5).count() == 25
 
 
-def test_spill_stays_right(spark):
-    """A join whose buffers of equal keys hold ten rows in memory and go to disk beyond gives the same sums."""
-    a = spark.range(3000).select(F.pmod("id", F.lit(30)).alias("key"), F.repeat(F.lit("x"), 50).alias("pad"))
-    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold": "10", "spark.sql.sortMergeJoinExec.buffer.spill.threshold": "10"}
-    held = {k: spark.conf.get(k) for k in low}
-    try:
-        for k, v in low.items():
-            spark.conf.set(k, v)
-        got = join.inner_join(a, a.drop("pad"), "key", "merge").agg(F.count("*"), F.sum("key")).first()
-    finally:
-        for k, v in held.items():
-            spark.conf.set(k, v)
-    assert tuple(got) == (300_000, 10_000 * sum(range(30)))
+SPILL = """
+from pyspark.sql import functions as F
+from loomgrid.operators import join
+from loomgrid.session import session
+
+spark = session(workers=2, spark__testing__memory=64 << 20, spark__testing__reservedMemory=0, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__shuffle__partitions=2, spark__buffer__pageSize="1m")
+a = spark.range(600_000).select(F.pmod(F.col("id") * 17, F.lit(600_000)).alias("key"), F.repeat(F.lit("x"), 120).alias("pad"))
+n, s, w = join.inner_join(a, a.withColumnRenamed("pad", "other"), "key", "merge").agg(F.count("*"), F.sum("key"), F.sum(F.length("pad") + F.length("other"))).first()
+print("GOT", n, s, w)
+"""
+
+
+def test_low_memory_stays_right():
+    """A sort-merge join of sides larger than the memory for execution, which can only go by way of the disk, gives the same sums."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", SPILL], capture_output=True, text=True, timeout=200, cwd=Path(__file__).parent.parent)
+    assert f"GOT 600000 {600_000 * 599_999 // 2} {600_000 * 240}" in out.stdout, out.stderr[-2000:]
