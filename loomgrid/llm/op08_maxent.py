@@ -53,13 +53,13 @@ class TailHashes(Hashes):
         if len(known) > self.most:
             known.clear()
         try:
-            return np.array([known[w] for w in words], U)
+            return np.fromiter(map(known.__getitem__, words), U, len(words))
         except KeyError:
             h = xxhash.xxh3_64_intdigest
             for w in words:
                 if w not in known:
                     known[w] = h(w) & ~(TAIL - 1) | h(w[-2:]) % TAIL
-            return np.array([known[w] for w in words], U)
+            return np.fromiter(map(known.__getitem__, words), U, len(words))
 
 
 def tokens_of(body: bytes):
@@ -135,13 +135,12 @@ class Model:
         self.B = np.zeros_like(self.A)
         self.T = np.zeros((CONTEXTS, ALL), np.float32)
 
-    def log_classes(self, one, two, both) -> np.ndarray:
+    def weights(self, one, two, both) -> np.ndarray:
+        """Weights of the classes in each context, before they are normalised."""
         x = self.A[one]
         x += self.B[two]
         x += self.T[both]
         x += self.b
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
         return x
 
     def log10(self, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -153,22 +152,31 @@ class Model:
         out = np.log(counts + 1.0) - of[c]
         for a in range(0, w.size, 1 << 14):
             i = slice(a, a + (1 << 14))
-            x = self.log_classes(one[i], two[i], both[i])
-            out[i] += x[np.arange(x.shape[0]), c[i]]
+            x = self.weights(one[i], two[i], both[i])
+            most = x.max(axis=1)
+            own = x[np.arange(x.shape[0]), c[i]] - most
+            x -= most[:, None]
+            out[i] += own - np.log(np.exp(x, out=x).sum(axis=1))
         return out / np.log(10)
 
     def learn(self, h: np.ndarray, sizes: np.ndarray, met: list[np.ndarray]):
         """Gradient steps over texts, STEP tokens each; met: tokens seen by each row of A, B and T, which slow its steps."""
         w = self.index(h)
         keys = self.contexts(w, h, sizes)
+        small = [k.astype(np.uint16) for k in keys]
         c = self.classes(w, h)
         for a in range(0, w.size, STEP):
             i = slice(a, a + STEP)
-            g = -np.exp(self.log_classes(*(k[i] for k in keys)))
+            g = self.weights(*(k[i] for k in keys))
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            g /= -g.sum(axis=1, keepdims=True)
             g[np.arange(g.shape[0]), c[i]] += 1
-            for weights, k, n in zip((self.A, self.B, self.T), keys, met):
-                order = np.argsort(k[i], kind="stable")
-                rows, first, times = np.unique(k[i][order], return_index=True, return_counts=True)
+            for weights, k, n in zip((self.A, self.B, self.T), small, met):
+                order = np.argsort(k[i], kind="stable")  # of 16 bits: a radix sort
+                own = k[i][order]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                rows, times = own[first], np.diff(first, append=own.size)
                 n[rows] += times
                 weights[rows] += np.add.reduceat(g[order], first, axis=0) * (RATE / np.sqrt(n[rows] + 20.0) / np.sqrt(times))[:, None].astype(np.float32)
 
@@ -229,20 +237,22 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     replies = written(at_parts(to_parts(source, ask), n_parts, answer), "counts")
     settle(spark)
 
-    def listed(batches):
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                words, totals, mass, sums = unblob(body)
-                kind = np.repeat([0, 1, 2], [words.size, TAIL, 2])
-                key = np.concatenate([words.view(np.int64), np.arange(TAIL), np.arange(2)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(np.concatenate([totals, mass, sums]), pa.int64())], ["kind", "key", "n"])
-
-    stats = written(replies.where("pack < 0").select("body").mapInArrow(listed, "kind int, key long, n long"), "top")
-    top = stats.where("kind = 0").orderBy(F.desc("n"), "key").limit(TOP).collect()
-    sums = {(r["kind"], r["key"]): r["s"] for r in stats.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("s")).collect()}
-    total, distinct = sums.get((2, 0), 0), sums.get((2, 1), 0)
-    dropped(stats)
-    model = Model(np.array([r["key"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.float64), np.array([sums.get((1, k), 0) for k in range(TAIL)], np.float64))
+    def merge(batches):
+        """The most frequent words of several parts, a word being in one part only, and the sums of their masses."""
+        rows = [unblob(b) for batch in batches for b in batch.column("body").to_pylist()]
+        if rows:
+            words, totals = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+            best = np.lexsort((words, -totals))[:TOP]
+            yield mail([(0, -1, blob(words[best], totals[best], sum(r[2] for r in rows), sum(r[3] for r in rows)))])
+
+    stats, n = replies.where("pack < 0"), n_parts
+    while n > 1:  # each step merges about 32 parts, each of fixed size
+        n = -(-n // 32)
+        stats = stats.repartitionById(n, F.pmod(F.xxhash64("body"), F.lit(n)).cast("int")).mapInArrow(merge, MAIL)
+    top = [unblob(r["body"]) for r in stats.collect()]
+    words, counts, mass, (total, distinct) = top[0] if top else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(TAIL), (0, 0))
+    total, distinct = int(total), int(distinct)
+    model = Model(words, counts.astype(np.float64), mass.astype(np.float64))
 
     def training(body):
         ids, h, sizes = tokens_of(body)
