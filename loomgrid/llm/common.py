@@ -77,6 +77,11 @@ def parts_for(spark: SparkSession, n_bytes: float, each: int = PART_BYTES) -> in
     return max(least_parts(spark), int(n_bytes // each) + 1)
 
 
+def small(df: DataFrame, rows: int, most: int = 1 << 20) -> DataFrame:
+    """For a join: a table known to have at most `rows` short rows is broadcast if those are no more than `most`; beyond, it is joined as Spark likes."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, body): the text as UTF-8 bytes, null as empty."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("body"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bodies, dropped, id_column, mix, parts_for, text_rows, written
+from .common import bodies, dropped, id_column, mix, parts_for, small, text_rows, written
 from .words import Hashes, as_text, ascii_words, byte_bpe, per_worker
 
 DIMS, BITS, BUCKETS = 4, 10, 256
@@ -108,5 +108,5 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048)
     dropped(rows)
     totals = line.groupBy("shard").agg(F.sum("n").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    placed = line.join(bases, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    placed = line.join(small(bases, n_parts), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
