@@ -131,10 +131,10 @@ def unblob(body: bytes) -> list[np.ndarray]:
 PACKS = "pack long, docs long, raw long, body binary"
 
 
-def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = PACK_BYTES, keep: bool = False) -> DataFrame:
+def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = PACK_BYTES, keep: bool = False, form: Callable[[np.ndarray, list[bytes]], bytes] | None = None) -> DataFrame:
     """Documents in packs, sorted by id in each: a written table of (pack, docs, raw bytes, body). A pack is one row, so later stages see the same packs whatever is retried.
 
-    keep: with a column rest, all columns of the documents' rows, for unpacked_rows()."""
+    form: makes another body of (ids, texts) than the one for pack_texts(). keep: with a column rest, all columns of the documents' rows, for unpacked_rows()."""
     source = text_rows(docs, text, doc_id)
     if keep:
         source = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("__body"), *docs.columns)
@@ -149,8 +149,8 @@ def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int
             nonlocal seq
             order = sorted(range(len(held)), key=lambda k: held[k][0])
             rows = [held[k] for k in order]
-            raw = np.frombuffer(b"".join(x[1] for x in rows), np.uint8)
-            row = [seq, len(rows), raw.size, blob(np.array([x[0] for x in rows], np.int64), np.array([len(x[1]) for x in rows], np.int64), raw)]
+            ids, texts = np.array([x[0] for x in rows], np.int64), [x[1] for x in rows]
+            row = [seq, len(rows), sum(map(len, texts)), (form or text_pack)(ids, texts)]
             if keep:
                 whole = pa.Table.from_batches(rests).take(pa.array(order))
                 sink = pa.BufferOutputStream()
@@ -184,6 +184,11 @@ def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int
     return written(source.mapInArrow(pack, PACKS + ", rest binary" * keep), "packs", "uncompressed")
 
 
+def text_pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
+    """The usual body of a pack."""
+    return blob(ids, np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+
+
 def unpacked_rows(rest: bytes) -> pa.Table:
     """All columns but the text of a pack's rows, in the pack's order, and __none: where the text is null."""
     return pa.ipc.open_stream(rest).read_all()

@@ -13,25 +13,29 @@ row by row, by how often each task met the row.
 
 Counts cover all training documents. A pack of documents sends each distinct word's count to the word's part, which
 answers with the word's total, so no table of all words is ever in one place; only TOP words and the weights (fixed
-sizes) go to all tasks. Texts are scored in numpy batches.
+sizes) go to all tasks. Words are hashed once, into packs of tokens; with the counts and the TOP words these turn into
+packs of 16-bit codes and of what a text's score owes to its counts. Steps and scores read the codes, in numpy batches.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAIL, NULL_ID, at_packs, at_parts, blob, dropped, id_column, mail, mix, pack_list, packs, parts_for, settle, to_parts, unblob, written
-from .words import Hashes, ascii_words, per_worker
+from .common import MAIL, NULL_ID, at_packs, at_parts, blob, dropped, id_column, mail, mix, packs, parts_for, settle, to_parts, unblob, written
+from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 
 #: Words with places of their own, their classes, classes of the others, words whose followers are counted, buckets of trigrams.
 TOP, CLASSES, TAIL, BEFORE, CONTEXTS = 4096, 32, 32, 512, 1 << 13
 #: First size of the gradient steps, and tokens of a step.
 RATE, STEP = 1.0, 4096
+#: Tokens whose followers are counted at once.
+FOLLOW = 1 << 21
 U = np.uint64
 #: Stands for the end of a text among the words' hashes; its low bits give its tail class.
 END = U(0x5851F42D4C957F20)
@@ -43,35 +47,44 @@ def fold(ids: np.ndarray, by: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == NULL_ID else b"%d" % i) % by for i in ids.tolist()], np.int64)
 
 
-class TailHashes(Hashes):
-    """Hashes of words whose five low bits are the tail class."""
+class Tokens:
+    """Tokens of texts as 64-bit hashes whose five low bits are the tail class, through numbers of the words that a worker has met."""
 
-    def of(self, words):
+    def __init__(self, most: int = MOST_WORDS):
+        self.most = most
+        self.forget()
+
+    def forget(self):
+        self.numbers, self.hashes = Numbered(), np.array([END])
+        self.numbers[None] = 0  # the end of a text
+
+    def of(self, texts: list[bytes]):
+        """(hashes of the distinct tokens, place of each token among them, tokens of each text); the end of each text is a token."""
         import xxhash
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), U, len(words))
-        except KeyError:
+        if self.hashes.size > self.most:
+            self.forget()
+        rows = [[*ascii_words(t), None] for t in texts]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        tokens = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        if new := self.numbers.new:
             h = xxhash.xxh3_64_intdigest
-            for w in words:
-                if w not in known:
-                    known[w] = h(w) & ~(TAIL - 1) | h(w[-2:]) % TAIL
-            return np.fromiter(map(known.__getitem__, words), U, len(words))
+            self.hashes = np.concatenate([self.hashes, np.fromiter((h(w) & ~(TAIL - 1) | h(w[-2:]) % TAIL for w in new), U, len(new))])
+            self.numbers.new = []
+        met = np.flatnonzero(np.bincount(tokens, minlength=self.hashes.size))
+        places = np.zeros(self.hashes.size, np.uint16 if met.size <= 1 << 16 else np.uint32)
+        places[met] = np.arange(met.size)
+        return self.hashes[met], places[tokens], sizes
 
 
-def tokens_of(body: bytes):
-    """(ids, hashes of all tokens one after another, tokens of each text); the end of each text is a token."""
-    ids, texts = pack_list(body)
-    known = per_worker("tail_hashes", TailHashes)
-    rows = [np.append(known.of(ascii_words(t)), END) for t in texts]
-    return ids, np.concatenate(rows), np.array([r.size for r in rows], np.int64)
+def token_pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
+    """Body of a pack of tokens: ids, tokens of each text, hashes of the distinct tokens, place of each token among them."""
+    words, of, sizes = per_worker("tokens", Tokens).of(texts)
+    return blob(ids, sizes, words, of)
 
 
 class Model:
-    """Weights and what follows from them. Word n is any other word, n + 1 the start of a text."""
+    """Weights and what follows from them. Tokens are codes: below n a frequent word's number, n the start of a text, then the tail classes."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tail_mass: np.ndarray):
         """words: hashes, the most frequent first; counts: their occurrences; tail_mass: sum of (c + 1) over all training words of each tail class."""
@@ -82,23 +95,23 @@ class Model:
         self.tail_mass = tail_mass - np.bincount((words & U(TAIL - 1)).astype(np.int64), weights=self.mass, minlength=TAIL) + 1
         self.cls = np.zeros(n, np.int64)
 
-    def index(self, h: np.ndarray) -> np.ndarray:
-        """Place of each token: of a frequent word its number, of the others n."""
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Codes of tokens with these hashes."""
+        tail = self.n + 1 + (h & U(TAIL - 1)).astype(np.int64)
         if not self.n:
-            return np.zeros(h.size, np.int64)
+            return tail.astype(np.uint16)
         at = np.minimum(np.searchsorted(self.words, h), self.n - 1)
-        return np.where(self.words[at] == h, self.order[at], self.n)
+        return np.where(self.words[at] == h, self.order[at], tail).astype(np.uint16)
 
-    def classes(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return np.where(w < self.n, np.append(self.cls, 0)[w], CLASSES + (h & U(TAIL - 1)).astype(np.int64))
+    def classes(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.cls, [0], np.arange(CLASSES, ALL)])[w]
 
-    def contexts(self, w: np.ndarray, h: np.ndarray, sizes: np.ndarray):
+    def contexts(self, w: np.ndarray, sizes: np.ndarray):
         """(word before, word before that, bucket of both) of each token; a tail word counts as its tail class."""
-        own = np.where(w < self.n, w, self.n + 1 + (h & U(TAIL - 1)).astype(np.int64))
         starts = np.cumsum(sizes) - sizes
         one, two = np.full(w.size, self.n), np.full(w.size, self.n)
-        one[1:] = own[:-1]
-        two[2:] = own[:-2]
+        one[1:] = w[:-1]
+        two[2:] = w[:-2]
         one[starts] = self.n
         two[starts] = self.n
         two[starts[sizes > 1] + 1] = self.n
@@ -143,13 +156,11 @@ class Model:
         x += self.b
         return x
 
-    def log10(self, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 likelihood of each token; counts: its occurrences in training."""
-        w = self.index(h)
-        one, two, both = self.contexts(w, h, sizes)
-        c = self.classes(w, h)
-        of = np.log(np.concatenate([np.maximum(self.class_mass, 1), self.tail_mass]))
-        out = np.log(counts + 1.0) - of[c]
+    def chances(self, w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of the likelihood of each token's class over the sum that its words share."""
+        one, two, both = self.contexts(w, sizes)
+        c = self.classes(w)
+        out = -np.log(np.concatenate([np.maximum(self.class_mass, 1), self.tail_mass]))[c]
         for a in range(0, w.size, 1 << 14):
             i = slice(a, a + (1 << 14))
             x = self.weights(one[i], two[i], both[i])
@@ -159,12 +170,15 @@ class Model:
             out[i] += own - np.log(np.exp(x, out=x).sum(axis=1))
         return out / np.log(10)
 
-    def learn(self, h: np.ndarray, sizes: np.ndarray, met: list[np.ndarray]):
+    def log10(self, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 likelihood of each token, by its hash; counts: its occurrences in training."""
+        return np.log10(counts + 1.0) + self.chances(self.codes(h), sizes)
+
+    def learn(self, w: np.ndarray, sizes: np.ndarray, met: list[np.ndarray]):
         """Gradient steps over texts, STEP tokens each; met: tokens seen by each row of A, B and T, which slow its steps."""
-        w = self.index(h)
-        keys = self.contexts(w, h, sizes)
+        keys = self.contexts(w, sizes)
         small = [k.astype(np.uint16) for k in keys]
-        c = self.classes(w, h)
+        c = self.classes(w)
         for a in range(0, w.size, STEP):
             i = slice(a, a + STEP)
             g = self.weights(*(k[i] for k in keys))
@@ -202,13 +216,8 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     held_out rows (crc32(doc_id as text) mod `by` = `held`) take no part in any count or step. Null and empty texts are
     their end alone. Without training rows every word is unknown and scores are those of an even split over classes."""
     spark = docs.sparkSession
-    source = packs(docs, text, doc_id)
+    source = packs(docs, text, doc_id, form=token_pack)
     n_parts = parts_for(spark, source.agg(F.sum("raw")).first()[0] or 0)
-    tasks = source.coalesce(2 * spark.sparkContext.defaultParallelism).select("body")  # each sends all weights once, so their number is the cluster's, not the data's
-
-    def words_of(body):
-        ids, h, sizes = tokens_of(body)
-        return ids, h, sizes, np.unique(h, return_inverse=True)
 
     def shares(words):
         part = ((words >> U(32)) % U(n_parts)).astype(np.int64)
@@ -217,8 +226,8 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
         return [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
 
     def ask(pack, body):
-        ids, _, sizes, (words, of) = words_of(body)
-        counts = np.bincount(of, weights=np.repeat(fold(ids, by) != held, sizes), minlength=words.size).astype(np.int64)
+        ids, sizes, words, of = unblob(body)
+        counts = np.bincount(of[np.repeat(fold(ids, by) != held, sizes)], minlength=words.size)
         for part, i in shares(words):
             yield part, blob(words[i], counts[i])
 
@@ -254,24 +263,46 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     total, distinct = int(total), int(distinct)
     model = Model(words, counts.astype(np.float64), mass.astype(np.float64))
 
+    def code(pack, body, told):
+        ids, sizes, words, of = unblob(body)
+        c = np.zeros(words.size, np.int64)
+        for part, i in shares(words):
+            c[i] = unblob(told[0][part])[0]
+        starts = np.cumsum(sizes) - sizes
+        add = lambda x: np.add.reduceat(x[of], starts)
+        out = blob(ids, sizes, (fold(ids, by) == held).astype(np.uint8), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (total + distinct + 1))), add(np.log10(c + 1.0)), model.codes(words)[of])
+        return pa.table({"pack": pa.array([pack], pa.int64()), "body": pa.array([out], pa.binary())})
+
+    coded = written(at_packs(source, [replies.where("pack >= 0")], code, "pack long, body binary"), "coded", "uncompressed")
+    dropped(source)
+    dropped(replies)
+    settle(spark)
+    tasks = coded.select("body").coalesce(2 * spark.sparkContext.defaultParallelism)  # each sends all weights once, so their number is the cluster's, not the data's
+
     def training(body):
-        ids, h, sizes = tokens_of(body)
-        keep = fold(ids, by) != held
-        return h[np.repeat(keep, sizes)], sizes[keep]
+        _, sizes, out, *_, w = unblob(body)
+        return w[np.repeat(out == 0, sizes)], sizes[out == 0]
 
     def follow(batches):
         n = model.n
-        out, firsts, some = np.zeros((BEFORE + 2 + TAIL, n + TAIL)), np.zeros(1), False
+        row = np.concatenate([np.minimum(np.arange(n), BEFORE), np.arange(BEFORE + 1, BEFORE + 2 + TAIL)])
+        out, waiting, some = np.zeros((BEFORE + 2 + TAIL, n + TAIL)), [], False
+
+        def count():
+            if waiting:
+                out.ravel()[:] += np.bincount(np.concatenate(waiting), minlength=out.size)
+                waiting.clear()
+
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                h, sizes = training(body)
-                if h.size:
+                w, sizes = training(body)
+                if w.size:
+                    one, _, _ = model.contexts(w, sizes)
+                    waiting.append(row[one] * (n + TAIL) + np.where(w < n, w, w - 1))
                     some = True
-                    w = model.index(h)
-                    one, _, _ = model.contexts(w, h, sizes)
-                    row = np.where(one < min(BEFORE, n), one, np.where(one < n, BEFORE, one - n + BEFORE + 1))
-                    to = np.where(w < n, w, n + (h & U(TAIL - 1)).astype(np.int64))
-                    out += np.bincount(row * (n + TAIL) + to, minlength=out.size).reshape(out.shape)
+                    if sum(x.size for x in waiting) >= FOLLOW:
+                        count()
+        count()
         if some:
             yield mail([(0, 0, blob(out.astype(np.float32).ravel()))])
 
@@ -286,9 +317,9 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
         met = [np.zeros(s[0], np.int64) for s in shapes]
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                h, sizes = training(body)
-                if h.size:
-                    own.learn(h, sizes, met)
+                w, sizes = training(body)
+                if w.size:
+                    own.learn(w, sizes, met)
         if met[0].any():
             for k, (x, n) in enumerate(zip((own.A, own.B, own.T), met)):
                 yield mail([(2 * k, 0, blob((x * n[:, None].astype(np.float32)).ravel())), (2 * k + 1, 0, blob(n))])
@@ -300,16 +331,12 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
             rows = n > 0
             x[rows] = learnt[2 * k].reshape(x.shape)[rows] / n[rows, None]
 
-    def finish(pack, body, told):
-        ids, h, sizes, (words, of) = words_of(body)
-        c = np.zeros(words.size, np.int64)
-        for part, i in shares(words):
-            c[i] = unblob(told[0][part])[0]
-        c = c[of]
-        starts = np.cumsum(sizes) - sizes
-        add = lambda x: np.add.reduceat(x, starts)
-        base = np.log10((c + 1) / (total + distinct + 1))
-        columns = {"doc_id": id_column(ids), "held_out": fold(ids, by) == held, "n_tokens": sizes, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(ids.size, total, np.int64), "base_score": add(base), "score": add(model.log10(h, sizes, c))}
-        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    def finish(batches):
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                ids, sizes, out, known, base, share, w = unblob(body)
+                score = share + np.add.reduceat(model.chances(w, sizes), np.cumsum(sizes) - sizes)
+                columns = {"doc_id": id_column(ids), "held_out": pa.array(out == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(ids.size, total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return at_packs(source, [replies.where("pack >= 0")], finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.select("body").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
