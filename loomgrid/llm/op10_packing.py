@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Words of a document are counted in hashed buckets; the vector, scaled to length 1, is projected to DIMS fixed random
+Tokens of a document are counted in hashed buckets; the vector, scaled to length 1, is projected to DIMS fixed random
 directions, and the Hilbert key of the projected point is the document's place. Documents are range-sorted by place
 (ties by a hash of the id, then the id) and laid end to end; sequences are cut from that line, so neighbours on the
 curve share sequences and only the last sequence of all can be short.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bodies, dropped, id_column, mix, parts_for, small, text_rows, written
-from .words import Hashes, as_text, ascii_words, byte_bpe, per_worker
+from .words import as_text, byte_bpe, per_worker
 
 DIMS, BITS, BUCKETS = 4, 10, 256
 
@@ -50,14 +50,12 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_places(texts: list[bytes], ids: np.ndarray, hashes: Hashes) -> np.ndarray:
-    """63-bit places: the Hilbert key, then bits of a hash of the id, so that equal documents can be divided."""
+def curve_places(ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """63-bit places of documents by their tokens (one after another; sizes: of each document): the Hilbert key, then bits of a hash of the id, so that equal documents can be divided."""
     directions = np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
     directions -= directions.mean(axis=0)
-    v = np.zeros((len(texts), BUCKETS))
-    for k, t in enumerate(texts):
-        if words := ascii_words(t):
-            v[k] = np.bincount((hashes.of(words) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    bucket = (mix(np.arange(int(tokens.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) >> np.uint64(56)).astype(np.int64)
+    v = np.bincount(np.repeat(np.arange(sizes.size) * BUCKETS, sizes) + bucket[tokens], minlength=sizes.size * BUCKETS).reshape(-1, BUCKETS).astype(np.float64)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     points = np.clip((v @ directions / 4 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return (hilbert(points) << 23) | (mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(41)).astype(np.int64)
@@ -71,12 +69,12 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048)
 
     def encode_rows(batches):
         encode = per_worker(("byte_bpe", tokenizer), lambda: byte_bpe(tokenizer))
-        hashes = per_worker("hashes", Hashes)
         for batch in batches:
             for ids, texts in bodies(batch):
                 out = [np.append(encode(as_text(x)), np.uint32(end_id)) for x in texts]
-                narrow = "<u2" if max(int(x.max()) for x in out) < 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(curve_places(texts, ids, hashes)), pa.array([x.size for x in out], pa.int64()), pa.array([x.astype(narrow).tobytes() for x in out], pa.binary())], ["doc_id", "place", "n", "ids"])
+                sizes, line = np.array([x.size for x in out], np.int64), np.concatenate(out)
+                narrow = "<u2" if int(line.max()) < 1 << 16 else "<u4"
+                yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(curve_places(ids, line, sizes)), pa.array(sizes), pa.array([x.astype(narrow).tobytes() for x in out], pa.binary())], ["doc_id", "place", "n", "ids"])
 
     def lay(batches):
         shard, before = TaskContext.get().partitionId(), 0
