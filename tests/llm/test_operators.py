@@ -340,3 +340,39 @@ def test_pipeline(spark, docs, tmp_path):
         assert cut[i][1] or (t or "") == (TEXTS[i] or "")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == firsts
+
+
+def test_tokens_are_the_same_whatever_a_worker_forgets():
+    from xxhash import xxh3_64_intdigest
+
+    from loomgrid.llm.op08_maxent import END, TAIL, Tokens, token_pack
+    from loomgrid.llm.common import unblob
+
+    rng = random.Random(3)
+    texts = [b"", b" \t", *(" ".join(rng.choice(VOCAB) for _ in range(rng.randrange(40))).encode() for _ in range(30)), b"A a\xc3\x84 a"]
+    short, long = Tokens(most=3), Tokens()
+    seen = {}
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        for held in (short, long):
+            words, of, sizes = held.of(some)
+            assert words.size == np.unique(words).size and sizes.tolist() == [len(t.lower().split()) + 1 for t in some]
+            spelt = [w for t in some for w in [*t.lower().split(), None]]
+            for w, h in zip(spelt, words[of].tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+    assert seen[None] == int(END) and len(set(seen.values())) == len(seen)
+    assert all(h % TAIL == xxh3_64_intdigest(w[-2:]) % TAIL for w, h in seen.items() if w)
+    ids, sizes, words, of = unblob(token_pack(np.array([4, 9]), [b"x y x", b""]))
+    assert ids.tolist() == [4, 9] and sizes.tolist() == [4, 1] and words.size == 3 and of.tolist()[0] == of.tolist()[2]
+
+
+def test_curve_places_go_by_tokens():
+    """Documents with the same counts of tokens share a Hilbert key, whatever their order; unlike ones need not; ids divide equal ones."""
+    from loomgrid.llm.op10_packing import curve_places
+
+    docs = [[7, 8, 9, 1], [9, 7, 8, 1], [20000, 30000, 40000, 1], [1]]
+    sizes = np.array([len(d) for d in docs])
+    got_ = curve_places(np.arange(4), np.concatenate(docs).astype(np.uint32), sizes)
+    assert got_[0] >> 23 == got_[1] >> 23 != got_[2] >> 23 and len(set(got_.tolist())) == 4 and (got_ >= 0).all()
+    assert got_.tolist() == [curve_places(np.array([k]), np.array(d, np.uint32), np.array([len(d)]))[0] for k, d in enumerate(docs)]
+    assert curve_places(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)).size == 0
