@@ -11,10 +11,18 @@ CONTEXTS buckets. Bigram weights start from counts, then all are moved by gradie
 task takes steps over all training documents in its share, from the same start, and the tasks' weights are averaged,
 row by row, by how often each task met the row.
 
+Words then get features of their own: every pair and every triple of training words, however rare, exact by 64-bit hash
+and as many as the training text has. The likelihood of a word w after u, v is
+    (n(u v w) + TRIPLE * p) / (n(u v) + TRIPLE), where p = (n(v w) + PAIR * q) / (n(v) + PAIR)
+and q is the likelihood above: a log-linear model whose pair and triple weights and normaliser are known in closed form.
+What follows v adds up to n(v) and what follows u v to n(u v), so the likelihoods still add up to 1, and words of one
+class part by what they follow. The start of a text is a context like others; a first word has no triple.
+
 Counts cover all training documents. A pack of documents sends each distinct word's count to the word's part, which
-answers with the word's total, so no table of all words is ever in one place; only TOP words and the weights (fixed
-sizes) go to all tasks. Words are hashed once, into packs of tokens; with the counts and the TOP words these turn into
-packs of 16-bit codes and of what a text's score owes to its counts. Steps and scores read the codes, in numpy batches.
+answers with the word's total, and pairs and triples get theirs likewise, so no table of all words or contexts is ever
+in one place; only TOP words and the weights of classes (fixed sizes) go to all tasks. Words are hashed once, into packs of tokens; with the counts and the TOP words these turn into
+packs of tokens with 16-bit codes, counts and what a text's base score owes to them. Steps and scores read these, in
+numpy batches.
 """
 
 from __future__ import annotations
@@ -34,11 +42,15 @@ from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 TOP, CLASSES, TAIL, BEFORE, CONTEXTS = 4096, 32, 32, 512, 1 << 13
 #: First size of the gradient steps, and tokens of a step.
 RATE, STEP = 1.0, 4096
+#: Occurrences that the level below counts for among the words after a word, and after two words.
+PAIR, TRIPLE = 100.0, 10.0
 #: Tokens whose followers are counted at once.
 FOLLOW = 1 << 21
 U = np.uint64
 #: Stands for the end of a text among the words' hashes; its low bits give its tail class.
 END = U(0x5851F42D4C957F20)
+#: Stands for the start of a text, as the word before its first.
+START = U(0x14057B7EF767814F)
 ALL = CLASSES + TAIL
 
 
@@ -83,6 +95,46 @@ def token_pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
     return blob(ids, sizes, words, of)
 
 
+def follows(words: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pair and of the triple that end with each token; a first token's triple is its pair."""
+    h = words[of]
+    starts = np.cumsum(sizes) - sizes
+    before = np.concatenate([[START], h[:-1]])
+    before[starts] = START
+    pair = mix(before * U(0x9E3779B97F4A7C15) + h)
+    triple = mix(np.concatenate([[U(0)], pair[:-1]]) * U(0xC2B2AE3D27D4EB4F) + h)
+    triple[starts] = pair[starts]
+    return pair, triple
+
+
+def keyed(keys: np.ndarray) -> np.ndarray:
+    """48 bits of each key, byte by byte; a part holds so few keys that no two agree in these."""
+    return np.ascontiguousarray((keys >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].T).ravel()
+
+
+def unkeyed(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.size // 6, 8), np.uint8)
+    out[:, :6] = planes.reshape(6, -1).T
+    return out.view(U).ravel()
+
+
+def tight(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least whole numbers that hold them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def blended(q: np.ndarray, c: np.ndarray, pair: np.ndarray, triple: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of the likelihood of each token. q: log10 of it by classes; c, pair, triple: training counts of the token, its pair and its triple."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    before, two = np.concatenate([[0], c[:-1]]), np.concatenate([[0], pair[:-1]])
+    before[starts] = c[ends - 1]  # texts start as often as they end
+    p = (pair + PAIR * 10.0**q) / (before + PAIR)
+    out = (triple + TRIPLE * p) / (two + TRIPLE)
+    out[starts] = p[starts]
+    return np.log10(out)
+
+
 class Model:
     """Weights and what follows from them. Tokens are codes: below n a frequent word's number, n the start of a text, then the tail classes."""
 
@@ -195,6 +247,17 @@ class Model:
                 weights[rows] += np.add.reduceat(g[order], first, axis=0) * (RATE / np.sqrt(n[rows] + 20.0) / np.sqrt(times))[:, None].astype(np.float32)
 
 
+def written_alone(df: DataFrame, label: str) -> DataFrame:
+    """written(), whose shuffle files go as soon as the table is there, not when the driver's garbage is next collected."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return written(df.select("*"), label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def _summed(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Sums of the arrays that tasks sent under each of n keys; fixed sizes, so they may reach the driver."""
 
@@ -217,7 +280,8 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     their end alone. Without training rows every word is unknown and scores are those of an even split over classes."""
     spark = docs.sparkSession
     source = packs(docs, text, doc_id, form=token_pack)
-    n_parts = parts_for(spark, source.agg(F.sum("raw")).first()[0] or 0)
+    source_bytes = source.agg(F.sum("raw")).first()[0] or 0
+    n_parts = parts_for(spark, source_bytes)
 
     def shares(words):
         part = ((words >> U(32)) % U(n_parts)).astype(np.int64)
@@ -270,7 +334,7 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
             c[i] = unblob(told[0][part])[0]
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x[of], starts)
-        out = blob(ids, sizes, (fold(ids, by) == held).astype(np.uint8), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (total + distinct + 1))), add(np.log10(c + 1.0)), model.codes(words)[of])
+        out = blob(ids, sizes, (fold(ids, by) == held).astype(np.uint8), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (total + distinct + 1))), words, c, model.codes(words), of)
         return pa.table({"pack": pa.array([pack], pa.int64()), "body": pa.array([out], pa.binary())})
 
     coded = written(at_packs(source, [replies.where("pack >= 0")], code, "pack long, body binary"), "coded", "uncompressed")
@@ -280,8 +344,8 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     tasks = coded.select("body").coalesce(2 * spark.sparkContext.defaultParallelism)  # each sends all weights once, so their number is the cluster's, not the data's
 
     def training(body):
-        _, sizes, out, *_, w = unblob(body)
-        return w[np.repeat(out == 0, sizes)], sizes[out == 0]
+        _, sizes, out, *_, codes, of = unblob(body)
+        return codes[of[np.repeat(out == 0, sizes)]], sizes[out == 0]
 
     def follow(batches):
         n = model.n
@@ -331,12 +395,52 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
             rows = n > 0
             x[rows] = learnt[2 * k].reshape(x.shape)[rows] / n[rows, None]
 
-    def finish(batches):
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                ids, sizes, out, known, base, share, w = unblob(body)
-                score = share + np.add.reduceat(model.chances(w, sizes), np.cumsum(sizes) - sizes)
-                columns = {"doc_id": id_column(ids), "held_out": pa.array(out == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(ids.size, total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    n_grams = parts_for(spark, source_bytes)
+
+    def grams(level, words, of, sizes):
+        """Distinct keys of a pack's pairs (level 0) or triples (1), the place of each token's key, and the keys' places by part."""
+        keys, at = np.unique(follows(words, of, sizes)[level], return_inverse=True)
+        part = ((keys & U(0xFFFFFFFF)) % U(n_grams)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(n_grams + 1)).tolist()
+        return keys, at, [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+
+    def ask_grams(level):
+        def ask(pack, body):
+            _, sizes, out, _, _, words, _, _, of = unblob(body)
+            keys, at, dealt = grams(level, words, of, sizes)
+            counts = np.bincount(at[np.repeat(out == 0, sizes)], minlength=keys.size)
+            for part, i in dealt:
+                yield part, blob(keyed(keys[i]), tight(counts[i]))
+
+        return ask
+
+    def answer_grams(pack_ids, got):
+        rows = [unblob(x) for x in got]
+        keys, of = np.unique(np.concatenate([unkeyed(r[0]) for r in rows]), return_inverse=True)
+        totals = np.bincount(of, weights=np.concatenate([r[1] for r in rows]).astype(np.float64), minlength=keys.size).astype(np.int64)
+        for p, x in zip(pack_ids.tolist(), np.split(totals[of], np.cumsum([r[1].size for r in rows])[:-1])):
+            yield p, blob(tight(x))
+
+    told_grams = []
+    for level, label in enumerate(("pairs", "triples")):  # one after the other: less disk at once
+        settle(spark)
+        told_grams.append(written_alone(at_parts(to_parts(coded, ask_grams(level)), n_grams, answer_grams), label))
+    settle(spark)
 
-    return coded.select("body").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def finish(pack, body, told):
+        ids, sizes, out, known, base, words, c, codes, of = unblob(body)
+        counts = []
+        for level in (0, 1):
+            keys, at, dealt = grams(level, words, of, sizes)
+            n = np.zeros(keys.size, np.int64)
+            for part, i in dealt:
+                n[i] = unblob(told[level][part])[0]
+            counts.append(n[at])
+        c, (pair, triple) = c[of], counts
+        by_token = blended(np.log10(c + 1.0) + model.chances(codes[of], sizes), c, pair, triple, sizes)
+        score = np.add.reduceat(by_token, np.cumsum(sizes) - sizes)
+        columns = {"doc_id": id_column(ids), "held_out": pa.array(out == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(ids.size, total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}
+        return pa.table(columns)
+
+    return at_packs(coded, told_grams, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

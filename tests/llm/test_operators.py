@@ -376,3 +376,32 @@ def test_curve_places_go_by_tokens():
     assert got_[0] >> 23 == got_[1] >> 23 != got_[2] >> 23 and len(set(got_.tolist())) == 4 and (got_ >= 0).all()
     assert got_.tolist() == [curve_places(np.array([k]), np.array(d, np.uint32), np.array([len(d)]))[0] for k, d in enumerate(docs)]
     assert curve_places(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)).size == 0
+
+
+def test_maxent_tells_rare_words_apart_by_what_they_follow(spark):
+    """Words beyond the most frequent ones, all of one class: in an order seen in training they score above the same words the other way round."""
+    from loomgrid.llm import op08_maxent as op
+
+    frequent, rare = [f"a{i}" for i in range(op.TOP)], [f"w{i}zz" for i in range(200)]  # two last bytes make the class
+    texts_ = [" ".join(frequent[i : i + 512] * 3) for i in range(0, op.TOP, 512)] + [" ".join(rare)]
+    train = [i for i in range(100) if zlib.crc32(b"%d" % i) % 7 != 2][: len(texts_)]
+    held = [i for i in range(100) if zlib.crc32(b"%d" % i) % 7 == 2][:2]
+    asked = [" ".join(rare[50:100]), " ".join(rare[50:100][::-1])]
+    rows = {r["doc_id"]: r for r in op.scored(spark.createDataFrame([*zip(train, texts_), *zip(held, asked)], "doc_id long, text string")).collect()}
+    seen, unseen = (rows[i] for i in held)
+    assert seen["held_out"] and unseen["held_out"] and seen["n_known"] == unseen["n_known"] == 51
+    assert seen["score"] > unseen["score"] + 10
+
+
+def test_maxent_pairs_and_triples_add_up_to_one():
+    from loomgrid.llm.op08_maxent import blended
+
+    rng = np.random.default_rng(1)
+    v = 12
+    q = rng.dirichlet(np.ones(v))
+    triple = rng.integers(0, 4, v)
+    pair = triple + rng.integers(0, 4, v)
+    # texts u v w for each w: n(v) is the sum over pairs, n(u v) that over triples
+    column = lambda first, second, last: np.stack([np.full(v, first), np.full(v, second), last], 1).ravel()
+    got_ = blended(column(-1, -1, np.log10(q)), column(9, pair.sum(), np.ones(v, int)), column(1, triple.sum(), pair), column(1, 1, triple), np.full(v, 3))
+    assert (10 ** got_.reshape(-1, 3)[:, 2]).sum() == pytest.approx(1)
