@@ -1,12 +1,12 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two models, of toxic and of ordinary documents, over words (lower case, outer punctuation off). Counts are Kneser-Ney's
-continuation counts, taken over documents: how many documents of a class hold a word pair, a word or a word's first
-STEM bytes. Each level is discounted by D and interpolated with the level below; the lowest, and every expression whose
-two class counts differ by no more than chance (below Z standard deviations), is smoothed through counts that both
-classes share, so that it moves neither likelihood against the other. A document's feature is the difference of the two
-log-likelihoods, normalised by its length (by n, and by the root of n); a logistic curve fitted to labelled documents
-that the models have not counted turns it into a score.
+"""Toxicity by expressions that differ between toxic and ordinary documents: not a full Kneser-Ney model.
+
+Counts are taken over documents, of toxic and of ordinary ones: how many hold a word pair, a word (lower case, outer
+punctuation off) or a word's first STEM bytes. A count is discounted by D and interpolated with the pooled count of the
+same expression in both classes; pairs don't back off to words nor words to stems, and counts aren't continuation
+counts. Expressions whose two counts differ by less than Z standard deviations weigh nothing. The longest expression
+that differs decides for its word. A document's features are the sum of the log ratios, no less than 0, normalised by
+its length (by n, and by the root of n); a logistic curve fitted to labelled documents that the models have not counted
+turns them into a score. The README has what this method finds, and what full Kneser-Ney models found.
 
 Labels are learned from at most SAMPLE labelled rows outside the held-out fold, those of least hash. The expressions
 that differ are few and bounded by the sample; they are all that goes to the tasks that score.
