@@ -8,7 +8,7 @@ that differs decides for its word. A document's features are the sum of the log
 its length (by n, and by the root of n); a logistic curve fitted to labelled documents that the models have not counted
 turns them into a score. The README has what this method finds, and what full Kneser-Ney models found.
 
-Labels are learned from at most SAMPLE labelled rows outside the held-out fold, those of least hash. The expressions
+Labels are learned from at most SAMPLE labelled documents of the table outside the held-out fold, those of least hash. The expressions
 that differ are few and bounded by the sample; they are all that goes to the tasks that score.
 """
 
@@ -96,6 +96,7 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
     spark = docs.sparkSession
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by)) != held)
+    named = named.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     toxic = {r["doc_id"]: r["toxic"] for r in rows}
     if not toxic:

@@ -405,3 +405,12 @@ def test_maxent_pairs_and_triples_add_up_to_one():
     column = lambda first, second, last: np.stack([np.full(v, first), np.full(v, second), last], 1).ravel()
     got_ = blended(column(-1, -1, np.log10(q)), column(9, pair.sum(), np.ones(v, int)), column(1, triple.sum(), pair), column(1, 1, triple), np.full(v, 3))
     assert (10 ** got_.reshape(-1, 3)[:, 2]).sum() == pytest.approx(1)
+
+
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
+    from loomgrid.llm.op05_toxicity import learned
+
+    docs = spark.createDataFrame([(i, "plain words here " + ("grolm" if i % 8 == 0 else "again")) for i in range(400)], "doc_id long, text string")
+    labels = spark.range(40_000).selectExpr("id as doc_id", "0 as quality", "int(id % 8 = 0) as toxic")
+    models, _ = learned(docs, labels, 5, 0, 400, "text", "doc_id")
+    assert models.keys[1].size
