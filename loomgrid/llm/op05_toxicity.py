@@ -25,8 +25,8 @@ from .common import MAIL, NULL_ID, at_parts, blob, bodies, dropped, id_column, m
 from .op08_maxent import fold
 from .words import MOST_WORDS, ascii_words, per_worker
 
-#: Labelled rows to learn from, discount, standard deviations, bytes of a stem, expressions that may be kept.
-SAMPLE, D, Z, STEM, MOST = 40_000, 0.75, 4.5, 7, 1 << 18
+#: Labelled rows to learn from, discount, standard deviations, bytes of a stem.
+SAMPLE, D, Z, STEM = 40_000, 0.75, 4.5, 7
 EDGE = b".,;:!?\"'()[]{}<>|*#-_/\\"
 U = np.uint64
 
@@ -147,7 +147,7 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
             e = (n1 + n0) * share
             z = (n1 - e) / np.sqrt(np.maximum(e * (1 - share), 1e-9))
             keep = np.abs(z) >= Z
-            yield -1, blob(np.array([k]), h[keep], n1[keep], n0[keep], z[keep], np.array([n1.sum(), n0.sum(), (n1 > 0).sum(), (n0 > 0).sum()]))
+            yield -1, blob(np.array([k]), h[keep], n1[keep], n0[keep], np.array([n1.sum(), n0.sum(), (n1 > 0).sum(), (n0 > 0).sum()]))
 
     got = [unblob(r["body"]) for r in at_parts(sent.where(F.col("part") < n_parts), n_parts, answer).collect()]
     dropped(sent)
@@ -158,13 +158,12 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
             keys.append(np.zeros(0, U))
             ratios.append(np.zeros(0))
             continue
-        h, n1, n0, z = (np.concatenate([g[c] for g in own]) for c in (1, 2, 3, 4))
-        m1, m0, t1, t0 = sum(g[5] for g in own)
+        h, n1, n0 = (np.concatenate([g[c] for g in own]) for c in (1, 2, 3))
+        m1, m0, t1, t0 = sum(g[4] for g in own)
         shared = (n1 + n0) / (m1 + m0)  # both classes back off to this
         p1, p0 = ((np.maximum(n - D, 0) + D * t * shared) / max(m, 1) for n, t, m in ((n1, t1, m1), (n0, t0, m0)))
-        most = np.argsort(-np.abs(z))[:MOST]
-        keys.append(h[most])
-        ratios.append(np.log(np.maximum(p1[most], 1e-12) / np.maximum(p0[most], 1e-12)))
+        keys.append(h)
+        ratios.append(np.log(np.maximum(p1, 1e-12) / np.maximum(p0, 1e-12)))
     models = Models(keys, ratios)
 
     def tune(batches):
