@@ -82,6 +82,17 @@ def small(df: DataFrame, rows: int, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread_join(rows: DataFrame, told: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of `told` (a row for each key; _n: how many rows have it), joined by `key` without a task that gets all rows of a hot key.
+
+    Keys of more than max(1000, total / 100,000) rows are 100,000 at most, and are broadcast; the others are joined as Spark likes.
+    rows must be a written table, or cheap: it is read twice."""
+    many = F.col("_n") > max(1000, total // 100_000)
+    hot = F.broadcast(told.where(many).drop("_n"))
+    rest = rows.join(F.broadcast(told.where(many).select(key)), key, "left_anti").join(told.where(~many).drop("_n"), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, body): the text as UTF-8 bytes, null as empty."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("body"))
@@ -136,8 +147,9 @@ def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int
 
     form: makes another body of (ids, texts) than the one for pack_texts(). keep: with a column rest, all columns of the documents' rows, for unpacked_rows()."""
     source = text_rows(docs, text, doc_id)
-    if keep:
-        source = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("__body"), *docs.columns)
+    if keep:  # the other columns in one struct, so that they may have any name
+        rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b"")).alias("body"), F.col(text).isNull().alias("none"), rest.alias("rest"))
     names = ["pack", "docs", "raw", "body"] + ["rest"] * keep
 
     def pack(batches):
@@ -163,9 +175,7 @@ def packs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int
 
         for batch in batches:
             if keep:
-                rest = batch.drop_columns(["__id", "__body", text])
-                batch = pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__body"), pa.compute.is_null(batch.column(text))], ["doc_id", "body", "none"])
-                rest = rest.append_column("__none", batch.column("none"))
+                rest = batch.select(["rest", "none"])
             for at, ids, texts in bodies(batch, most, places=True):
                 start = 0
                 for k, (i, x) in enumerate(zip(ids.tolist(), texts)):
@@ -189,9 +199,13 @@ def text_pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
     return blob(ids, np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
 
 
-def unpacked_rows(rest: bytes) -> pa.Table:
-    """All columns but the text of a pack's rows, in the pack's order, and __none: where the text is null."""
-    return pa.ipc.open_stream(rest).read_all()
+def unpacked_rows(rest: bytes, texts: list[bytes], names: list[str], text: str) -> pa.Table:
+    """The rows of a pack, in its order, with these texts: the columns `names`, `text` among them. Null texts stay null; what is left of a cut character goes."""
+    table = pa.ipc.open_stream(rest).read_all().combine_chunks()
+    whole = [None if none else x.decode("utf-8", "ignore") for x, none in zip(texts, table.column("none").to_pylist())]
+    chunks = table.column("rest").chunks
+    others = iter(chunks[0].flatten() if chunks else [])
+    return pa.table([pa.array(whole, pa.string()) if c == text else next(others) for c in names], names)
 
 
 def pack_texts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -343,9 +343,7 @@ def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str
         taken, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
         kept = [raw[a:b][~gone[a:b]].tobytes() if taken[b] > taken[a] else raw[a:b].tobytes() for a, b in itertools.pairwise(starts.tolist())]
         if cut:
-            rows = unpacked_rows(told[2][-1])
-            texts = [None if none else x.decode("utf-8", "ignore") for x, none in zip(kept, rows.column("__none").to_pylist())]
-            return rows.drop_columns(["__none"]).append_column(text, pa.array(texts, pa.string())).select(names)
+            return unpacked_rows(told[2][-1], kept, names, text)
         return pa.table({"doc_id": id_column(ids), "n_bytes": pa.array(np.diff(starts)), "n_removed": pa.array(np.diff(taken[starts])), "n_spans": pa.array(np.diff(spans[starts])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
 
     answers = [asked.where("part < 0"), verdicts]

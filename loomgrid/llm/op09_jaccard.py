@@ -7,11 +7,15 @@ Equal sets are one class (a 128-bit hash of the set). Then:
    another class of a fitting size has it too. Classes that lack too many shared shingles have no link at all. The
    bound leaves twice as many shingles as may be lacking, so a shared passage or common lines alone keep no class.
 2. Tiles. The classes left are put in bands of sizes, t apart in ratio, so that partners are in the same band or in
-   neighbouring ones, and bands in blocks of BLOCK classes; a tile is two blocks.
+   neighbouring ones; two neighbouring bands are divided into tiles by hashes of shingles. Two linked classes share one
+   of the floor((1 - t) n) + 1 least hashes of each, so a class goes to the tiles of those of them that are shared:
+   never to more than it has such shingles, however many tiles there are. A tile of more than MOST classes is divided
+   into blocks, and pairs of blocks are tiles of their own.
 3. In a tile, bitmaps of hashed shingles (parity, so that the bits in which two differ bound from below the shingles
    in which the sets differ, and so the overlap from above) leave few pairs, of which the sorted sets themselves are
    intersected. Pairs that are already connected within the tile are skipped: the components stay the same.
-4. Components over classes: a row for each connecting link, no list of pairs within a group.
+4. Components over classes: a row for each connecting link, no list of pairs within a group. A class is named by its
+   least document and its hash, so the least class of a component tells the component's least document.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, at_packs, at_parts, blob, dropped, mix, pack_list, packs, parts_for, settle, to_parts, unblob, written
+from .common import NULL_ID, at_packs, at_parts, blob, dropped, mix, pack_list, packs, parts_for, settle, small, spread_join, to_parts, unblob, unpacked_rows, written
 from .components import components
 from .words import Hashes, ascii_words, per_worker
 
-#: Classes in a block of a tile, and the size up to which all shingles of a set are sent.
-BLOCK, SMALL = 1024, 64
+#: Classes for each tile of two bands, classes of a tile beyond which it is divided, and the size up to which all shingles of a set are sent.
+BLOCK, MOST, SMALL = 1024, 8192, 64
 U = np.uint64
 
 
@@ -62,8 +66,8 @@ def lacking(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den)
 
 
-def tile_links(sizes: np.ndarray, sets: list[np.ndarray], other: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Connecting links (indices) of pairs of a tile; other: which block each is of; pairs are compared within both or, if it has two values, between them."""
+def tile_links(sizes: np.ndarray, sets: list[np.ndarray], upper: np.ndarray, block: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Connecting links (indices) of pairs of a tile. upper: which are of the upper band, whose own pairs other tiles compare; block: which of two blocks each is of, so that pairs are between them, or one value for all."""
     n = len(sets)
     bits = max(64, 1 << math.ceil(math.log2(max(1, int(sizes.max())))))
     maps = np.zeros((n, bits // 64), U)
@@ -72,9 +76,9 @@ def tile_links(sizes: np.ndarray, sets: list[np.ndarray], other: np.ndarray, num
         odd = np.flatnonzero(np.bincount(at, minlength=bits) & 1)
         np.bitwise_or.at(maps[i], odd >> 6, U(1) << (odd & 63).astype(U))
     order = np.lexsort((np.arange(n), sizes))
-    sizes, maps, other = sizes[order], maps[order], other[order]
+    sizes, maps, upper, block = sizes[order], maps[order], upper[order], block[order]
     sets = [sets[i] for i in order.tolist()]
-    two = bool((other != other[0]).any())
+    two = bool((block != block[0]).any())
     home = np.arange(n)
     out = []
     for i in range(n):
@@ -82,8 +86,10 @@ def tile_links(sizes: np.ndarray, sets: list[np.ndarray], other: np.ndarray, num
         hi = int(np.searchsorted(sizes, ni * den // num, "right"))
         j = np.arange(i + 1, hi)
         j = j[home[j] != home[i]]
+        if upper[i]:
+            j = j[~upper[j]]
         if two:
-            j = j[other[j] != other[i]]
+            j = j[block[j] != block[i]]
         if not j.size:
             continue
         # overlap <= (n_i + n_j - differing) / 2, and it must be at least num / (num + den) * (n_i + n_j)
@@ -106,16 +112,19 @@ def tile_links(sizes: np.ndarray, sets: list[np.ndarray], other: np.ndarray, num
     return out
 
 
-def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id: the least doc_id reachable by links of similarity num / den or more).
+def lead(n: int, num: int, den: int) -> int:
+    """How many of the least hashes of a set of n must hold one in common with any partner."""
+    return min(n, lacking(n, num, den) + 1)
+
 
-    Documents without words, and null texts, have no shingles and no links. Rows with equal ids are one document as far
-    as links go. A null doc_id is linked by its text, and counts as the least."""
+def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str, keep_rows: bool):
+    """(packs, documents (pack, place, doc_id, n, class, and for one document of each pack and class that may have links: near, body), number of documents)."""
     spark = docs.sparkSession
-    source = packs(docs, text, doc_id)
-    n_parts = parts_for(spark, source.agg(F.sum("raw")).first()[0] or 0)
+    source = packs(docs, text, doc_id, keep=keep_rows)
+    total = source.agg(F.sum("raw").alias("raw"), F.sum("docs").alias("docs")).first()
+    n_parts = parts_for(spark, total["raw"] or 0)
     share = min(1.0, 2 * (den - num) / den)
-    small, fitting = SMALL, SMALL * den // num + 2
+    few, fitting = SMALL, SMALL * den // num + 2
 
     def sent_below(n: int, limit: int) -> np.uint64:
         return U(2**64 - 1) if n < limit else U(min(2**64 - 1, int(share * 2**64)))
@@ -188,52 +197,103 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str
         hit = np.zeros(h.size, bool)
         for part, i in shares(h):
             hit[i] = np.unpackbits(unblob(told[0][part])[0], count=i.size).astype(bool)
-        out = [None] * len(sets)
+        out, near = [None] * len(sets), [None] * len(sets)
         ends = np.searchsorted(of, np.arange(len(rows) + 1))
         for r, i in enumerate(rows):
             s, a, b = sets[i], ends[r], ends[r + 1]
-            tested = int(np.searchsorted(h[a:b], sent_below(s.size, small), "right"))
-            if tested - int(hit[a : a + tested].sum()) <= lacking(s.size, num, den):
-                out[i] = s.tobytes()
+            tested = int(np.searchsorted(h[a:b], sent_below(s.size, few), "right"))
+            if tested - int(hit[a : a + tested].sum()) > lacking(s.size, num, den):
+                continue
+            p = lead(s.size, num, den)
+            shared = np.ones(p, bool)  # what was not asked may be shared
+            shared[: min(p, b - a)] = hit[a : min(b, a + p)]
+            if shared.any():
+                out[i], near[i] = s.tobytes(), s[:p][shared].view(np.int64).tolist()
         keys = [set_key(s) if s.size else None for s in sets]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([s.size for s in sets], pa.int64()), "class": pa.array(keys, pa.binary()), "body": pa.array(out, pa.binary())})
+        n = len(sets)
+        return pa.table({"pack": pa.array([pack] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n": pa.array([s.size for s in sets], pa.int64()), "class": pa.array(keys, pa.binary()), "near": pa.array(near, pa.list_(pa.int64())), "body": pa.array(out, pa.binary())})
 
-    all_docs = written(at_packs(source, [replies], keep, "doc_id long, n long, class binary, body binary"), "sets")
-    for x in (source, replies):
-        dropped(x)
+    all_docs = written(at_packs(source, [replies], keep, "pack long, place int, doc_id long, n long, class binary, near array<long>, body binary"), "sets")
+    dropped(replies)
     settle(spark)
+    return source, all_docs, total["docs"] or 0
+
 
-    classes = all_docs.where("body is not null").select("class", "n", "body").dropDuplicates(["class"])
+def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(class, component: (least, class) of the least class it is linked with) of classes with links."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")
-    classes = classes.withColumn("band", band)
-    counts = {r["band"]: -(-r["n"] // BLOCK) for r in classes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each band: some hundreds at most
-    if counts:
-        blocks = F.coalesce(*[F.when(F.col("band") == b, F.lit(n)) for b, n in counts.items()])
-        above = F.coalesce(*[F.when(F.col("band") == b, F.lit(counts.get(b + 1, 0))) for b in counts])
-        below = F.coalesce(*[F.when(F.col("band") == b, F.lit(counts.get(b - 1, 0))) for b in counts])
-        block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        put = classes.withColumns({"blocks": blocks, "above": above, "below": below}).withColumn("block", block)
-        # tiles: (band, block, band or the next, block); its own block alone, with later and earlier ones of its band, with those of the bands beside
-        own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("band").alias("a"), F.least("block", x).alias("i"), F.col("band").alias("b"), F.greatest("block", x).alias("j")))
-        up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda x: F.struct(F.col("band").alias("a"), F.col("block").alias("i"), (F.col("band") + 1).alias("b"), x.alias("j"))))
-        down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda x: F.struct((F.col("band") - 1).alias("a"), x.alias("i"), F.col("band").alias("b"), F.col("block").alias("j"))))
-        none = F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")
-        tiles = put.select("class", "n", "body", "band", "block", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("t")).select("class", "n", "body", (F.col("band") * 1_000_000 + F.col("block")).cast("long").alias("home"), "t.*")
-
-        def compare(group: pa.Table) -> pa.Table:
-            keys, sets = group.column("class").to_pylist(), [np.frombuffer(x, U) for x in group.column("body").to_pylist()]
-            found = tile_links(group.column("n").to_numpy(), sets, group.column("home").to_numpy(), num, den)
-            return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.binary()), "b": pa.array([keys[j] for _, j in found], pa.binary())})
-
-        links = tiles.groupBy("a", "i", "b", "j").applyInArrow(compare, "a binary, b binary")
-    else:
-        links = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).where("false")
-    of = components(links)
-    floor = F.coalesce("doc_id", F.lit(NULL_ID))
-    known = all_docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    known = known.join(of.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "least")
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = known.join(least, "component").select("class", "component_id")
-    out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "class").join(joined, "class", "left")
-    back = lambda c: F.when(c == NULL_ID, F.lit(None).cast("long")).otherwise(c)
-    return out.select(back(floor).alias("doc_id"), "n_shingles", back(F.coalesce("component_id", floor)).alias("component_id"))
+    own = all_docs.where("body is not null")
+    # bands of sizes are some hundreds at most; the pair of a band and the next above has a tile for each BLOCK classes
+    sizes = own.select("class", band.alias("band")).distinct().groupBy("band").agg(F.count("*").alias("c"))
+    pairs = sizes.select(F.explode(F.array(F.struct(F.col("band").alias("pair"), F.col("c"), F.lit(1).alias("low")), F.struct((F.col("band") - 1).alias("pair"), F.col("c"), F.lit(0).alias("low")))).alias("x")).select("x.*")
+    pairs = written(pairs.groupBy("pair").agg(F.ceil(F.sum("c") / BLOCK).alias("tiles"), F.max("low").alias("low")).where("low = 1").select("pair", "tiles"), "bands")
+    pairs = small(pairs, pairs.count())
+
+    def put(classes):
+        sides = F.array(F.struct(F.col("band").alias("pair"), F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("pair"), F.lit(True).alias("upper")))
+        out = classes.withColumn("x", F.explode(sides)).select("*", "x.*").drop("x", "band").join(pairs, "pair")
+        return out.withColumn("tile", F.explode(F.array_distinct(F.transform("near", lambda h: F.pmod(h, F.col("tiles")))))).drop("near", "tiles")
+
+    full = put(own.select("class", band.alias("band"), "near").dropDuplicates(["class"])).groupBy("pair", "tile").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
+    full = written(full.select("pair", "tile", F.ceil(F.col("c") / MOST).cast("int").alias("blocks")), "full_tiles")
+    classes = own.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("body").alias("body"))
+    tiles = put(classes.withColumn("band", band)).join(small(full, full.count()), ["pair", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_x"), "j": F.greatest("block", "_x")})
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, sets = group.column("class").to_pylist(), [np.frombuffer(x, U) for x in group.column("body").to_pylist()]
+        least = group.column("least").to_pylist()
+        found = tile_links(group.column("n").to_numpy(), sets, group.column("upper").to_numpy(zero_copy_only=False), group.column("block").to_numpy(), num, den) if len(sets) > 1 else []
+        ends = {f"{c}{end}": pa.array([x[pair[at]] for pair in found], kind) for at, end in enumerate("ab") for c, x, kind in (("least_", least, pa.int64()), ("class_", keys, pa.binary()))}
+        return pa.table(ends)
+
+    links = tiles.select("pair", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").groupBy("pair", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
+    node = lambda end: F.struct(F.col(f"least_{end}").alias("least"), F.col(f"class_{end}").alias("class")).alias(end)
+    return components(links.select(node("a"), node("b"))).select(F.col("node.class").alias("class"), "component")
+
+
+def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id: the least doc_id reachable by links of similarity num / den or more), a row for each row of `docs`.
+
+    Documents without words, and null texts, have no shingles and no links. Every row is a document of its own: rows that
+    repeat an id are linked by their texts like others, not by the id. A null doc_id counts as the least, and a component
+    that holds one has a null component_id."""
+    source, all_docs, total = _classed(docs, k, num, den, text, doc_id, False)
+    dropped(source)
+    of = _components(all_docs, num, den)
+    known = all_docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
+    known = known.join(of, "class", "left").select("class", F.coalesce("component.least", "least").alias("component_id"), "_n")
+    rows = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    out = spread_join(rows.where("class is not null"), written(known, "known"), "class", total).drop("class")
+    out = out.unionByName(rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return out.select(back("doc_id"), "n_shingles", back("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, all columns, without those linked with a row of a smaller id: one row of each group stays.
+
+    Of rows with the group's least id (null is the least) one stays. Rows without words are in no group and all stay."""
+    names = docs.columns
+    source, all_docs, total = _classed(docs, k, num, den, text, doc_id, True)
+    of = _components(all_docs, num, den)
+    row = F.struct("doc_id", "pack", "place")
+    known = written(all_docs.where("class is not null").groupBy("class").agg(F.min(row).alias("first"), F.count("*").alias("_n")).join(of, "class", "left").withColumn("component", F.coalesce(F.col("component.class"), F.col("class"))), "known")
+    winners = known.groupBy("component").agg(F.min("first").alias("winner"))
+    # the classes in which a winner is; rows of all others go
+    lost = known.select("class", "first", "_n").join(winners.select(F.col("winner").alias("first")), "first", "left_semi").select("class", "first", F.lit(True).alias("won"))
+    known = written(known.select("class", "_n").join(lost, "class", "left"), "first_rows")
+    rows = all_docs.where("class is not null").select("pack", "place", "doc_id", "class")
+    going = spread_join(rows, known, "class", total).where(~(F.coalesce("won", F.lit(False)) & (F.struct("doc_id", "pack", "place") == F.col("first"))))
+    going = going.groupBy("pack").agg(F.collect_list("place").alias("places"))  # a pack holds 65,536 rows at most
+
+    def rest(batches):
+        for batch in batches:
+            for body, others, places in zip(*(batch.column(c).to_pylist() for c in ("body", "rest", "places"))):
+                texts = pack_list(body)[1]
+                keep = np.ones(len(texts), bool)
+                keep[places or []] = False
+                yield from unpacked_rows(others, texts, names, text).filter(pa.array(keep)).to_batches()
+
+    return source.select("pack", "body", "rest").join(going, "pack", "left").mapInArrow(rest, docs.schema)

@@ -202,6 +202,7 @@ def test_jaccard(docs, none, monkeypatch, k, num, block):
     from loomgrid.llm import op09_jaccard as op
 
     monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "MOST", 4 * block)
     want = brute_links(sorted(TEXTS.items()), k, num, 100)
     assert len({c for *_, c in want}) < len(want)
     assert got(op.linked(docs, k, num, 100), "doc_id", "n_shingles", "component_id") == want
