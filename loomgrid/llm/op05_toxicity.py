@@ -1,84 +1,146 @@
-"""Toxicity by expressions that differ between toxic and ordinary documents: not a full Kneser-Ney model.
-
-Counts are taken over documents, of toxic and of ordinary ones: how many hold a word pair, a word (lower case, outer
-punctuation off) or a word's first STEM bytes. A count is discounted by D and interpolated with the pooled count of the
-same expression in both classes; pairs don't back off to words nor words to stems, and counts aren't continuation
-counts. Expressions whose two counts differ by less than Z standard deviations weigh nothing. The longest expression
-that differs decides for its word. A document's features are the sum of the log ratios, no less than 0, normalised by
-its length (by n, and by the root of n); a logistic curve fitted to labelled documents that the models have not counted
-turns them into a score. The README has what this method finds, and what full Kneser-Ney models found.
-
-Labels are learned from at most SAMPLE labelled documents of the table outside the held-out fold, those of least hash. The expressions
-that differ are few and bounded by the sample; they are all that goes to the tasks that score.
+"""Toxicity by class-conditional Kneser-Ney models: length-normalised toxic and ordinary log-likelihoods are compared.
+
+A text is its words (lower case, outer punctuation off); a word's stem is its first STEM bytes. The likelihood of a word
+w after v in class c (toxic or ordinary) is interpolated from pair to word to stem to counts that both classes share:
+
+    P_c(w | v) = d_c(v w) / n_c(v .) + g_c(v) P_c(w)     g_c(v) = 1 - sum over w of d_c(v w) / n_c(v .)
+    P_c(w)     = d_c(w) / n_c        + g_c Q_c(stem of w) P(w | stem)
+    Q_c(s)     = d_c(s) / m_c        + h_c Q(s)          Q(s) = (T(s) + 1) / (T + S + 1),  P(w | s) = n(w) / (T(s) + 1)
+
+Counts of pairs are continuation counts: the distinct words met before the pair, in documents of the class; so a passage
+that is copied counts once. Counts of words and stems are documents of distinct texts. d is the discounted count: n - D
+where the two classes' counts differ by Z standard deviations or more; elsewhere the whole count is discount, and its
+mass goes to the back-off. n(w): documents of both classes; T(s): their sum over the stem's words; T, S: sums over all
+stems, and their number; the 1's are for words never seen, of known and of new stems. For each history the likelihoods
+of all words and of those never seen add up to 1 (tested).
+
+A document's total is the sum of log P_1 - log P_0 over its words, less what a text of equal length without any
+expression that differs gets. Its features are the total by length and by the root of the length, in logarithms, with
+their signs; a logistic curve fitted to labelled documents that the models have not counted turns them into a score.
+
+Labels are learned from at most SAMPLE labelled documents of the table outside the held-out fold, those of least hash.
+What differs is few and bounded by the sample; it is all that goes to the tasks that score: other terms are equal in
+both classes, and are never computed.
 """
 
 from __future__ import annotations
 
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAIL, NULL_ID, at_parts, blob, bodies, dropped, id_column, mail, mix, pack_list, packs, parts_for, settle, text_rows, to_parts, unblob, written
+from .common import MAIL, at_parts, blob, bodies, dropped, id_column, mail, mix, pack_list, packs, parts_for, text_rows, to_parts, unblob, written
 from .op08_maxent import fold
-from .words import MOST_WORDS, ascii_words, per_worker
+from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 
 #: Labelled rows to learn from, discount, standard deviations, bytes of a stem.
-SAMPLE, D, Z, STEM = 40_000, 0.75, 4.5, 7
+SAMPLE, D, Z, STEM = 40_000, 0.75, 6.0, 7
 EDGE = b".,;:!?\"'()[]{}<>|*#-_/\\"
 U = np.uint64
+HIGH = U(0xFFFFFFFF00000000)
 
 
 class Words:
-    """Hashes of the stripped word and of its stem, for each raw token."""
+    """Hashes of the stripped words and of their stems, through numbers of the raw tokens that a worker has met."""
 
     def __init__(self, most: int = MOST_WORDS):
-        self.most, self.known = most, {}
+        self.most = most
+        self.forget()
+
+    def forget(self):
+        self.numbers, self.word, self.stem = Numbered(), np.zeros(0, U), np.zeros(0, U)
 
-    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, stem) of the texts' words one after another, and the words of each text. Tokens of punctuation alone are no words."""
         import xxhash
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        h = xxhash.xxh3_64_intdigest
-        for t in tokens:
-            if t not in known:
-                w = t.strip(EDGE)
-                known[t] = (h(w), h(w[:STEM], seed=1)) if w else (0, 0)
-        x = np.array([known[t] for t in tokens], U).reshape(-1, 2)
-        x = x[x[:, 0] != 0]
-        return x[:, 0], x[:, 1]
+        if self.word.size > self.most:
+            self.forget()
+        rows = [ascii_words(t) for t in texts]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        tokens = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        if new := self.numbers.new:
+            h = xxhash.xxh3_64_intdigest
+            bare = [t.strip(EDGE) for t in new]
+            self.word = np.concatenate([self.word, np.array([h(w) if w else 0 for w in bare], U)])
+            self.stem = np.concatenate([self.stem, np.array([h(w[:STEM], seed=1) if w else 0 for w in bare], U)])
+            self.numbers.new = []
+        word = self.word[tokens]
+        some = word != 0
+        doc = np.repeat(np.arange(sizes.size), sizes)[some]
+        return word[some], self.stem[tokens][some], np.bincount(doc, minlength=sizes.size)
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return per_worker("toxic_words", Words).of(texts)
+
+
+def before(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What is before each word in its text; 0 before the first."""
+    out = np.concatenate([np.zeros(1, x.dtype), x[:-1]]) if x.size else x.copy()
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return out
+
 
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """32 bits of the history's hash, then 32 bits of the word's: the sample's words are few enough to be told apart by these."""
+    return (history & HIGH) | (word >> U(32))
 
-def units(text: bytes) -> list[np.ndarray]:
-    """Hashes of the stems, words and word pairs of a text, one for each word; the first word follows nothing."""
-    word, stem = per_worker("toxic_words", Words).of(ascii_words(text))
-    before = np.concatenate([[U(0)], word[:-1]]) if word.size else word
-    return [stem, word, mix(before * U(3) + word)]
+
+def found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each x is among the sorted keys, where)."""
+    if not keys.size:
+        return np.zeros(x.size, bool), np.zeros(x.size, np.int64)
+    at = np.minimum(np.searchsorted(keys, x), keys.size - 1)
+    return keys[at] == x, at
+
+
+def discounted(n1: np.ndarray, n0: np.ndarray, share: float, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts less their discounts: D where they differ by z standard deviations from `share` of their sum, else all."""
+    expected = (n1 + n0) * share
+    far = np.abs(n1 - expected) >= z * np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+    return np.where(far, np.maximum(n1 - D, 0), 0), np.where(far, np.maximum(n0 - D, 0), 0)
 
 
 class Models:
-    """Log ratios (toxic against ordinary) of the expressions that differ, by level: stem, word, pair."""
-
-    def __init__(self, keys: list[np.ndarray], ratios: list[np.ndarray]):
-        order = [np.argsort(k) for k in keys]
-        self.keys, self.ratios = [k[o] for k, o in zip(keys, order)], [r[o] for r, o in zip(ratios, order)]
-
-    def features(self, text: bytes) -> tuple[float, float]:
-        u = units(text)
-        n = u[0].size
-        if not n:
-            return 0.0, 0.0
-        x = np.zeros(n)
-        for level, (keys, ratios) in enumerate(zip(self.keys, self.ratios)):  # the longest expression that differs decides
-            if keys.size:
-                at = np.minimum(np.searchsorted(keys, u[level]), keys.size - 1)
-                x = np.where(keys[at] == u[level], ratios[at], x)
-        total = max(float(x.sum()), 0.0)
-        return float(np.log1p(50 * total / n)), float(np.log1p(total / np.sqrt(n)))
+    """What differs between the classes. Each table: (sorted keys, columns): pairs (2: d_c / n_c), histories (2: g_c), words (4: d_c / n_c, Q(stem), P(w | stem)), stems (3: d_c / m_c, Q)."""
+
+    def __init__(self, pairs=None, histories=None, words=None, stems=None, g=(1.0, 1.0), h=(1.0, 1.0)):
+        tables = []
+        for keys, columns in (pairs or (np.zeros(0, U), np.zeros((0, 2))), histories or (np.zeros(0, U), np.zeros((0, 2))), words or (np.zeros(0, U), np.zeros((0, 4))), stems or (np.zeros(0, U), np.zeros((0, 3)))):
+            order = np.argsort(keys)
+            tables.append((keys[order], columns[order]))
+        self.pairs, self.histories, self.words, self.stems = tables
+        self.g, self.h = g, h
+        self.base = float(np.log(g[0] * h[0]) - np.log(g[1] * h[1]))
+
+    def ratios(self, word: np.ndarray, stem: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P_1 - log P_0 of each word, less `base`, the same of a word of which nothing differs. Classes are in the order toxic, ordinary."""
+        out = np.zeros(word.size)
+        history = before(word, sizes)
+        has = [found(t[0], x) for t, x in ((self.pairs, pair_keys(history, word)), (self.histories, history & HIGH), (self.words, word), (self.stems, stem))]
+        i = np.flatnonzero(has[0][0] | has[1][0] | has[2][0] | has[3][0])
+        if not i.size:
+            return out
+        pair, hist, own, st = (np.where(ok[i][:, None], t[1][at[i]], empty) if t[0].size else np.broadcast_to(np.array(empty, float), (i.size, len(empty)))
+                               for (ok, at), t, empty in zip(has, (self.pairs, self.histories, self.words, self.stems), ([0, 0], [1, 1], [0, 0, 1, 1], [0, 0, 1])))
+        q = np.where(has[2][0][i], own[:, 2], st[:, 2])  # where neither the word nor its stem is known here, these factors are the same in both classes
+        logs = []
+        for c in (0, 1):
+            by_stem = st[:, c] + self.h[c] * q
+            logs.append(np.log(pair[:, c] + hist[:, c] * (own[:, c] + self.g[c] * by_stem * own[:, 3])))
+        out[i] = logs[0] - logs[1] - self.base
+        return out
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, 2): the total by length and by its root, in logarithms with signs; 0 for texts without words."""
+        word, stem, sizes = words_of(texts)
+        total = np.bincount(np.repeat(np.arange(sizes.size), sizes), weights=self.ratios(word, stem, sizes), minlength=sizes.size)
+        n = np.maximum(sizes, 1)
+        return np.sign(total)[:, None] * np.log1p(np.abs(total)[:, None] * np.stack([50 / n, 1 / np.sqrt(n)], axis=1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -91,88 +153,127 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def scores(models: Models, curve: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + models.features(texts) @ curve[1:], -30, 30)))
+
+
+def _dealt(part: np.ndarray, n: int):
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(n + 1)).tolist()
+    return [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+
+
+def _counted(keys: np.ndarray, toxic: np.ndarray, weights=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, index of one of each, its toxic and its ordinary count)."""
+    k, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    n1, n0 = (np.bincount(of, weights=(toxic == c) if weights is None else weights[1 - c], minlength=k.size) for c in (1, 0))
+    return k, first, n1, n0
+
+
 def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int, text: str, doc_id: str) -> tuple[Models, np.ndarray]:
     """The models, counted over the sample's folds but the first after the held-out one, and the curve, fitted to that one."""
     spark = docs.sparkSession
+    of_fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(by))
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by)) != held)
+    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(of_fold("doc_id") != held)
     named = named.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     toxic = {r["doc_id"]: r["toxic"] for r in rows}
     if not toxic:
-        return Models([np.zeros(0, U)] * 3, [np.zeros(0)] * 3), np.zeros(3)
+        return Models(), np.zeros(3)
+    tuned = (held + 1) % by
     chosen = spark.createDataFrame(pa.table({"_chosen": pa.array(list(toxic), pa.int64())}).to_pandas())
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen")).select("doc_id", "text")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"))
+    # equal texts are counted once, as the least id's
+    own = own.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256), F.when(of_fold("doc_id") == tuned, F.col("doc_id"))).agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.*")
     source = packs(own)
     n_parts = parts_for(spark, source.agg(F.sum("raw")).first()[0] or 0)
-    tuned = (held + 1) % by
 
     def ask(pack, body):
         ids, texts = pack_list(body)
-        use = fold(ids, by) != tuned
-        label = np.array([toxic[i] for i in ids.tolist()])
-        got = [[], [], []]
-        for t, u in zip(texts, use.tolist()):
-            for k, x in enumerate(units(t) if u else [np.zeros(0, U)] * 3):
-                got[k].append(np.unique(x))
-        docs_ = np.zeros(2, np.int64)
-        np.add.at(docs_, label[use], 1)
-        yield n_parts, blob(docs_)
-        for k, x in enumerate(got):
-            which = np.repeat(label, [a.size for a in x])
-            h, of = np.unique(np.concatenate(x), return_inverse=True)
-            n1, n0 = (np.bincount(of, weights=which == c, minlength=h.size).astype(np.int32) for c in (1, 0))
-            part = (h % U(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(n_parts + 1))
-            for p in range(n_parts):
-                if (i := order[bounds[p] : bounds[p + 1]]).size:
-                    yield p, blob(np.array([k]), h[i], n1[i], n0[i])
-
-    sent = written(to_parts(source, ask), "units")
-    sizes = np.zeros(2)
-    add = lambda ids, got: iter([(-1, blob(sum(unblob(x)[0] for x in got)))]) if got else iter(())
-    for r in at_parts(sent.where(F.col("part") == n_parts).withColumn("part", F.lit(0)), 1, add).collect():
-        sizes += unblob(r["body"])[0]
-    share = sizes[1] / max(1, sizes.sum())
-
-    def answer(pack_ids, got):
-        rows = [unblob(x) for x in got]
-        for k in range(3):
-            own = [r for r in rows if r[0][0] == k]
-            if not own:
-                continue
-            h, of = np.unique(np.concatenate([r[1] for r in own]), return_inverse=True)
-            n1, n0 = (np.bincount(of, weights=np.concatenate([r[c] for r in own]).astype(np.float64)) for c in (2, 3))
-            e = (n1 + n0) * share
-            z = (n1 - e) / np.sqrt(np.maximum(e * (1 - share), 1e-9))
-            keep = np.abs(z) >= Z
-            yield -1, blob(np.array([k]), h[keep], n1[keep], n0[keep], np.array([n1.sum(), n0.sum(), (n1 > 0).sum(), (n0 > 0).sum()]))
-
-    got = [unblob(r["body"]) for r in at_parts(sent.where(F.col("part") < n_parts), n_parts, answer).collect()]
+        use = np.flatnonzero(fold(ids, by) != tuned)
+        label = np.array([toxic[i] for i in ids[use].tolist()], np.uint8)
+        word, stem, sizes = words_of([texts[i] for i in use.tolist()])
+        doc = np.repeat(np.arange(sizes.size), sizes)
+        history = before(word, sizes)
+        pair, two = pair_keys(history, word), (before(history, sizes) >> U(32)).astype(np.uint32)
+        # pairs with the word before them, in each class: distinct here, then over all packs
+        triple = np.unique(mix(pair) ^ mix(two.astype(U) * U(2) + label[doc]), return_index=True)[1]
+        yield 2 * n_parts, blob(np.bincount(label, minlength=2), np.bincount(label[doc], minlength=2))
+        pair, two, kind = pair[triple], two[triple], label[doc[triple]]
+        for p, i in _dealt((mix(pair & HIGH) % U(n_parts)).astype(np.int64), n_parts):
+            yield p, blob(pair[i], two[i], kind[i])
+        one = np.unique(mix(word) ^ doc.astype(U), return_index=True)[1]  # each word of each document
+        w, first, n1, n0 = _counted(word[one], label[doc[one]])
+        of = stem[one][first]
+        one = np.unique(mix(stem) ^ doc.astype(U), return_index=True)[1]
+        s, _, m1, m0 = _counted(stem[one], label[doc[one]])
+        at_stem = dict(_dealt((mix(s) % U(n_parts)).astype(np.int64), n_parts))
+        for p, i in _dealt((mix(of) % U(n_parts)).astype(np.int64), n_parts):
+            j = at_stem[p]
+            yield n_parts + p, blob(w[i], of[i], n1[i].astype(np.int32), n0[i].astype(np.int32), s[j], m1[j].astype(np.int32), m0[j].astype(np.int32))
+
+    sent = written(to_parts(source, ask), "counts")
+    add = lambda ids, got: iter([(-1, blob(*[sum(x) for x in zip(*map(unblob, got))]))]) if got else iter(())
+    sums = [unblob(r["body"]) for r in at_parts(sent.where(F.col("part") == 2 * n_parts).withColumn("part", F.lit(0)), 1, add).collect()]  # four numbers
+    n_docs, n_words = sums[0] if sums else (np.zeros(2), np.zeros(2))
+    share, pair_share = (float(x[1]) / max(1.0, float(x.sum())) for x in (n_docs, n_words))
+
+    def pairs(pack_ids, got):
+        pair, two, kind = (np.concatenate(x) for x in zip(*map(unblob, got)))
+        one = np.unique(mix(pair) ^ mix(two.astype(U) * U(2) + kind), return_index=True)[1]
+        pair, _, n1, n0 = _counted(pair[one], kind[one])
+        d = discounted(n1, n0, pair_share, Z)
+        history, of = np.unique(pair & HIGH, return_inverse=True)
+        totals = [np.maximum(np.bincount(of, weights=n, minlength=history.size), 1) for n in (n1, n0)]
+        shares = [x / t[of] for x, t in zip(d, totals)]
+        left = [1 - np.bincount(of, weights=x, minlength=history.size) for x in shares]
+        keep = (d[0] > 0) | (d[1] > 0)
+        some = np.unique(of[keep])
+        yield -1, blob(pair[keep], *[x[keep] for x in shares], history[some], *[x[some] for x in left])
+
+    got = [unblob(r["body"]) for r in at_parts(sent.where(F.col("part") < n_parts), n_parts, pairs).collect()]  # the expressions that differ
+    pair, p1, p0, history, g1, g0 = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), *np.zeros((2, 0)), np.zeros(0, U), *np.zeros((2, 0)))
+    asked = np.unique(pair & U(0xFFFFFFFF))
+
+    def words(pack_ids, got):
+        w, of, n1, n0, s, m1, m0 = (np.concatenate(x) for x in zip(*map(unblob, got)))
+        w, first, n1, n0 = _counted(w, None, (n1, n0))
+        of = of[first]
+        s, _, m1, m0 = _counted(s, None, (m1, m0))
+        d, e = discounted(n1, n0, share, Z), discounted(m1, m0, share, Z)
+        mass = np.bincount(np.searchsorted(s, of), weights=n1 + n0, minlength=s.size)
+        keep = (d[0] > 0) | (d[1] > 0) | found(asked, w >> U(32))[0]
+        i = np.searchsorted(s, of[keep])
+        kept = (e[0] > 0) | (e[1] > 0)
+        sums = [x.sum() for x in (n1, n0, m1, m0, *d, *e)]
+        yield -1, blob(w[keep], d[0][keep], d[1][keep], (n1 + n0)[keep], mass[i], s[kept], e[0][kept], e[1][kept], mass[kept], np.array([*sums, s.size]))
+
+    got = [unblob(r["body"]) for r in at_parts(sent.where((F.col("part") >= n_parts) & (F.col("part") < 2 * n_parts)).withColumn("part", F.col("part") - n_parts), n_parts, words).collect()]
     dropped(sent)
-    keys, ratios = [], []
-    for k in range(3):
-        own = [g for g in got if g[0][0] == k]
-        if not own:
-            keys.append(np.zeros(0, U))
-            ratios.append(np.zeros(0))
-            continue
-        h, n1, n0 = (np.concatenate([g[c] for g in own]) for c in (1, 2, 3))
-        m1, m0, t1, t0 = sum(g[4] for g in own)
-        shared = (n1 + n0) / (m1 + m0)  # both classes back off to this
-        p1, p0 = ((np.maximum(n - D, 0) + D * t * shared) / max(m, 1) for n, t, m in ((n1, t1, m1), (n0, t0, m0)))
-        keys.append(h)
-        ratios.append(np.log(np.maximum(p1, 1e-12) / np.maximum(p0, 1e-12)))
-    models = Models(keys, ratios)
+    models = Models()
+    if got:
+        w, d1, d0, n, mass, s, e1, e0, s_mass = (np.concatenate(x) for x in list(zip(*got))[:-1])
+        n1, n0, m1, m0, a1, a0, b1, b0, n_stems = np.sum([x[-1] for x in got], axis=0)
+        n1, n0, m1, m0 = (max(1.0, x) for x in (n1, n0, m1, m0))
+        whole = n1 + n0 + n_stems + 1
+        models = Models(
+            (pair, np.stack([p1, p0], 1)),
+            (history, np.stack([g1, g0], 1)),
+            (w, np.stack([d1 / n1, d0 / n0, (mass + 1) / whole, n / (mass + 1)], 1)),
+            (s, np.stack([e1 / m1, e0 / m0, (s_mass + 1) / whole], 1)),
+            (1 - a1 / n1, 1 - a0 / n0),
+            (1 - b1 / m1, 1 - b0 / m0),
+        )
 
     def tune(batches):
         for batch in batches:
             for body in batch.column("body").to_pylist():
                 ids, texts = pack_list(body)
-                out = [(*models.features(t), toxic[i]) for i, t, f in zip(ids.tolist(), texts, fold(ids, by).tolist()) if f == tuned]
-                if out:
-                    yield mail([(0, 0, blob(np.array(out, np.float64).ravel()))])
+                own = np.flatnonzero(fold(ids, by) == tuned)
+                if own.size:
+                    x = models.features([texts[i] for i in own.tolist()])
+                    yield mail([(0, 0, blob(np.column_stack([x, [toxic[i] for i in ids[own].tolist()]]).ravel()))])
 
     rows = [unblob(r["body"])[0].reshape(-1, 3) for r in source.select("body").mapInArrow(tune, MAIL).collect()]  # three numbers for each labelled row of a fold of the sample
     dropped(source)
@@ -184,34 +285,34 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each whole text.
+    """(doc_id, held_out, score, predicted) of each whole text, a row for each row of `docs`, repeated ids too.
 
-    held_out: crc32(doc_id as text) mod `by` = `held`; labels of such rows are never looked at. score: 0 to 1, higher
-    where label 1 is likelier; empty and null texts get the curve's value for no difference. A document labelled twice
-    counts as toxic if one label says so. Without labels all scores are 0.5."""
+    held_out: crc32(doc_id as text) mod `by` = `held`; labels of such rows are never looked at. A null doc_id is never
+    labelled; its fold is that of the empty text. score: 0 to 1, higher where label 1 is likelier; empty and null texts
+    get the curve's value for no difference. A document labelled twice counts as toxic if one label says so. Without
+    labels all scores are 0.5. Other columns, of any name, are not read."""
     models, curve = learned(docs, labels, by, held, sample, text, doc_id)
 
     def run(batches):
         for batch in batches:
             for ids, texts in bodies(batch):
-                x = np.array([models.features(t) for t in texts])
-                score = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
+                score = scores(models, curve, texts)
                 yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(fold(ids, by) == held), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return text_rows(docs, text, doc_id).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, all columns, whose text toxicity() would not predict to be toxic. No shuffle; rows are judged by their texts alone."""
+    """The rows of `docs`, all columns, that toxicity() does not predict to be toxic; without labels to learn from, all of them. No shuffle; rows are judged by their texts alone."""
     models, curve = learned(docs, labels, by, held, sample, text, doc_id)
+    if not curve.any():
+        return docs
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text).cast(pa.binary()).fill_null(b"")
-            keep = np.ones(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x = models.features(texts[k].as_py())
-                keep[k] = curve[0] + x[0] * curve[1] + x[1] * curve[2] < 0 or not any(x)
-            yield batch.filter(pa.array(keep))
+            body = batch.column(text).cast(pa.binary()).fill_null(b"")
+            for at in range(0, batch.num_rows, 512):
+                texts = body.slice(at, 512).to_pylist()
+                yield batch.slice(at, len(texts)).filter(pa.array(scores(models, curve, texts) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -411,10 +411,10 @@ def test_maxent_pairs_and_triples_add_up_to_one():
 def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
     from loomgrid.llm.op05_toxicity import learned
 
-    docs = spark.createDataFrame([(i, "plain words here " + ("grolm" if i % 8 == 0 else "again")) for i in range(400)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"plain words {i} " + ("grolm" if i % 8 == 0 else "again")) for i in range(400)], "doc_id long, text string")
     labels = spark.range(40_000).selectExpr("id as doc_id", "0 as quality", "int(id % 8 = 0) as toxic")
     models, _ = learned(docs, labels, 5, 0, 400, "text", "doc_id")
-    assert models.keys[1].size
+    assert models.words[0].size
 
 
 def test_all_expressions_that_differ_are_kept(spark):
@@ -423,7 +423,7 @@ def test_all_expressions_that_differ_are_kept(spark):
 
     ids = [i for i in range(200) if zlib.crc32(b"%d" % i) % 5 > 1][:60]
     n = (1 << 18) + 5000
-    docs = spark.createDataFrame([(i, " ".join(map("x{}".format, range(n))) if i == ids[0] else "plain words") for i in ids], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(map("x{}".format, range(n))) if i == ids[0] else f"plain words {i}") for i in ids], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
     models, _ = learned(docs, labels, 5, 0, 400, "text", "doc_id")
-    assert models.keys[1].size >= n
+    assert models.words[0].size >= n
