@@ -7,9 +7,11 @@ TAIL classes by a hash of their last two bytes. A word with c training occurrenc
 of all known words and of an unknown word add up to 1 in every context.
 
 Features of a class: its bias, the word before (bigram), the word before that (skip), and both (trigram), hashed to
-CONTEXTS buckets. Bigram weights start from counts, then all are moved by gradient steps of the log-likelihood: each
-task takes steps over all training documents in its share, from the same start, and the tasks' weights are averaged,
-row by row, by how often each task met the row.
+CONTEXTS buckets. Bigram weights start from counts, then all are moved in ROUNDS of distributed gradient updates: each
+round sums, over the training documents whose hash lies in its share, how often each feature was met and how often the
+model expected it, and moves every weight by the difference of the two logarithms. Tasks read about SHARE_BYTES of text
+each and are summed as a tree, in whole numbers: the result depends on the documents alone, not on how they are packed,
+on the order in which tasks end or on the number of cores.
 
 Words then get features of their own: every pair and every triple of training words, however rare, exact by 64-bit hash
 and as many as the training text has. The likelihood of a word w after u, v is
@@ -20,9 +22,11 @@ class part by what they follow. The start of a text is a context like others; a
 
 Counts cover all training documents. A pack of documents sends each distinct word's count to the word's part, which
 answers with the word's total, and pairs and triples get theirs likewise, so no table of all words or contexts is ever
-in one place; only TOP words and the weights of classes (fixed sizes) go to all tasks. Words are hashed once, into packs of tokens; with the counts and the TOP words these turn into
-packs of tokens with 16-bit codes, counts and what a text's base score owes to them. Steps and scores read these, in
-numpy batches.
+in one place; only TOP words and the weights of classes (fixed sizes) go to all tasks. Words are hashed once, into packs
+of tokens; with the counts and the TOP words these turn into packs of tokens with 16-bit codes, counts and what a text's
+base score owes to them. Rounds and scores read these, in numpy batches. A pack numbers its words by frequency, those
+met once by their hashes, which are then told by their differences. Words count by 64 bits of hash; in pairs and triples
+they stand by 48, and a part tells its pairs and triples apart by 40 bits beside those that chose the part.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +45,12 @@ from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 
 #: Words with places of their own, their classes, classes of the others, words whose followers are counted, buckets of trigrams.
 TOP, CLASSES, TAIL, BEFORE, CONTEXTS = 4096, 32, 32, 512, 1 << 13
-#: First size of the gradient steps, and tokens of a step.
-RATE, STEP = 1.0, 4096
+#: Ends of the rounds of gradient steps, as shares of the training documents: each takes the documents whose hash lies in its share.
+ROUNDS = (1 / 32, 2 / 32, 4 / 32, 8 / 32, 16 / 32, 1.0)
+#: Size of the steps, occurrences added to those counted, tokens whose gradients are added up at once, and the unit that they are rounded to; STEP * UNIT fits 31 bits.
+RATE, PRIOR, STEP, UNIT = 0.5, 2.0, 4096, 1 << 18
+#: Bytes of text that one task of a round reads: it sends all weights' sums once.
+SHARE_BYTES = 64 << 20
 #: Occurrences that the level below counts for among the words after a word, and after two words.
 PAIR, TRIPLE = 100.0, 10.0
 #: Tokens whose followers are counted at once.
@@ -59,6 +68,11 @@ def fold(ids: np.ndarray, by: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == NULL_ID else b"%d" % i) % by for i in ids.tolist()], np.int64)
 
 
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each id, by hash; of equal ids the same."""
+    return (mix(ids.astype(U) + U(3)) >> U(11)).astype(np.float64) / 2**53
+
+
 class Tokens:
     """Tokens of texts as 64-bit hashes whose five low bits are the tail class, through numbers of the words that a worker has met."""
 
@@ -89,10 +103,51 @@ class Tokens:
         return self.hashes[met], places[tokens], sizes
 
 
+def planes(x: np.ndarray, k: int) -> np.ndarray:
+    """The k low bytes of whole numbers, byte by byte."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).ravel()
+
+
+def unplaned(p: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((p.size // k, 8), np.uint8)
+    out[:, :k] = p.reshape(k, -1).T
+    return out.view("<u8").ravel().astype(U)
+
+
+def deltas(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; cumsum() undoes it."""
+    return np.diff(x, prepend=U(0)) if x.size else x
+
+
+def hashed(words: np.ndarray, often: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k high bytes of the first `often` hashes, and of the others, which are sorted."""
+    x = words >> U(64 - 8 * k)
+    return planes(x[:often], k), planes(deltas(x[often:]), k)
+
+
+def unhashed(first: np.ndarray, rest: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([unplaned(first, k), np.cumsum(unplaned(rest, k), dtype=U)]) << U(64 - 8 * k)
+
+
 def token_pack(ids: np.ndarray, texts: list[bytes]) -> bytes:
-    """Body of a pack of tokens: ids, tokens of each text, hashes of the distinct tokens, place of each token among them."""
+    """Body of a pack of tokens, for pack_tokens(): distinct tokens by how often they are met, then those met once by their hashes."""
     words, of, sizes = per_worker("tokens", Tokens).of(texts)
-    return blob(ids, sizes, words, of)
+    n = np.bincount(of, minlength=words.size)
+    order = np.lexsort((words, np.where(n > 1, -n, 0)))
+    place = np.empty(words.size, U)
+    place[order] = np.arange(words.size, dtype=U)
+    return blob(ids, sizes, *hashed(words[order], int((n > 1).sum()), 8), planes(place[of], 4 if words.size >> 24 else 3))
+
+
+def places(of: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Place of each token among the distinct ones."""
+    return unplaned(of, of.size // max(1, n_tokens) or 3).astype(np.int64)
+
+
+def pack_tokens(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, tokens of each text, hashes of the distinct tokens, place of each token among them)."""
+    ids, sizes, first, rest, of = unblob(body)
+    return ids, sizes, unhashed(first, rest, 8), places(of, int(sizes.sum()))
 
 
 def follows(words: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +163,12 @@ def follows(words: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
 
 
 def keyed(keys: np.ndarray) -> np.ndarray:
-    """48 bits of each key, byte by byte; a part holds so few keys that no two agree in these."""
-    return np.ascontiguousarray((keys >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].T).ravel()
+    """40 bits of each of a part's sorted keys."""
+    return planes(deltas(keys >> U(24)), 5)
 
 
-def unkeyed(planes: np.ndarray) -> np.ndarray:
-    out = np.zeros((planes.size // 6, 8), np.uint8)
-    out[:, :6] = planes.reshape(6, -1).T
-    return out.view(U).ravel()
+def unkeyed(p: np.ndarray) -> np.ndarray:
+    return np.cumsum(unplaned(p, 5), dtype=U)
 
 
 def tight(counts: np.ndarray) -> np.ndarray:
@@ -169,7 +222,7 @@ class Model:
         two[starts[sizes > 1] + 1] = self.n
         return one, two, (mix(one.astype(U) * U(1 << 20) + two.astype(U)) % U(CONTEXTS)).astype(np.int64)
 
-    def start(self, pairs: np.ndarray, firsts: np.ndarray):
+    def start(self, pairs: np.ndarray):
         """Classes, biases and bigram weights from counts. pairs: (word before, below BEFORE or any other; word or n + tail class)."""
         n = self.n
         rows = np.sqrt(pairs[:, :n].T / np.maximum(pairs[:, :n].sum(0)[:, None], 1.0))
@@ -226,25 +279,30 @@ class Model:
         """log10 likelihood of each token, by its hash; counts: its occurrences in training."""
         return np.log10(counts + 1.0) + self.chances(self.codes(h), sizes)
 
-    def learn(self, w: np.ndarray, sizes: np.ndarray, met: list[np.ndarray]):
-        """Gradient steps over texts, STEP tokens each; met: tokens seen by each row of A, B and T, which slow its steps."""
+    def occurrences(self, w: np.ndarray, sizes: np.ndarray, sums: list[np.ndarray]):
+        """Adds up, for each row and class of A, B and T, how often the class was met (sums[0:3]) and was to be expected (sums[3:6], in units of 1 / UNIT, so that sums are whole numbers and come out the same in any order)."""
         keys = self.contexts(w, sizes)
         small = [k.astype(np.uint16) for k in keys]
         c = self.classes(w)
+        for k, met in zip(keys, sums):
+            met.ravel()[:] += np.bincount(k * ALL + c, minlength=met.size)
         for a in range(0, w.size, STEP):
             i = slice(a, a + STEP)
             g = self.weights(*(k[i] for k in keys))
             g -= g.max(axis=1, keepdims=True)
             np.exp(g, out=g)
-            g /= -g.sum(axis=1, keepdims=True)
-            g[np.arange(g.shape[0]), c[i]] += 1
-            for weights, k, n in zip((self.A, self.B, self.T), small, met):
+            g *= UNIT / g.sum(axis=1, keepdims=True)
+            g = np.rint(g, out=g).astype(np.int32)
+            for k, expected in zip(small, sums[3:]):
                 order = np.argsort(k[i], kind="stable")  # of 16 bits: a radix sort
                 own = k[i][order]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                rows, times = own[first], np.diff(first, append=own.size)
-                n[rows] += times
-                weights[rows] += np.add.reduceat(g[order], first, axis=0) * (RATE / np.sqrt(n[rows] + 20.0) / np.sqrt(times))[:, None].astype(np.float32)
+                expected[own[first]] += np.add.reduceat(g[order], first, axis=0)
+
+    def move(self, sums: list[np.ndarray]):
+        """A step uphill: every weight by RATE of the log of how much oftener its feature was met than expected."""
+        for weights, met, expected in zip((self.A, self.B, self.T), sums, sums[3:]):
+            weights += (RATE * np.log((met + PRIOR) / (expected / UNIT + PRIOR))).astype(np.float32)
 
 
 def written_alone(df: DataFrame, label: str) -> DataFrame:
@@ -258,19 +316,23 @@ def written_alone(df: DataFrame, label: str) -> DataFrame:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
-def _summed(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Sums of the arrays that tasks sent under each of n keys; fixed sizes, so they may reach the driver."""
+def _summed(rows: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """Sums of the arrays of whole numbers that `tasks` tasks sent under a few keys (part); 32 at most meet in one task. They have fixed sizes, so the sums may reach the driver."""
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for k, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist()):
-                x = unblob(body)[0].astype(np.float64)
-                sums[k] = sums[k] + x if k in sums else x
-        for k, x in sums.items():
-            yield mail([(k, 0, blob(x))])
+            for k, to, body in zip(*(batch.column(c).to_pylist() for c in ("part", "pack", "body"))):
+                x = unblob(body)[0].astype(np.int64)
+                sums[k, to] = sums[k, to] + x if (k, to) in sums else x
+        for (k, to), x in sums.items():
+            yield mail([(k, to, blob(tight(x)))])
 
-    return {r["part"]: unblob(r["body"])[0] for r in rows.repartitionById(n, "part").mapInArrow(add, MAIL).collect()}
+    while True:
+        tasks = -(-tasks // 32)
+        rows = rows.withColumn("pack", F.pmod("pack", F.lit(tasks))).repartition(min(6 * tasks, 4096), "part", "pack").mapInArrow(add, MAIL)
+        if tasks == 1:
+            return {r["part"]: unblob(r["body"])[0] for r in rows.collect()}
 
 
 def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -290,7 +352,7 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
         return [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
 
     def ask(pack, body):
-        ids, sizes, words, of = unblob(body)
+        ids, sizes, words, of = pack_tokens(body)
         counts = np.bincount(of[np.repeat(fold(ids, by) != held, sizes)], minlength=words.size)
         for part, i in shares(words):
             yield part, blob(words[i], counts[i])
@@ -328,29 +390,32 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     model = Model(words, counts.astype(np.float64), mass.astype(np.float64))
 
     def code(pack, body, told):
-        ids, sizes, words, of = unblob(body)
+        ids, sizes, words, of = pack_tokens(body)
         c = np.zeros(words.size, np.int64)
         for part, i in shares(words):
             c[i] = unblob(told[0][part])[0]
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x[of], starts)
-        out = blob(ids, sizes, (fold(ids, by) == held).astype(np.uint8), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (total + distinct + 1))), words, c, model.codes(words), of)
-        return pa.table({"pack": pa.array([pack], pa.int64()), "body": pa.array([out], pa.binary())})
+        _, _, first, _, line = unblob(body)
+        own = blob(ids, sizes, (fold(ids, by) == held).astype(np.uint8), add((c > 0).astype(np.int64)), add(np.log10((c + 1) / (total + distinct + 1))), *hashed(words, first.size // 8, 6), tight(c), model.codes(words), line)
+        return pa.table({"pack": pa.array([pack], pa.int64()), "body": pa.array([own], pa.binary())})
 
     coded = written(at_packs(source, [replies.where("pack >= 0")], code, "pack long, body binary"), "coded", "uncompressed")
     dropped(source)
     dropped(replies)
     settle(spark)
-    tasks = coded.select("body").coalesce(2 * spark.sparkContext.defaultParallelism)  # each sends all weights once, so their number is the cluster's, not the data's
+    n_tasks = int(source_bytes // SHARE_BYTES) + 1
+    tasks = coded.select("body").coalesce(n_tasks)
 
-    def training(body):
-        _, sizes, out, *_, codes, of = unblob(body)
-        return codes[of[np.repeat(out == 0, sizes)]], sizes[out == 0]
+    def training(body, lo=0.0, hi=1.0):
+        ids, sizes, out, *_, codes, of = unblob(body)
+        own = (out == 0) & (spread(ids) >= lo) & (spread(ids) < hi)
+        return codes[places(of, int(sizes.sum()))[np.repeat(own, sizes)]], sizes[own]
 
     def follow(batches):
         n = model.n
         row = np.concatenate([np.minimum(np.arange(n), BEFORE), np.arange(BEFORE + 1, BEFORE + 2 + TAIL)])
-        out, waiting, some = np.zeros((BEFORE + 2 + TAIL, n + TAIL)), [], False
+        out, waiting, some = np.zeros((BEFORE + 2 + TAIL, n + TAIL), np.int64), [], False
 
         def count():
             if waiting:
@@ -368,46 +433,49 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
                         count()
         count()
         if some:
-            yield mail([(0, 0, blob(out.astype(np.float32).ravel()))])
+            yield mail([(0, TaskContext.get().partitionId(), blob(tight(out.ravel())))])
 
-    pairs = _summed(tasks.mapInArrow(follow, MAIL), 1).get(0, np.zeros((BEFORE + 2 + TAIL) * (model.n + TAIL)))
-    model.start(pairs.reshape(BEFORE + 2 + TAIL, -1), None)
+    pairs = _summed(tasks.mapInArrow(follow, MAIL), n_tasks).get(0, np.zeros((BEFORE + 2 + TAIL) * (model.n + TAIL)))
+    model.start(pairs.astype(np.float64).reshape(BEFORE + 2 + TAIL, -1))
     shapes = [x.shape for x in (model.A, model.B, model.T)]
 
-    def step(batches):
-        import copy
-
-        own = copy.deepcopy(model)
-        met = [np.zeros(s[0], np.int64) for s in shapes]
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                w, sizes = training(body)
-                if w.size:
-                    own.learn(w, sizes, met)
-        if met[0].any():
-            for k, (x, n) in enumerate(zip((own.A, own.B, own.T), met)):
-                yield mail([(2 * k, 0, blob((x * n[:, None].astype(np.float32)).ravel())), (2 * k + 1, 0, blob(n))])
-
-    learnt = _summed(tasks.mapInArrow(step, MAIL), 6)
-    for k, x in enumerate((model.A, model.B, model.T)):
-        if 2 * k in learnt:
-            n = learnt[2 * k + 1]
-            rows = n > 0
-            x[rows] = learnt[2 * k].reshape(x.shape)[rows] / n[rows, None]
+    def gather(lo, hi):
+        def run(batches):
+            sums = [np.zeros(s, np.int64) for s in 2 * shapes]
+            for batch in batches:
+                for body in batch.column("body").to_pylist():
+                    w, sizes = training(body, lo, hi)
+                    if w.size:
+                        model.occurrences(w, sizes, sums)
+            if sums[0].any():
+                for k, x in enumerate(sums):
+                    yield mail([(k, TaskContext.get().partitionId(), blob(tight(x.ravel())))])
+
+        return run
+
+    for lo, hi in zip((0.0, *ROUNDS[:-1]), ROUNDS):
+        sums = _summed(tasks.mapInArrow(gather(lo, hi), MAIL), n_tasks)
+        if sums:
+            model.move([sums[k].reshape(s) for k, s in enumerate(2 * shapes)])
+        settle(spark)
 
     n_grams = parts_for(spark, source_bytes)
 
     def grams(level, words, of, sizes):
         """Distinct keys of a pack's pairs (level 0) or triples (1), the place of each token's key, and the keys' places by part."""
         keys, at = np.unique(follows(words, of, sizes)[level], return_inverse=True)
-        part = ((keys & U(0xFFFFFFFF)) % U(n_grams)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        part = ((keys & U(0xFFFFFF)) % U(n_grams)).astype(np.int64)
+        order = np.argsort(part.astype(np.uint16) if n_grams <= 1 << 16 else part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(n_grams + 1)).tolist()
         return keys, at, [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
 
+    def opened(body):
+        ids, sizes, out, _, _, first, rest, c, codes, of = unblob(body)
+        return ids, sizes, out, unhashed(first, rest, 6), c, codes, places(of, int(sizes.sum()))
+
     def ask_grams(level):
         def ask(pack, body):
-            _, sizes, out, _, _, words, _, _, of = unblob(body)
+            _, sizes, out, words, _, _, of = opened(body)
             keys, at, dealt = grams(level, words, of, sizes)
             counts = np.bincount(at[np.repeat(out == 0, sizes)], minlength=keys.size)
             for part, i in dealt:
@@ -429,7 +497,8 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     settle(spark)
 
     def finish(pack, body, told):
-        ids, sizes, out, known, base, words, c, codes, of = unblob(body)
+        ids, sizes, out, words, c, codes, of = opened(body)
+        known, base = unblob(body)[3:5]
         counts = []
         for level in (0, 1):
             keys, at, dealt = grams(level, words, of, sizes)
@@ -437,7 +506,7 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
             for part, i in dealt:
                 n[i] = unblob(told[level][part])[0]
             counts.append(n[at])
-        c, (pair, triple) = c[of], counts
+        c, (pair, triple) = c[of].astype(np.int64), counts
         by_token = blended(np.log10(c + 1.0) + model.chances(codes[of], sizes), c, pair, triple, sizes)
         score = np.add.reduceat(by_token, np.cumsum(sizes) - sizes)
         columns = {"doc_id": id_column(ids), "held_out": pa.array(out == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(ids.size, total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)}

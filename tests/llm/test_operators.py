@@ -291,7 +291,7 @@ def test_maxent_adds_up_to_one():
     others, few = rng.integers(0, 2**63, 40).astype(u), np.ones(40)
     mass = np.bincount(np.concatenate([words, others]).astype(np.int64) & (TAIL - 1), weights=np.concatenate([counts, few]) + 1, minlength=TAIL)
     m = Model(words, counts, mass)
-    m.start(rng.integers(0, 5, (BEFORE + 2 + TAIL, 90 + TAIL)).astype(float), None)
+    m.start(rng.integers(0, 5, (BEFORE + 2 + TAIL, 90 + TAIL)).astype(float))
     m.B += rng.standard_normal(m.B.shape).astype(np.float32)
     outcomes = np.concatenate([words, others, (np.arange(TAIL).astype(u) | u(1 << 63))])
     c = np.concatenate([counts, few, np.zeros(TAIL)])
@@ -346,8 +346,7 @@ def test_pipeline(spark, docs, tmp_path):
 def test_tokens_are_the_same_whatever_a_worker_forgets():
     from xxhash import xxh3_64_intdigest
 
-    from loomgrid.llm.op08_maxent import END, TAIL, Tokens, token_pack
-    from loomgrid.llm.common import unblob
+    from loomgrid.llm.op08_maxent import END, TAIL, Tokens, pack_tokens, token_pack
 
     rng = random.Random(3)
     texts = [b"", b" \t", *(" ".join(rng.choice(VOCAB) for _ in range(rng.randrange(40))).encode() for _ in range(30)), b"A a\xc3\x84 a"]
@@ -363,7 +362,7 @@ def test_tokens_are_the_same_whatever_a_worker_forgets():
                 assert seen.setdefault(w, h) == h
     assert seen[None] == int(END) and len(set(seen.values())) == len(seen)
     assert all(h % TAIL == xxh3_64_intdigest(w[-2:]) % TAIL for w, h in seen.items() if w)
-    ids, sizes, words, of = unblob(token_pack(np.array([4, 9]), [b"x y x", b""]))
+    ids, sizes, words, of = pack_tokens(token_pack(np.array([4, 9]), [b"x y x", b""]))
     assert ids.tolist() == [4, 9] and sizes.tolist() == [4, 1] and words.size == 3 and of.tolist()[0] == of.tolist()[2]
 
 
