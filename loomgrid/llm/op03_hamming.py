@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Codes in a block, queries in a block, and pairs that are verified at once.
-BLOCK, QUERIES, PAIRS = 1 << 17, 2048, 1 << 21
+#: Codes in a block, queries that are sent to a block together and share its index, queries searched at once, and pairs that are verified at once.
+BLOCK, SENT, QUERIES, PAIRS = 1 << 17, 1 << 15, 2048, 1 << 21
 
 
 @lru_cache(None)
@@ -87,7 +87,7 @@ class MultiIndex:
 
 
 def sign_codes(vectors: DataFrame, bits: int = 64, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, code): a bit for each component, set where it is above 0 (not where it is null or NaN), as bits / 64 little-endian words. Vectors that are null or of another length take no part."""
+    """(id, code): a bit for each component, set where it is above 0 (not where it is null or NaN), as bits / 64 little-endian words. Vectors that are null or of another length, and those with a null id, take no part; ids may repeat."""
 
     def run(batches):
         for batch in batches:
@@ -111,7 +111,7 @@ def hamming_neighbours(codes: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     distinct = written(least_ids(codes, "code", k), "codes")
     blocks = distinct.count() // BLOCK + 1
     asked = queries.groupBy("code").agg(F.min("id").alias("q"))  # equal queries are searched once
-    slices = asked.count() // QUERIES + 1
+    slices = asked.count() // SENT + 1
     data = distinct.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "code", "ids")
     looking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("code"), F.lit(slices)).cast("int").alias("slice"), "q", "code", F.lit(None).cast("array<long>").alias("ids"))
 
@@ -123,11 +123,13 @@ def hamming_neighbours(codes: DataFrame, queries: DataFrame, k: int = 10) -> Dat
         words = np.frombuffer(b"".join(raw), "<u8").reshape(-1, wide)
         at, ask = np.flatnonzero(~is_q), np.flatnonzero(is_q)
         rows: dict = {"q": [], "id": [], "distance": []}
-        if at.size and ask.size:
-            who, entry, d = MultiIndex(words[at], np.array([len(ids[i]) for i in at])).nearest(words[ask], k)
+        index = MultiIndex(words[at], np.array([len(ids[i]) for i in at])) if at.size and ask.size else None
+        for first in range(0, ask.size if index else 0, QUERIES):
+            part = ask[first : first + QUERIES]
+            who, entry, d = index.nearest(words[part], k)
             order = np.lexsort((d, who))
-            bounds = np.searchsorted(who[order], np.arange(ask.size + 1))
-            for n, i in enumerate(ask.tolist()):
+            bounds = np.searchsorted(who[order], np.arange(part.size + 1))
+            for n, i in enumerate(part.tolist()):
                 own = order[bounds[n] : bounds[n + 1]]
                 best = sorted((int(d[x]), v) for x in own.tolist() for v in ids[at[entry[x]]])[:k]
                 rows["q"] += [q[i]] * len(best)

@@ -5,6 +5,9 @@ score-aware loss: the part of the residual along the vector, which changes its l
 the part across it. Codes are chosen by coordinate descent, codebooks by the normal equations of the same loss, fitted
 to a sample of FIT vectors; every vector is then encoded and searched.
 
+Each length of vectors has codebooks of its own, fitted by one task and joined to its vectors by length. Vectors are
+encoded once, into a written table.
+
 A search scans the tables of a query (16 partial products for each subspace, two subspaces to a byte) over the codes
 of a block of vectors, keeps the RERANK best of the block, and ranks them by their exact inner products. Equal vectors
 are one entry with the k + 1 least ids, which is all that ties can need.
@@ -17,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, small, written
 from .op03_hamming import least_ids
 
 #: Dimensions of a subspace, sample that codebooks are fitted to, weight of the parallel residual, rounds.
 SUB, FIT, ETA, ROUNDS = 2, 4096, 4.0, 6
-#: Vectors and queries of a block; candidates of a block that are ranked exactly.
-BLOCK, QUERIES, RERANK = 1 << 15, 1024, 256
+#: Vectors of a block; queries that are sent to a block together; candidates of a block that are ranked exactly.
+BLOCK, QUERIES, RERANK = 1 << 15, 1 << 13, 256
 
 
 def encode(x: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -76,7 +79,7 @@ def scan(codes: np.ndarray, books: np.ndarray, q: np.ndarray) -> np.ndarray:
         tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], axis=1)
         codes = np.concatenate([codes, np.zeros_like(codes[:, :1])], axis=1)
     pairs = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256)
-    both = (codes[:, 0::2] * 16 + codes[:, 1::2]).astype(np.intp)
+    both = codes[:, 0::2].astype(np.intp) * 16 + codes[:, 1::2]
     out = np.zeros((len(q), len(codes)), np.float32)
     for s in range(both.shape[1]):
         out += pairs[:, s].take(both[:, s], axis=1)
@@ -84,7 +87,7 @@ def scan(codes: np.ndarray, books: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, body: the components as doubles) of vectors that take part: not null, not empty, not all zero, all components finite."""
+    """(id, body: the components as doubles) of vectors that take part: not null, not empty, not all zero, all components finite. Rows with a null id take no part either; ids may repeat."""
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
     big = F.lit(float("inf"))
@@ -108,16 +111,37 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
     size = F.octet_length("body")
     distinct = written(least_ids(vectors, "body", k + 1).withColumn("dims", size), "vectors")
     blocks = distinct.count() // BLOCK + 1
-    kinds = [r["dims"] for r in distinct.select("dims").distinct().limit(1000).collect()]
-    books = {}
-    for d in kinds:
-        sample = distinct.where(F.col("dims") == d).orderBy(F.xxhash64("body", F.lit(1)), "body").limit(FIT).select("body").collect()
-        x = np.frombuffer(b"".join(r["body"] for r in sample), np.float64).reshape(len(sample), -1)
-        books[d] = fit(np.pad(x, ((0, 0), (0, -x.shape[1] % SUB))))
+    fill = lambda a: np.pad(a, ((0, 0), (0, -a.shape[1] % SUB)))
+    first = F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("body", F.lit(1)), "body"))
+    sample = distinct.select("dims", "body").withColumn("_r", first).where(F.col("_r") <= FIT)  # ranks are limited before the shuffle
+
+    def learn(group: pa.Table) -> pa.Table:
+        bodies = [b for _, b in sorted(zip(group.column("_r").to_pylist(), group.column("body").to_pylist()))]
+        x = fill(np.frombuffer(b"".join(bodies), np.float64).reshape(len(bodies), -1))
+        return pa.table({"dims": group.column("dims").slice(0, 1), "book": pa.array([fit(x).tobytes()], pa.binary())})
+
+    books = written(sample.groupBy("dims").applyInArrow(learn, "dims int, book binary"), "books")
+
+    def code(batches):
+        for batch in batches:
+            dims, raw, book = (batch.column(c).to_pylist() for c in ("dims", "body", "book"))
+            codes: list = [b""] * batch.num_rows
+            for d in set(dims):
+                own = [i for i, x in enumerate(dims) if x == d]
+                found = encode(fill(np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1)), np.frombuffer(book[own[0]], np.float64).reshape(-1, 16, SUB)).astype(np.uint8)
+                for i, c in zip(own, found):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("dims"), batch.column("body"), batch.column("ids"), pa.array(codes, pa.binary())], ["dims", "body", "ids", "code"])
+
+    # a book is 256 bytes a dimension; beyond a megabyte of them Spark joins as it likes
+    known = small(books, 256 * (books.agg(F.sum("dims")).first()[0] or 0) // 8)
+    coded = written(distinct.join(known, "dims").mapInArrow(code, "dims int, body binary, ids array<long>, code binary"), "codes")
+    dropped(distinct)
     asked = written(queries.groupBy("body").agg(F.min("id").alias("q")), "asked")
     slices = asked.count() // QUERIES + 1
-    data = distinct.select(F.octet_length("body").alias("dims"), F.pmod(F.xxhash64("body"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "body", "ids")
-    looking = asked.select(size.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("body"), F.lit(slices)).cast("int").alias("slice"), "q", "body", F.lit(None).cast("array<long>").alias("ids"))
+    data = coded.select("dims", F.pmod(F.xxhash64("body"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "body", "ids", "code")
+    looking = asked.select(size.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("body"), F.lit(slices)).cast("int").alias("slice"), "q", "body", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
+    both = data.unionByName(looking).join(known, "dims")
 
     def search(group: pa.Table) -> pa.Table:
         q = group.column("q").to_pylist()
@@ -126,9 +150,9 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
         own, ask = np.flatnonzero(~is_q), np.flatnonzero(is_q)
         out: dict = {"q": [], "id": [], "score": []}
         if own.size and ask.size:
-            book, data = books[group.column("dims")[0].as_py()], x[own]
-            fill = lambda a: np.pad(a, ((0, 0), (0, -a.shape[1] % SUB)))
-            codes = np.concatenate([encode(fill(data[i : i + 4096]), book) for i in range(0, len(data), 4096)])
+            book, data = np.frombuffer(group.column("book")[0].as_py(), np.float64).reshape(-1, 16, SUB), x[own]
+            raw = group.column("code").to_pylist()
+            codes = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint8).reshape(own.size, -1)
             for at in range(0, ask.size, 64):
                 part = ask[at : at + 64]
                 rough = scan(codes, book, fill(x[part]))
@@ -148,7 +172,7 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
                     out["score"] += [s for s, _ in taken]
         return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = data.unionByName(looking).groupBy("dims", "block", "slice").applyInArrow(search, "q long, id long, score double")
+    found = both.groupBy("dims", "block", "slice").applyInArrow(search, "q long, id long, score double")
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     best = found.withColumn("r", order).where(F.col("r") <= k + 1)
     own = queries.select(F.col("id").alias("query_id"), "body").join(asked, "body").select("query_id", "q")

@@ -78,5 +78,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: Sign bits as a bit string, distances by its bits; a query's own row is among the rows.
+HAMMING = """
+with codes as (
+    select vec_id, array_to_string(list_transform(embedding, lambda x: case when x > 0 and not isnan(x) then '1' else '0' end), '')::bit as code
+    from embeddings where vec_id is not null and len(embedding) = 64),
+near as (
+    select q.vec_id as query_id, c.vec_id, bit_count(xor(q.code, c.code))::int as distance,
+        row_number() over (partition by q.vec_id order by bit_count(xor(q.code, c.code)), c.vec_id)::int as rank
+    from codes q cross join codes c where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, distance from near where rank <= 10
+"""
+
+#: Shingles, equal sets as classes, links of classes that share a shingle, reachable classes.
+JACCARD = """
+with recursive worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) end as s from worded),
+classed as (select doc_id, s, len(s) as n, md5(array_to_string(s, chr(10))) as class from sets),
+classes as (select class, any_value(n) as n, any_value(s) as s, min(doc_id) as least from classed where n > 0 group by class),
+parts as (select class, n, unnest(s) as shingle from classes),
+links as (
+    select a.class as a, b.class as b from parts a join parts b on a.shingle = b.shingle and a.class <> b.class and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+    group by all having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached as (select class as a, class as b from classes union select r.a, l.b from reached r join links l on r.b = l.a),
+least as (select r.a as class, min(c.least) as component_id from reached r join classes c on r.b = c.class group by r.a)
+select doc_id, n::bigint as n_shingles, coalesce(component_id, doc_id) as component_id from classed left join least using (class)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on a tokenizer, a learned model, a codebook, suffix sorting or the tree's own cuts."""
+    return {"op3_hamming_topk": HAMMING, "op9_jaccard_join": JACCARD}
