@@ -6,11 +6,12 @@ Equal sets are one class (a 128-bit hash of the set). Then:
    class sends the shingles below a bound on their hash (all, for small sets) to the hash's part, which answers whether
    another class of a fitting size has it too. Classes that lack too many shared shingles have no link at all. The
    bound leaves twice as many shingles as may be lacking, so a shared passage or common lines alone keep no class.
-2. Tiles. The classes left are put in bands of sizes, t apart in ratio, so that partners are in the same band or in
-   neighbouring ones; two neighbouring bands are divided into tiles by hashes of shingles. Two linked classes share one
-   of the floor((1 - t) n) + 1 least hashes of each, so a class goes to the tiles of those of them that are shared:
-   never to more than it has such shingles, however many tiles there are. A tile of more than MOST classes is divided
-   into blocks, and pairs of blocks are tiles of their own.
+2. Tiles. The classes left are put in bands of sizes, t ** WIDE apart in ratio, so that partners are in the same band or
+   in neighbouring ones; a class so near to the band below that it may have partners there is that band's guest too.
+   Bands are divided into tiles by hashes of shingles. Two linked classes share one of the floor((1 - t) n) + 1 least
+   hashes of each, so a class goes to the tiles of those of them that are shared: never to more than it has such
+   shingles, however many tiles there are. A tile of more than MOST classes is divided into blocks, and pairs of blocks
+   are tiles of their own.
 3. In a tile, bitmaps of hashed shingles (parity, so that the bits in which two differ bound from below the shingles
    in which the sets differ, and so the overlap from above) leave few pairs, of which the sorted sets themselves are
    intersected. Pairs that are already connected within the tile are skipped: the components stay the same.
@@ -31,8 +32,8 @@ from .common import NULL_ID, at_packs, at_parts, blob, dropped, mix, pack_list,
 from .components import components
 from .words import Hashes, ascii_words, per_worker
 
-#: Classes for each tile of two bands, classes of a tile beyond which it is divided, and the size up to which all shingles of a set are sent.
-BLOCK, MOST, SMALL = 1024, 8192, 64
+#: Classes for each tile of a band, classes of a tile beyond which it is divided, widths of bands, and the size up to which all shingles of a set are sent.
+BLOCK, MOST, WIDE, SMALL = 4096, 8192, 4, 64
 U = np.uint64
 
 
@@ -67,7 +68,7 @@ def lacking(n: int, num: int, den: int) -> int:
 
 
 def tile_links(sizes: np.ndarray, sets: list[np.ndarray], upper: np.ndarray, block: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Connecting links (indices) of pairs of a tile. upper: which are of the upper band, whose own pairs other tiles compare; block: which of two blocks each is of, so that pairs are between them, or one value for all."""
+    """Connecting links (indices) of pairs of a tile. upper: which are guests of the band above, whose own pairs other tiles compare; block: which of two blocks each is of, so that pairs are between them, or one value for all."""
     n = len(sets)
     bits = max(64, 1 << math.ceil(math.log2(max(1, int(sizes.max())))))
     maps = np.zeros((n, bits // 64), U)
@@ -221,23 +222,28 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
 
 def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
     """(class, component: (least, class) of the least class it is linked with) of classes with links."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int")
+    step = WIDE * math.log(den / num) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
+    below = F.floor(F.log(F.col("n") * (num / den * (1 - 1e-9))) / F.lit(step)).cast("int")  # the band of the least partner
+    sides = F.array_distinct(F.array(F.struct(F.col("band").alias("to"), F.lit(False).alias("upper")), F.struct(below.alias("to"), (below < F.col("band")).alias("upper"))))
     own = all_docs.where("body is not null")
-    # bands of sizes are some hundreds at most; the pair of a band and the next above has a tile for each BLOCK classes
-    sizes = own.select("class", band.alias("band")).distinct().groupBy("band").agg(F.count("*").alias("c"))
-    pairs = sizes.select(F.explode(F.array(F.struct(F.col("band").alias("pair"), F.col("c"), F.lit(1).alias("low")), F.struct((F.col("band") - 1).alias("pair"), F.col("c"), F.lit(0).alias("low")))).alias("x")).select("x.*")
-    pairs = written(pairs.groupBy("pair").agg(F.ceil(F.sum("c") / BLOCK).alias("tiles"), F.max("low").alias("low")).where("low = 1").select("pair", "tiles"), "bands")
-    pairs = small(pairs, pairs.count())
+
+    def hosted(classes):
+        return classes.withColumn("band", band).withColumn("_x", F.explode(sides)).select("*", "_x.*").drop("_x", "band")
+
+    # bands of sizes are a hundred at most; each has a tile for every BLOCK classes and guests
+    bands = hosted(own.select("class", "n").distinct()).groupBy("to").agg(F.ceil(F.count("*") / BLOCK).alias("tiles"), F.min("upper").alias("guests")).where("not guests").drop("guests")
+    bands = written(bands, "bands")
+    bands = small(bands, bands.count())
 
     def put(classes):
-        sides = F.array(F.struct(F.col("band").alias("pair"), F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("pair"), F.lit(True).alias("upper")))
-        out = classes.withColumn("x", F.explode(sides)).select("*", "x.*").drop("x", "band").join(pairs, "pair")
+        out = hosted(classes).join(bands, "to")
         return out.withColumn("tile", F.explode(F.array_distinct(F.transform("near", lambda h: F.pmod(h, F.col("tiles")))))).drop("near", "tiles")
 
-    full = put(own.select("class", band.alias("band"), "near").dropDuplicates(["class"])).groupBy("pair", "tile").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
-    full = written(full.select("pair", "tile", F.ceil(F.col("c") / MOST).cast("int").alias("blocks")), "full_tiles")
+    full = put(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to", "tile").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
+    full = written(full.select("to", "tile", F.ceil(F.col("c") / MOST).cast("int").alias("blocks")), "full_tiles")
     classes = own.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("body").alias("body"))
-    tiles = put(classes.withColumn("band", band)).join(small(full, full.count()), ["pair", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    tiles = put(classes).join(small(full, full.count()), ["to", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     tiles = tiles.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_x"), "j": F.greatest("block", "_x")})
 
@@ -248,7 +254,7 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         ends = {f"{c}{end}": pa.array([x[pair[at]] for pair in found], kind) for at, end in enumerate("ab") for c, x, kind in (("least_", least, pa.int64()), ("class_", keys, pa.binary()))}
         return pa.table(ends)
 
-    links = tiles.select("pair", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").groupBy("pair", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
+    links = tiles.select("to", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").groupBy("to", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
     node = lambda end: F.struct(F.col(f"least_{end}").alias("least"), F.col(f"class_{end}").alias("class")).alias(end)
     return components(links.select(node("a"), node("b"))).select(F.col("node.class").alias("class"), "component")
 
