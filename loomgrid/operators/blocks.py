@@ -111,10 +111,10 @@ def gram(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
     return rows.mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def singular_values(vectors: DataFrame, vector: str, dims: int, fan_in: int = 8) -> DataFrame:
-    """(k, s): singular values, largest first, of a tall array of rows of vectors.
+def triangles(vectors: DataFrame, vector: str, dims: int, fan_in: int = 8) -> DataFrame:
+    """(r): the triangle R, dims x dims, of a QR factorisation of a tall array of rows of vectors; one row.
 
-    Each task factors its rows, QR; the triangles, dims x dims each, are factored together fan_in at a time until one is left."""
+    Each task factors its rows; the triangles are factored together fan_in at a time until one is left."""
 
     def triangle(x: np.ndarray) -> bytes:
         return np.linalg.qr(x, mode="r").tobytes()
@@ -130,29 +130,32 @@ def singular_values(vectors: DataFrame, vector: str, dims: int, fan_in: int = 8)
         parts = [np.frombuffer(b, np.float64).reshape(-1, dims) for batch in batches for b in batch.column("r").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([triangle(np.concatenate(parts))] if parts else [], pa.binary())], ["r"])
 
-    def last(batches):
-        for batch in batches:
-            for b in batch.column("r").to_pylist():
-                s = np.linalg.svd(np.frombuffer(b, np.float64).reshape(-1, dims), compute_uv=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s)], ["k", "s"])
-
     rows = vectors.select(F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dims)
     parts = rows.rdd.getNumPartitions()
     r = rows.mapInArrow(first, "r binary")
     while parts > 1:
         parts = -(-parts // fan_in)
         r = r.repartitionById(parts, F.pmod(F.xxhash64("r"), F.lit(parts)).cast("int")).mapInArrow(join, "r binary")
-    return r.mapInArrow(last, "k long, s double")
+    return r
+
+
+def singular_values(vectors: DataFrame, vector: str, dims: int, fan_in: int = 8) -> DataFrame:
+    """(k, s): singular values, largest first, of a tall array of rows of vectors: those of its triangle."""
+
+    def last(batches):
+        for batch in batches:
+            for b in batch.column("r").to_pylist():
+                s = np.linalg.svd(np.frombuffer(b, np.float64).reshape(-1, dims), compute_uv=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s)], ["k", "s"])
+
+    return triangles(vectors, vector, dims, fan_in).mapInArrow(last, "k long, s double")
 
 
 def left_vectors(vectors: DataFrame, row: str, vector: str, dims: int) -> DataFrame:
-    """(i, u): rows of U in x = U S V.T, from x and the dims x dims Gram array, whose size is fixed."""
-    g = np.zeros((dims, dims))
-    for r in gram(vectors, vector, dims).collect():
-        g[r["i"], r["j"]] = r["v"]
-    w, v = np.linalg.eigh(g)
-    order = np.argsort(-w)
-    s, v = np.sqrt(np.maximum(w[order], 0)), v[:, order]
+    """(i, u): rows of U in x = U S V.T, from x and the triangle R of x = Q R, dims x dims whatever the rows: R has the same S and V."""
+    (r,) = triangles(vectors, vector, dims).collect()
+    _, s, vt = np.linalg.svd(np.frombuffer(r["r"], np.float64).reshape(-1, dims))
+    s, v = np.pad(s, (0, dims - s.size)), vt.T
 
     def run(batches):
         for batch in batches:

@@ -38,8 +38,10 @@ def bandwidths(log: DataFrame, ignore_below: int | None = None) -> DataFrame:
 
 
 def peer_matrix(stats: DataFrame, workers: DataFrame, sources: DataFrame) -> DataFrame:
-    """(worker, who, STATISTICS as FLOAT) of every pair, 0 where nothing moved; workers (worker), sources (who): as many as the cluster has."""
-    pairs = workers.select("worker", F.lit(1).alias("_")).join(F.broadcast(sources.select("who", F.lit(1).alias("_"))), "_").drop("_")
+    """(worker, who, STATISTICS as FLOAT) of every pair, 0 where nothing moved; workers (worker), sources (who): as many as the cluster has.
+
+    The sources, as one array, are a scalar subquery that each worker's row is exploded by: the rows of a matrix of workers."""
+    pairs = workers.select("worker", F.explode(sources.agg(F.sort_array(F.collect_list("who"))).scalar()).alias("who"))
     full = pairs.join(stats, ["worker", "who"], "left")
     return full.select("worker", "who", *[F.coalesce(F.col(s), F.lit(0)).cast("float").alias(s) for s in STATISTICS])
 

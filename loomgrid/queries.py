@@ -337,7 +337,7 @@ def fn_log_name(spark, d):
 @query("select event_type as text, event_type || '|' || event_type as parts from events group by event_type")
 def fn_csv_choice(spark, d):
     kinds = table(spark, d, "events").select("event_type").distinct()
-    allowed = [r[0] for r in kinds.collect()]  # the choices that an option has
+    allowed = ["view", "click", "purchase", "signup", "error"]  # the choices that an option has
     return kinds.select(F.col("event_type").alias("text"), F.array_join(scalars.comma_choices(F.concat(F.lit(" "), "event_type", F.lit(" ,"), "event_type"), allowed), "|").alias("parts"))
 
 
@@ -376,17 +376,48 @@ def array_transpose_sum(spark, d):
     return rounded(arrays.transpose_sum(blocks.gram(table(spark, d, "embeddings"), "embedding", DIMS)), 4)
 
 
+#: The columns of x moved on by one place: with it, products are not symmetric.
+_ROLLED = f"select i, (j + 1) % {DIMS} as j, v from ({_LONG})"
+_MIXED = f"select a.j as i, b.j as j, sum(a.v * b.v) as v from ({_LONG}) a join ({_ROLLED}) b on a.i = b.i group by a.j, b.j"
+
+
+def _rolled(x):
+    return x.withColumn("j", F.pmod(F.col("j") + 1, F.lit(DIMS)))
+
+
+def _mixed(spark, d):
+    """x.T.dot(y) of the whole array x and y, its columns moved on: DIMS x DIMS, in blocks, by the general product."""
+    x, size = _long(spark, d), 16
+    n = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    both = [blocks.blocked(a, n, DIMS, size) for a in (x, _rolled(x))]
+    return blocks.dot(blocks.transposed(both[0]), both[1]), size
+
+
+@query(f"select cast(i as bigint) as i, cast(j as bigint) as j, round(v, 6) as v from ({_MIXED})")
+def array_dot_general(spark, d):
+    """x.T.dot(y), not symmetric, block by block."""
+    return rounded(blocks.long_form(*_mixed(spark, d)))
+
+
+@query(f"select cast(a.i as bigint) as i, cast(a.j as bigint) as j, round(a.v + b.v, 6) as v from ({_MIXED}) a join ({_MIXED}) b on a.i = b.j and a.j = b.i")
+def array_transpose_cells(spark, d):
+    """The cells of g + g.T for the square g = x.T.dot(y), which is not symmetric."""
+    g, size = _mixed(spark, d)
+    return rounded(blocks.long_form(blocks.summed(g.unionByName(blocks.transposed(g))), size))
+
+
 @query(f"select cast(i as bigint) as i, cast(j as bigint) as j, round(v, 6) as v from ({_GRAM})")
 def array_dot(spark, d):
     """x.T.dot(x), by the partial products of each task."""
     return rounded(blocks.gram(table(spark, d, "embeddings"), "embedding", DIMS))
 
 
-@query(f"select count(distinct j) as k, round(sum(v * v), 4) as energy from ({_LONG})")
+@query(f"""with g as ({_GRAM}), gg as (select a.i as i, b.j as j, sum(a.v * b.v) as v from g a join g b on a.j = b.i group by a.i, b.j)
+select (select count(distinct j) from ({_LONG})) as k, round(log10((select sum(v) from g where i = j)), 6) as s2, round(log10((select sum(v * v) from g)), 6) as s4, round(log10((select sum(g.v * gg.v) from g join gg on g.i = gg.i and g.j = gg.j)), 6) as s6, round(log10((select sum(v * v) from gg)), 6) as s8""")
 def array_svd(spark, d):
-    """Singular values: their number and the sum of their squares, which is that of the array's cells."""
+    """Singular values: their number and the logarithms of the sums of their 2nd, 4th, 6th and 8th powers, which are traces of powers of x.T.dot(x)."""
     s = blocks.singular_values(table(spark, d, "embeddings"), "embedding", DIMS)
-    return s.agg(F.count("*").alias("k"), F.round(F.sum(F.col("s") * F.col("s")), 4).alias("energy"))
+    return s.agg(F.count("*").alias("k"), *[F.round(F.log10(F.sum(F.pow("s", F.lit(p)))), 6).alias(f"s{p}") for p in (2, 4, 6, 8)])
 
 
 @query(f"""select i as j, cast(k as bigint) as i, round(sum(v * cos(2 * pi() * j * k / {DIMS})), 4) + 0 as re, round(-sum(v * sin(2 * pi() * j * k / {DIMS})), 4) + 0 as im from ({_LONG}), range({DIMS}) f(k) group by i, k""")

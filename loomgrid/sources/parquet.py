@@ -34,8 +34,9 @@ def opaque(df: DataFrame) -> DataFrame:
 
 
 def opaque_count(df: DataFrame) -> DataFrame:
-    """(n): a count that reads all columns in full."""
-    return opaque(df).agg(F.count("*").alias("n"))
+    """(n): a count that reads all columns in full: it depends on a hash of every row, whose bits are then taken away. No column may hold maps, which have no hash."""
+    bits = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.agg((F.count("*") + F.coalesce(bits.bitwiseAND(F.lit(0)), F.lit(0))).alias("n"))
 
 
 def on_disk(df: DataFrame) -> DataFrame:
