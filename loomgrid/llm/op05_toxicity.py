@@ -308,11 +308,15 @@ def without_toxic(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0
     if not curve.any():
         return docs
 
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # names that mapInArrow can resolve, whatever the columns are called
+    at_text = docs.columns.index(text)
+
     def run(batches):
         for batch in batches:
-            body = batch.column(text).cast(pa.binary()).fill_null(b"")
+            body = batch.column(at_text).cast(pa.binary()).fill_null(b"")
             for at in range(0, batch.num_rows, 512):
                 texts = body.slice(at, 512).to_pylist()
                 yield batch.slice(at, len(texts)).filter(pa.array(scores(models, curve, texts) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    renamed = docs.toDF(*plain)
+    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)

@@ -25,6 +25,8 @@ from .op03_hamming import least_ids
 
 #: Dimensions of a subspace, sample that codebooks are fitted to, weight of the parallel residual, rounds.
 SUB, FIT, ETA, ROUNDS = 2, 4096, 4.0, 6
+#: Subspaces whose codewords are solved for at once.
+TOGETHER = 32
 #: Vectors of a block; queries that are sent to a block together; candidates of a block that are ranked exactly.
 BLOCK, QUERIES, RERANK = 1 << 15, 1 << 13, 256
 
@@ -58,16 +60,24 @@ def fit(x: np.ndarray) -> np.ndarray:
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     for _ in range(ROUNDS):
         codes = encode(x, books)
-        # sum over rows of B^T (I + (ETA - 1) u u^T) B c = B^T (I + (ETA - 1) u u^T) x, where B picks a row's codewords
-        size = subs * 16 * SUB
-        place = ((np.arange(subs) * 16 + codes)[:, :, None] * SUB + np.arange(SUB)).reshape(n, -1)
-        picked = np.zeros((n, size), np.float32)
-        np.put_along_axis(picked, place, unit.astype(np.float32), 1)
-        left = (ETA - 1) * (picked.T @ picked).astype(np.float64)
-        left[np.arange(size), np.arange(size)] += np.bincount(place.ravel(), minlength=size) + 1e-6
-        right = np.bincount(place.ravel(), weights=(x + (ETA - 1) * unit * (x * unit).sum(1, keepdims=True)).ravel(), minlength=size)
-        right += 1e-6 * books.ravel()
-        books = np.linalg.solve(left, right).reshape(subs, 16, SUB)
+        # sum over rows of B^T (I + (ETA - 1) u u^T) B c = B^T (I + (ETA - 1) u u^T) x, where B picks a row's codewords;
+        # solved for TOGETHER subspaces at a time, the others as they are
+        word = books[np.arange(subs), codes]
+        along = (word.reshape(n, -1) * unit).reshape(n, subs, SUB).sum(-1)
+        whole = (x * unit).sum(1)
+        for s in range(0, subs, TOGETHER):
+            e = min(s + TOGETHER, subs)
+            own, wide = slice(s * SUB, e * SUB), (e - s) * 16 * SUB
+            place = ((np.arange(e - s) * 16 + codes[:, s:e])[:, :, None] * SUB + np.arange(SUB)).reshape(n, -1)
+            picked = np.zeros((n, wide), np.float32)
+            np.put_along_axis(picked, place, unit[:, own].astype(np.float32), 1)
+            left = (ETA - 1) * (picked.T @ picked).astype(np.float64)
+            left[np.arange(wide), np.arange(wide)] += np.bincount(place.ravel(), minlength=wide) + 1e-6
+            rest = whole - along[:, :s].sum(1) - along[:, e:].sum(1)
+            right = np.bincount(place.ravel(), weights=(x[:, own] + (ETA - 1) * unit[:, own] * rest[:, None]).ravel(), minlength=wide)
+            right += 1e-6 * books[s:e].ravel()
+            books[s:e] = np.linalg.solve(left, right).reshape(e - s, 16, SUB)
+            along[:, s:e] = (books[np.arange(s, e), codes[:, s:e]] * unit[:, own].reshape(n, -1, SUB)).sum(-1)
     return books
 
 
