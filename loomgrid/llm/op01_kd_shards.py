@@ -8,8 +8,8 @@ of them goes where.
 A node that is to become m shards is cut where the weight below comes nearest to floor(m/2)/m of its own; m = 2**k gives
 medians. While nodes hold more than CELL rows, a level of the tree is one step of the whole table: an aggregate gives
 each node's widest dimension, histograms of all its nodes at once are narrowed to the bucket that holds the cut until
-single rows remain, and the rows are written again with their new nodes. A single shard with more rows than CELL is cut
-further, into cells of nearly as many rows each. Nodes of up to CELL rows are one Arrow group each, in which the rest of
+single rows remain, and the rows of such nodes, no others, are written again with their new ones. A single shard with
+more rows than CELL is cut further, into cells of nearly as many rows each. Nodes of up to CELL rows are one Arrow group each, in which the rest of
 the tree is built by the same rule and rows are numbered. Trees, cuts and histograms are tables: nothing but the total
 weight reaches the driver.
 """
@@ -36,20 +36,21 @@ def coordinate(df: DataFrame, name: str) -> Column:
 
 
 def cuts(rows: DataFrame, big: DataFrame, cell: int) -> DataFrame:
-    """(node, key, cut_row): where each node of `big` (node, d, lo, hi, n, sought) is cut; rows at or after (key, cut_row) go right.
+    """(node, key, cut_row): where each node of `big` (node, d, lo, hi, n, m, sought) is cut; rows at or after (key, cut_row) go right.
 
-    rows: (node, row, v, keys); v is what is summed to meet `sought`. Histograms narrow the keys among which the cut is
-    (or the row numbers, where more than `cell` rows share one key) until no more than `cell` rows are left; of those the
-    cut is told exactly."""
+    rows: (node, row, w, keys); w is summed to meet `sought`, or rows are counted where m is 1. Histograms narrow the keys
+    among which the cut is (or the row numbers, where more than `cell` rows share one key) until no more than `cell` rows
+    are left; of those the cut is told exactly."""
     # deep: the row numbers of one key, `key`, are searched; `below` is the sum before lo, n: rows from lo to hi
-    open_ = big.select("node", "d", F.lit(False).alias("deep"), F.lit(0).cast("long").alias("key"), "lo", "hi", F.lit(0.0).alias("below"), "n", "sought")
+    open_ = big.select("node", "d", (F.col("m") > 1).alias("heavy"), F.lit(False).alias("deep"), F.lit(0).cast("long").alias("key"), "lo", "hi", F.lit(0.0).alias("below"), "n", "sought")
     held, ready = [], []
     met = lambda sums: Window.partitionBy("node").orderBy(F.when(F.col("below") + F.col("upto") >= F.col("sought"), F.lit(0)).otherwise(F.lit(1)), *sums)
 
     def near(state):
         key = F.element_at("keys", F.col("d") + 1)
         x = F.when(~F.col("deep"), key).when(key == F.col("key"), F.col("row"))
-        return rows.select("node", "row", "v", "keys").join(state, "node").withColumn("own", key).withColumn("x", x).where(F.col("x").between(F.col("lo"), F.col("hi")))
+        v = F.when(F.col("heavy"), F.col("w")).otherwise(F.lit(1))
+        return rows.select("node", "row", "w", "keys").join(state, "node").withColumn("v", v).withColumn("own", key).withColumn("x", x).where(F.col("x").between(F.col("lo"), F.col("hi")))
 
     while True:
         ready.append(open_.where(F.col("n") <= cell))
@@ -65,7 +66,7 @@ def cuts(rows: DataFrame, big: DataFrame, cell: int) -> DataFrame:
         hit = seen.withColumn("_r", F.row_number().over(met([F.when(F.col("below") + F.col("upto") >= F.col("sought"), F.col("b")).otherwise(-F.col("b"))]))).where("_r = 1")
         deeper = ~F.col("deep") & (F.col("x0") == F.col("x1"))
         below = (F.col("below") + F.col("upto") - F.col("s")).alias("below")
-        open_ = written(hit.select("node", "d", (F.col("deep") | deeper).alias("deep"), F.when(deeper, F.col("x0")).otherwise(F.col("key")).alias("key"), F.when(deeper, F.lit(0)).otherwise(F.col("x0")).cast("long").alias("lo"), F.when(deeper, F.lit(2**62)).otherwise(F.col("x1")).cast("long").alias("hi"), below, F.col("k").alias("n"), "sought"), "kd_open")
+        open_ = written(hit.select("node", "d", "heavy", (F.col("deep") | deeper).alias("deep"), F.when(deeper, F.col("x0")).otherwise(F.col("key")).alias("key"), F.when(deeper, F.lit(0)).otherwise(F.col("x0")).cast("long").alias("lo"), F.when(deeper, F.lit(2**62)).otherwise(F.col("x1")).cast("long").alias("hi"), below, F.col("k").alias("n"), "sought"), "kd_open")
         held.append(open_)
     state = ready[0]
     for x in ready[1:]:
@@ -122,7 +123,7 @@ def kd_shards(meta: DataFrame, dims: list[str], weight: str, doc_id: str, shards
     rows = written(rows, "kd_rows")
     # nodes are numbered as in a heap; shards first to first + m - 1 come of each
     nodes = written(meta.sparkSession.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(int(m)).alias("m")), "kd_nodes")
-    closed = []
+    closed, done = [], []  # nodes that need no cut, tables of their rows
     while True:
         at = [F.element_at("keys", k + 1) for k in range(len(dims))]
         sizes = rows.groupBy("node").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[f(x).alias(f"{n}{k}") for k, x in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))])
@@ -133,15 +134,18 @@ def kd_shards(meta: DataFrame, dims: list[str], weight: str, doc_id: str, shards
         sizes = sizes.join(nodes, "node").withColumn("d", d).select("node", "first", "m", "n", "d", pick("lo").alias("lo"), pick("hi").alias("hi"), F.when(F.col("m") > 1, F.col("w") * F.floor(F.col("m") / 2) / F.col("m")).otherwise(F.col("n") / 2).alias("sought"))
         sizes = written(sizes, "kd_sizes")
         dropped(nodes)
-        closed.append(sizes.where(F.col("n") <= cell).select("node", "first", "m", "n"))
-        big = sizes.where(F.col("n") > cell)
+        end, big = sizes.where(F.col("n") <= cell), sizes.where(F.col("n") > cell)
+        closed.append(end.select("node", "first", "m", "n"))
         if big.isEmpty():
+            done.append(rows)
             break
-        cut = cuts(rows.join(big.select("node", (F.col("m") > 1).alias("heavy")), "node").withColumn("v", F.when(F.col("heavy"), F.col("w")).otherwise(F.lit(1))), big, cell)
+        if not end.isEmpty():
+            done.append(written(rows.join(end.select("node"), "node", "left_semi"), "kd_done"))
+        cut = cuts(rows, big, cell)
         x = F.element_at("keys", F.col("d") + 1)
         right = (x > F.col("key")) | ((x == F.col("key")) & (F.col("row") >= F.col("cut_row")))
         both = big.select("node", "d").join(cut, "node")
-        after = written(rows.join(both, "node", "left").withColumn("node", F.when(F.col("key").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))).select(*rows.columns), "kd_rows")
+        after = written(rows.join(both, "node").withColumn("node", F.col("node") * 2 + right.cast("long")).select(*rows.columns), "kd_rows")
         dropped(rows)
         dropped(cut)
         rows = after
@@ -170,6 +174,9 @@ def kd_shards(meta: DataFrame, dims: list[str], weight: str, doc_id: str, shards
         rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
         return pa.table([*rest.flatten(), pa.array(shard), pa.array(slot)], [*kept, "shard", "slot"])
 
+    rows = done[0]
+    for x in done[1:]:
+        rows = rows.unionByName(x)
     asked = rows.join(ended.select("node", "first", "m", "base"), "node")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", shard int, slot long"
     return asked.groupBy("node").applyInArrow(finish, ddl)
