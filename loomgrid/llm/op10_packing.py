@@ -3,7 +3,9 @@
 Tokens of a document are counted in hashed buckets; the vector, scaled to length 1, is projected to DIMS fixed random
 directions, and the Hilbert key of the projected point is the document's place. Documents are range-sorted by place
 (ties by a hash of the id, then the id) and laid end to end; sequences are cut from that line, so neighbours on the
-curve share sequences and only the last sequence of all can be short.
+curve share sequences and only the last sequence of all can be short. Long documents lie near to each other on the
+curve, so they are sorted as slices of SLICE ids and put together again where they are laid: ranges of as many rows
+then have about as many ids.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bodies, dropped, id_column, mix, parts_for, small, text_rows, written
+from .common import NULL_ID, bodies, dropped, id_column, mix, parts_for, small, text_rows, written
 from .words import as_text, byte_bpe, per_worker
 
 DIMS, BITS, BUCKETS = 4, 10, 256
+#: Most ids of a row that is sorted.
+SLICE = 1024
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,46 +69,62 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048)
     """Pieces of documents in sequences of at most `length` ids: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null text counts as empty: its end id alone. Each row of `docs` is packed, repeated ones too. All sequences but
-    the last are full. No documents: no pieces."""
+    the last are full. No documents: no pieces. Of rows that repeat an id and its text the slices may lie in turns."""
 
     def encode_rows(batches):
+        import xxhash
+
         encode = per_worker(("byte_bpe", tokenizer), lambda: byte_bpe(tokenizer))
         for batch in batches:
             for ids, texts in bodies(batch):
                 out = [np.append(encode(as_text(x)), np.uint32(end_id)) for x in texts]
                 sizes, line = np.array([x.size for x in out], np.int64), np.concatenate(out)
-                narrow = "<u2" if int(line.max()) < 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(curve_places(ids, line, sizes)), pa.array(sizes), pa.array([x.astype(narrow).tobytes() for x in out], pa.binary())], ["doc_id", "place", "n", "ids"])
+                narrow = np.dtype("<u2" if int(line.max()) < 1 << 16 else "<u4")
+                same = np.array([xxhash.xxh3_64_intdigest(x) for x in out], np.uint64).view(np.int64)
+                slices = -(-sizes // SLICE)
+                of = np.repeat(np.arange(sizes.size), slices)
+                start = (np.arange(of.size) - (np.cumsum(slices) - slices)[of]) * SLICE
+                n = np.minimum(SLICE, sizes[of] - start)
+                raw, ends = line.astype(narrow).tobytes(), np.cumsum(n) * narrow.itemsize
+                cuts = [raw[a:b] for a, b in zip((ends - n * narrow.itemsize).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([id_column(ids[of]), *map(pa.array, (curve_places(ids, line, sizes)[of], same[of], sizes[of], start, n)), pa.array(cuts, pa.binary())], ["doc_id", "place", "same", "total", "start", "n", "ids"])
 
     def lay(batches):
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            at = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n.size, shard, np.int32)), pa.array(at), batch.column("n"), batch.column("ids")], ["doc_id", "shard", "before", "n", "ids"])
+            if not batch.num_rows:
+                continue
+            doc, same, total, start, n = (batch.column(c).fill_null(NULL_ID).to_numpy(zero_copy_only=False) for c in ("doc_id", "same", "total", "start", "n"))
+            goes_on = (doc[1:] == doc[:-1]) & (same[1:] == same[:-1]) & (start[1:] == start[:-1] + n[:-1])
+            first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            raw, bounds = batch.column("ids").to_pylist(), np.append(first, n.size).tolist()
+            whole = [b"".join(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            sizes = np.add.reduceat(n, first)
+            at = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([id_column(doc[first]), pa.array(np.full(first.size, shard, np.int32)), *map(pa.array, (at, total[first], start[first], sizes)), pa.array(whole, pa.binary())], ["doc_id", "shard", "before", "total", "start", "n", "ids"])
 
     def cut(batches):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64()] * len(names)
         for batch in batches:
             rows = []
-            for doc, at, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids"))):
+            for doc, at, total, before, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "total", "start", "n", "ids"))):
                 ids, start = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4"), 0
                 while start < n:
                     offset = (at + start) % length
                     size = min(length - offset, n - start)
-                    rows.append((doc, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, (at + start) // length, offset))
+                    rows.append((doc, before + start, size, zlib.crc32(ids[start : start + size].tobytes()), total, (at + start) // length, offset))
                     start += size
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
     spark = docs.sparkSession
-    rows = written(text_rows(docs).mapInArrow(encode_rows, "doc_id long, place long, n long, ids binary"), "encoded")
+    rows = written(text_rows(docs).mapInArrow(encode_rows, "doc_id long, place long, same long, total long, start long, n long, ids binary"), "encoded")
     n_parts = parts_for(spark, 2 * (rows.agg(F.sum("n")).first()[0] or 0))
-    order = ["place", "doc_id", "n"]
-    line = written(rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(lay, "doc_id long, shard int, before long, n long, ids binary"), "line")
+    order = ["place", "doc_id", "same", "start"]
+    line = written(rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(lay, "doc_id long, shard int, before long, total long, start long, n long, ids binary"), "line")
     dropped(rows)
     totals = line.groupBy("shard").agg(F.sum("n").alias("total"))
     bases = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    placed = line.join(small(bases, n_parts), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    placed = line.join(small(bases, n_parts), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "total", "start", "n", "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

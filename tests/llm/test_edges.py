@@ -128,10 +128,13 @@ def test_suffixes(docs):
     assert sorted(r["n_removed"] for r in out if r["doc_id"] == 20) == [0] + [len(ROWS[14][1])] * 3
 
 
-def test_bpe_and_packing(docs):
+@pytest.mark.parametrize("slice_", [1024, 8])
+def test_bpe_and_packing(docs, monkeypatch, slice_):
+    from loomgrid.llm import op10_packing
     from loomgrid.llm.op04_bpe import round_trip
     from loomgrid.llm.op10_packing import packed
 
+    monkeypatch.setattr(op10_packing, "SLICE", slice_)
     t = Tokenizer.from_file(BYTE)
     ids = [t.encode(x or "", add_special_tokens=False).ids for _, x in ROWS]
     raw = lambda x: np.array(x, "<u4").tobytes()
@@ -146,6 +149,13 @@ def test_bpe_and_packing(docs):
     assert sum(n != 2048 for n in fill.values()) <= 1
     long = [x + [1] for (i, _), x in zip(ROWS, ids) if i == 21][0]
     assert all(r["ids_crc32"] == zlib.crc32(raw(long[r["start"] : r["start"] + r["length"]])) for r in rows if r["doc_id"] == 21)
+    # rows that repeat an id, with one text or several: each place of each row is in one piece, and each piece is of one of them
+    by = {}
+    for (i, _), x in zip(ROWS, ids):
+        by.setdefault((i, len(x) + 1), []).append(x + [1])
+    held = Counter((r["doc_id"], r["doc_tokens"], k) for r in rows if r["doc_id"] != 21 for k in range(r["start"], r["start"] + r["length"]))
+    assert held == Counter({(i, n, k): len(x) for (i, n), x in by.items() if i != 21 for k in range(n)})
+    assert all(any(r["ids_crc32"] == zlib.crc32(raw(x[r["start"] : r["start"] + r["length"]])) for x in by[r["doc_id"], r["doc_tokens"]]) for r in rows)
 
 
 def brute_tree(rows, m):

@@ -114,9 +114,12 @@ def test_prefix_bpe(docs, none):
     assert round_trip(none, BYTE).count() == 0
 
 
-def test_packing(docs, none):
+@pytest.mark.parametrize("slice_", [1024, 16])
+def test_packing(docs, none, monkeypatch, slice_):
+    from loomgrid.llm import op10_packing as op
     from loomgrid.llm.op10_packing import hilbert, packed
 
+    monkeypatch.setattr(op, "SLICE", slice_)
     t, rows = Tokenizer.from_file(BYTE), packed(docs, BYTE, length=64).collect()
     fill, own = {}, {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
