@@ -10,8 +10,8 @@ Equal sets are one class (a 128-bit hash of the set). Then:
    in neighbouring ones; a class so near to the band below that it may have partners there is that band's guest too.
    Bands are divided into tiles by hashes of shingles. Two linked classes share one of the floor((1 - t) n) + 1 least
    hashes of each, so a class goes to the tiles of those of them that are shared: never to more than it has such
-   shingles, however many tiles there are. A tile of more than MOST classes is divided into blocks, and pairs of blocks
-   are tiles of their own.
+   shingles, however many tiles there are. A tile of more than MOST classes, or of sets of more than MOST_BYTES, is
+   divided into blocks, and pairs of blocks are tiles of their own.
 3. In a tile, bitmaps of hashed shingles (parity, so that the bits in which two differ bound from below the shingles
    in which the sets differ, and so the overlap from above) leave few pairs, of which the sorted sets themselves are
    intersected. Pairs that are already connected within the tile are skipped: the components stay the same.
@@ -34,6 +34,8 @@ from .words import Hashes, ascii_words, per_worker
 
 #: Classes for each tile of a band, classes of a tile beyond which it is divided, widths of bands, and the size up to which all shingles of a set are sent.
 BLOCK, MOST, WIDE, SMALL = 4096, 8192, 4, 64
+#: Bytes of a tile's sets beyond which it is divided too: a task holds two blocks.
+MOST_BYTES = 64 << 20
 U = np.uint64
 
 
@@ -240,8 +242,8 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         out = hosted(classes).join(bands, "to")
         return out.withColumn("tile", F.explode(F.array_distinct(F.transform("near", lambda h: F.pmod(h, F.col("tiles")))))).drop("near", "tiles")
 
-    full = put(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to", "tile").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
-    full = written(full.select("to", "tile", F.ceil(F.col("c") / MOST).cast("int").alias("blocks")), "full_tiles")
+    full = put(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to", "tile").agg(F.greatest(F.ceil(F.count("*") / MOST), F.ceil(F.sum("n") * 8 / MOST_BYTES)).cast("int").alias("blocks"))
+    full = written(full.where("blocks > 1"), "full_tiles")
     classes = own.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("body").alias("body"))
     tiles = put(classes).join(small(full, full.count()), ["to", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))

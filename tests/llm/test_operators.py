@@ -200,10 +200,11 @@ def brute_links(rows, k, num, den):
     return [(i, len(sets[i]), least[i]) for i in sorted(sets)]
 
 
-@pytest.mark.parametrize("k, num, block", [(3, 90, 1024), (5, 80, 1024), (3, 60, 2)])
-def test_jaccard(docs, none, monkeypatch, k, num, block):
+@pytest.mark.parametrize("k, num, block, most_bytes", [(3, 90, 1024, 64 << 20), (5, 80, 1024, 64 << 20), (3, 60, 2, 64 << 20), (3, 60, 1024, 1200)])
+def test_jaccard(docs, none, monkeypatch, k, num, block, most_bytes):
     from loomgrid.llm import op09_jaccard as op
 
+    monkeypatch.setattr(op, "MOST_BYTES", most_bytes)
     monkeypatch.setattr(op, "BLOCK", block)
     monkeypatch.setattr(op, "MOST", 4 * block)
     want = brute_links(sorted(TEXTS.items()), k, num, 100)
