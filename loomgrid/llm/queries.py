@@ -79,6 +79,18 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed(table(spark, sf_dir, "documents"))
 
 
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_integer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_codes import coded
+
+    return coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
