@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,10 +32,11 @@ def salted(df: DataFrame, column: str, salts: int, parts: int, salt: Column | No
     return df.repartition(parts, F.col(column), F.pmod(salt if salt is not None else F.xxhash64(*df.columns), F.lit(salts)))
 
 
-def all_to_all(spark: SparkSession, workers: int) -> DataFrame:
-    """(to, from, item): one byte of each worker for each worker."""
-    items = spark.range(0, workers, 1, workers).select(F.col("id").alias("from"), F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("to"))
-    return items.select(F.col("to").cast("long").alias("to"), "from", F.lit(1).alias("item")).repartitionById(workers, F.col("to").cast("int"))
+def all_to_all(items: DataFrame, source: str, workers: int) -> DataFrame:
+    """(to, from, item): each source's number of rows, at each of `workers` partitions: one small item from every source to every worker."""
+    counted = items.groupBy(F.col(source).alias("from")).agg(F.count("*").alias("item"))
+    sent = counted.select(F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("to"), "from", "item")
+    return sent.repartitionById(workers, "to").withColumn("to", F.col("to").cast("long"))
 
 
 def item_bytes(rows: int, columns: int, width: int = 8, index: bool = False) -> int:

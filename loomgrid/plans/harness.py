@@ -46,7 +46,7 @@ def plan_seconds(df: DataFrame) -> float:
 def run(spark: SparkSession, bench: Benchmark, args: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     """(runs, summary): (data_processed, duration) of the measured runs in order, and telemetry.throughputs() of them."""
     if args.all_to_all:
-        all_to_all(spark, args.workers).write.format("noop").mode("overwrite").save()
+        all_to_all(spark.range(0, args.workers, 1, args.workers), "id", args.workers).write.format("noop").mode("overwrite").save()
     rows = []
     for k in range(args.warmup_runs + args.runs):
         size, df = bench.once(spark, args)

@@ -6,9 +6,12 @@ the harmonic mean is of their reciprocals, and others are left out of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import divisions
+from ..operators.quantiles import quantiles
+
 #: The statistics of a pair of workers, in order.
 STATISTICS = ["bandwidth_hmean", "bandwidth_hstd", "bandwidth_q25", "bandwidth_q50", "bandwidth_q75", "bandwidth_min", "bandwidth_max", "bandwidth_median", "total_bytes"]
 
@@ -29,12 +32,15 @@ def hstd(x: Column) -> Column:
 
 
 def bandwidths(log: DataFrame, ignore_below: int | None = None) -> DataFrame:
-    """STATISTICS of each (worker, who), of transfers of `ignore_below` bytes or more."""
+    """STATISTICS of each (worker, who), of transfers of `ignore_below` bytes or more. Quantiles are exact, by rank selection, so a pair may have any number of transfers."""
     if ignore_below is not None:
         log = log.where(F.col("total") >= ignore_below)
     b = F.col("bandwidth")
-    q = [F.percentile(b, F.lit(x)).alias(f"bandwidth_q{int(x * 100)}") for x in (0.25, 0.5, 0.75)]
-    return log.groupBy("worker", "who").agg(hmean(b).alias("bandwidth_hmean"), hstd(b).alias("bandwidth_hstd"), *q, F.min(b).alias("bandwidth_min"), F.max(b).alias("bandwidth_max"), F.median(b).alias("bandwidth_median"), F.sum("total").alias("total_bytes"))
+    pair = ["worker", "who"]
+    stats = log.groupBy(*pair).agg(hmean(b).alias("bandwidth_hmean"), hstd(b).alias("bandwidth_hstd"), F.min(b).alias("bandwidth_min"), F.max(b).alias("bandwidth_max"), F.sum("total").alias("total_bytes"))
+    at = quantiles(log, pair, "bandwidth", [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_{c}") for c in pair], *[F.col("q")[k].alias(f"bandwidth_q{q}") for k, q in enumerate((25, 50, 75))])
+    both = stats.join(at, F.col("worker").eqNullSafe(F.col("_worker")) & F.col("who").eqNullSafe(F.col("_who")), "left")
+    return both.withColumn("bandwidth_median", F.col("bandwidth_q50")).select(*pair, *STATISTICS)
 
 
 def peer_matrix(stats: DataFrame, workers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -47,9 +53,9 @@ def peer_matrix(stats: DataFrame, workers: DataFrame, sources: DataFrame) -> Dat
 
 
 def address_index(workers: DataFrame) -> DataFrame:
-    """(address, host, device, index): workers numbered from 0 by host, device and address. As many rows as the cluster has workers."""
-    order = Window.orderBy("host", "device", "address")
-    return workers.select("address", "host", "device", (F.row_number().over(order) - 1).alias("index"))
+    """(address, host, device, index): workers numbered from 0 by host, device and address."""
+    rows = divisions.positions(workers.select("address", "host", "device"), ["host", "device", "address"], "index")
+    return rows.select("address", "host", "device", F.col("index").cast("int").alias("index"))
 
 
 def throughputs(runs: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import aggregate, arrays, blocks, join, repartition
+from .operators import aggregate, arrays, blocks, colocated, divisions, join, quantiles, repartition
 from .plans import telemetry
+from .session import shared_folder
 from .sources import generate, parquet
 from .sources.parquet import table
 
@@ -132,10 +134,14 @@ def join_then_set_index(spark, d):
     return join.join_indexed(*_sides(spark, d), "key", PARTS)
 
 
-@query(f"select count(*) as n, cast(sum(o.key) as bigint) as keys from ({_OTHER}) o where o.key < {CHUNKS * ROWS}")
+#: Of ten keys three have a match; the others lie below all keys of the other side.
+_PARTLY = "select case when l_orderkey * 7919 % 10 < 3 then l_orderkey else -1 - l_orderkey end as key, l_partkey from lineitem"
+
+
+@query(f"select l.key, l_partkey, o_custkey from ({_PARTLY}) l join orders o on l.key = o.o_orderkey")
 def join_partial_match(spark, d):
-    both = join.inner_join(generate.merge_other(spark, CHUNKS, ROWS, 0.3), generate.merge_build(spark, CHUNKS, ROWS).drop("shuffle"), "key")
-    return both.agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+    probe, build = _sides(spark, d)
+    return join.inner_join(generate.partly_matching(probe, "key", 3, 10), build, "key")
 
 
 @query(_JOIN)
@@ -151,6 +157,22 @@ def join_suffixes(spark, d):
     return join.inner_join(probe.withColumnRenamed("l_partkey", "payload"), build.withColumnRenamed("o_custkey", "payload"), "key")
 
 
+@query(_JOIN)
+def join_colocated(spark, d):
+    """Both sides written once by the hash of their key; the join moves nothing."""
+    return colocated.joined(spark, *_colocated(spark, d))
+
+
+@query("select l_orderkey as key, count(*) as n, cast(sum(l_partkey) as bigint) as parts, max(o_custkey) as customer from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey")
+def groupby_colocated(spark, d):
+    """Joined and grouped by the key, in place."""
+    return colocated.joined(spark, *_colocated(spark, d), lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"), F.max("o_custkey").alias("customer")))
+
+
+def _colocated(spark, d):
+    return [colocated.bucketed(side, "key", PARTS, shared_folder(spark)) for side in _sides(spark, d)]
+
+
 # --- aggregates -------------------------------------------------------------------------------------------------
 
 _GROUPS = "select l_partkey, max(l_orderkey) as l_orderkey_max, count(l_orderkey) as l_orderkey_count, round(avg(l_quantity), 6) as l_quantity_mean from lineitem where l_partkey is not null group by l_partkey"
@@ -185,6 +207,17 @@ def groupby_shuffle(spark, d):
     return _grouped(spark, d, split_out=PARTS, split_every=8)
 
 
+_HALF = "select case when l_orderkey % 2 = 0 then 0 else l_suppkey end as g, l_extendedprice as v from lineitem"
+
+
+@query(f"select g, count(v) as n, round(quantile_cont(v, 0.01), 6) as q01, round(quantile_cont(v, 0.5), 6) as q50, round(quantile_cont(v, 0.95), 6) as q95 from ({_HALF}) group by g")
+def group_quantiles(spark, d):
+    """Exact quantiles by rank selection; one group holds half of all rows."""
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(F.col("l_suppkey")).alias("g"), F.col("l_extendedprice").alias("v"))
+    found = quantiles.quantiles(rows, ["g"], "v", [0.01, 0.5, 0.95], most=1024)
+    return found.select("g", "n", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("q01", "q50", "q95"))])
+
+
 # --- repartitioning ---------------------------------------------------------------------------------------------
 
 @query("select value, count(*) as n, cast(1 as bigint) as parts from events group by value")
@@ -206,9 +239,41 @@ def range_partition(spark, d):
     return repartition.partition_numbers(repartition.dealt_by_id(rows, "shuffle", PARTS)).groupBy("shuffle", "part").agg(F.count("*").alias("n"))
 
 
-@query(f'select a.i as "to", b.i as "from", 1 as item from range({PARTS}) a(i), range({PARTS}) b(i)')
+@query(f"select w.i as \"to\", e.s as \"from\", e.n as item from range({PARTS}) w(i), (select user_id % {PARTS} as s, count(*) as n from events group by 1) e")
 def all_to_all(spark, d):
-    return repartition.all_to_all(spark, PARTS)
+    rows = table(spark, d, "events").select(F.pmod("user_id", F.lit(PARTS)).cast("long").alias("source"))
+    return repartition.all_to_all(rows, "source", PARTS)
+
+
+#: Edges of prices, of six partitions.
+_EDGES = [0.0, 10000.5, 20000.25, 35000.0, 50000.75, 70000.125, 1e9]
+
+
+@query(f"select l_orderkey, l_linenumber, l_extendedprice, cast({' + '.join(f'(l_extendedprice >= {e})::int' for e in _EDGES[1:-1])} as integer) as part from lineitem")
+def set_index_divisions(spark, d):
+    """Rows dealt by known divisions of a float key, with the partition that each is really in."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return repartition.partition_numbers(divisions.divided(rows, divisions.given(rows, "l_extendedprice", _EDGES), "_number").drop("_number"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice between 100000.0 and 150000.0")
+def set_index_range(spark, d):
+    """A table kept by sampled divisions; a range of keys reads the partitions that can hold it."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    kept = divisions.stored(rows, divisions.sampled(rows, ["o_totalprice"], PARTS), shared_folder(spark))
+    return kept.between(spark, 100000.0, 150000.0)
+
+
+@query("select event_id, row_number() over (order by ts, event_id) - 1 as i from events")
+def positions_by_time(spark, d):
+    return divisions.positions(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], parts=PARTS).select("event_id", "i")
+
+
+@query("select event_id, row_number() over (order by event_type, value, event_id) - 1 as i from events")
+def positions_by_value(spark, d):
+    """By a text with few values, a number with ties and an id."""
+    order = ["event_type", "value", "event_id"]
+    return divisions.positions(table(spark, d, "events").select(*order), order, parts=PARTS).select("event_id", "i")
 
 
 # --- telemetry --------------------------------------------------------------------------------------------------
@@ -381,15 +446,15 @@ _ROLLED = f"select i, (j + 1) % {DIMS} as j, v from ({_LONG})"
 _MIXED = f"select a.j as i, b.j as j, sum(a.v * b.v) as v from ({_LONG}) a join ({_ROLLED}) b on a.i = b.i group by a.j, b.j"
 
 
-def _rolled(x):
-    return x.withColumn("j", F.pmod(F.col("j") + 1, F.lit(DIMS)))
+def _rows(spark, d):
+    return table(spark, d, "embeddings").where(F.size("embedding") == DIMS)
 
 
 def _mixed(spark, d):
     """x.T.dot(y) of the whole array x and y, its columns moved on: DIMS x DIMS, in blocks, by the general product."""
-    x, size = _long(spark, d), 16
-    n = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-    both = [blocks.blocked(a, n, DIMS, size) for a in (x, _rolled(x))]
+    x, size = _rows(spark, d), 32
+    y = x.withColumn("embedding", F.concat(F.slice("embedding", DIMS, 1), F.slice("embedding", 1, DIMS - 1)))
+    both = [blocks.from_vectors(a, "vec_id", "embedding", DIMS, size) for a in (x, y)]
     return blocks.dot(blocks.transposed(both[0]), both[1]), size
 
 
@@ -412,6 +477,27 @@ def array_dot(spark, d):
     return rounded(blocks.gram(table(spark, d, "embeddings"), "embedding", DIMS))
 
 
+@query(f"with g as ({_GRAM}) select x.i, cast(g.j as bigint) as j, round(sum(x.v * g.v), 4) as v from ({_LONG}) x join g on x.j = g.i group by x.i, g.j")
+def array_dot_one_inner(spark, d):
+    """x.dot(x.T.dot(x)): the inner axis is one block, and all slots have work."""
+    x, size = blocks.from_vectors(_rows(spark, d), "vec_id", "embedding", DIMS, DIMS), DIMS
+    g = blocks.blocked(blocks.gram(_rows(spark, d), "embedding", DIMS), DIMS, DIMS, size)
+    return rounded(blocks.long_form(blocks.dot(x, g), size), 4)
+
+
+@query(f"select i, cast(j as bigint) as j, round(v, 6) as v from ({_LONG})")
+def array_svd_rebuilt(spark, d):
+    """The cells of U S V^T, which are those of x."""
+    return rounded(blocks.rebuilt(blocks.svd(_rows(spark, d), "vec_id", "embedding", DIMS))).withColumn("v", F.col("v") + 0.0)
+
+
+@query(f"select a.i as i, b.i as j, case when a.i = b.i then 1.0::double else 0.0::double end as v from range({DIMS}) a(i), range({DIMS}) b(i)")
+def array_svd_orthogonal(spark, d):
+    """U^T U of the SVD of all vectors, to 10 digits."""
+    u = blocks.svd(_rows(spark, d), "vec_id", "embedding", DIMS).u
+    return rounded(blocks.gram(u, "u", DIMS), 10).withColumn("v", F.col("v") + 0.0)
+
+
 @query(f"""with g as ({_GRAM}), gg as (select a.i as i, b.j as j, sum(a.v * b.v) as v from g a join g b on a.j = b.i group by a.i, b.j)
 select (select count(distinct j) from ({_LONG})) as k, round(log10((select sum(v) from g where i = j)), 6) as s2, round(log10((select sum(v * v) from g)), 6) as s4, round(log10((select sum(g.v * gg.v) from g join gg on g.i = gg.i and g.j = gg.j)), 6) as s6, round(log10((select sum(v * v) from gg)), 6) as s8""")
 def array_svd(spark, d):
@@ -467,18 +553,40 @@ def _filter_sql(k: int) -> str:
       select w.i, cast(w.j as bigint) as j, round(sum(x.v) / {(2 * k + 1) ** 2}, 6) as v from w join x on w.si = x.i and w.sj = x.j group by w.i, w.j"""
 
 
-def _filtered(spark, d, k):
-    return rounded(arrays.mean_filtered(_long(spark, d), k, table(spark, d, "embeddings").count(), DIMS))
+#: Rows and columns of a block that the stencils run over.
+_SIDE = 256
+
+
+def _filtered(spark, d, kernel):
+    rows = table(spark, d, "embeddings")
+    x = blocks.from_vectors(rows, "vec_id", "embedding", DIMS, _SIDE)
+    return rounded(blocks.long_form(blocks.stencil(x, kernel, rows.count(), DIMS, _SIDE), _SIDE))
 
 
 @query(_filter_sql(1))
 def array_map_overlap_k1(spark, d):
-    return _filtered(spark, d, 1)
+    return _filtered(spark, d, blocks.mean_kernel(1))
 
 
 @query(_filter_sql(2))
 def array_map_overlap_k2(spark, d):
-    return _filtered(spark, d, 2)
+    return _filtered(spark, d, blocks.mean_kernel(2))
+
+
+#: Uneven weights of a kernel of 5 x 3, no product of a row and a column.
+_WEIGHTS = [[(a + 1) * (b + 2) / 100 + (a == b) / 10 for b in range(3)] for a in range(5)]
+
+
+def _mirrored(c: str, n: str) -> str:
+    return f"case when {c} < 0 then -1 - ({c}) when {c} >= {n} then 2 * {n} - 1 - ({c}) else {c} end"
+
+
+@query(f"""with x as ({_LONG}), n as (select count(*) as n from embeddings), k as (select a, b, (a + 1) * (b + 2) / 100.0 + (a = b)::int / 10.0 as w from range(5) t(a), range(3) u(b)),
+      s as (select i, j, w, {_mirrored('i + 2 - a', 'n')} as si, {_mirrored('j + 1 - b', str(DIMS))} as sj from x, n, k)
+      select s.i, cast(s.j as bigint) as j, round(sum(x.v * s.w), 6) as v from s join x on s.si = x.i and s.sj = x.j group by s.i, s.j""")
+def array_stencil_5x3(spark, d):
+    """A convolution with an uneven kernel, in blocks."""
+    return _filtered(spark, d, np.array(_WEIGHTS))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

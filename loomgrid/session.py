@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -88,6 +90,23 @@ def session(workers: int = 8, threads: int = 1, tiers: MemoryTiers | None = None
     return prepared(SparkSession.builder.master(master or f"local[{workers * threads}]").config(map=settings).getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir; a new local one only where that is unset and Spark runs locally."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found := f"file://{tempfile.mkdtemp()}")
+    return found.rstrip("/")
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table under a new name in the shared folder: whole whatever executors are lost, and not computed again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialised(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persists and computes all rows and columns now."""
     df = df.persist(level)

@@ -123,3 +123,9 @@ def timeseries(spark: SparkSession, start: str, end: str, step: str = "400 milli
     """(ts, x, y) at even steps from start up to end, not with it."""
     ts = spark.range(1).select(F.explode(F.expr(f"sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', interval {step})")).alias("ts")).where(F.expr(f"ts < timestamp_ntz'{end}'"))
     return ts.select("ts", F.pmod(F.xxhash64("ts", F.lit(seed)), F.lit(1000)).alias("x"), (F.pmod(F.xxhash64("ts", F.lit(seed + 1)), F.lit(2_000_001)) / 1e6 - 1).alias("y"))
+
+
+def partly_matching(df: DataFrame, key: str, matching: int, of: int) -> DataFrame:
+    """df with `matching` of each `of` keys left as they are, spread over all keys, and the others moved below all keys that are 0 or more: so that a join finds a given share of them."""
+    stays = F.pmod(F.col(key) * 7919, F.lit(of)) < matching
+    return df.withColumn(key, F.when(stays, F.col(key)).otherwise(-1 - F.col(key)))

@@ -81,16 +81,6 @@ def test_full_counts_stay_in_the_jvm_and_read_all_columns(spark, sf):
     assert all(c in text.split("FileScan")[1] for c in df.columns)
 
 
-def test_left_vectors_of_an_ill_conditioned_array(spark):
-    rng = np.random.default_rng(0)
-    u, _ = np.linalg.qr(rng.standard_normal((200, 4)))
-    v, _ = np.linalg.qr(rng.standard_normal((4, 4)))
-    x = u @ np.diag([1.0, 1e-3, 1e-6, 1e-9]) @ v.T
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>").repartition(5)
-    got = np.array([r["u"] for r in blocks.left_vectors(df, "i", "v", 4).orderBy("i").collect()])
-    assert np.abs(np.abs((got * u).sum(axis=0)) - 1).max() < 1e-5
-
-
 def test_matrix_has_all_pairs_without_a_join_of_all(spark):
     stats = telemetry.bandwidths(spark.createDataFrame([(0, "a", 10, 2.0), (0, "b", 5, 4.0)], "worker long, who string, total long, bandwidth double"))
     m = telemetry.peer_matrix(stats, spark.range(3).withColumnRenamed("id", "worker"), spark.createDataFrame([("a",), ("b",)], "who string"))

@@ -87,7 +87,7 @@ def test_dealt_by_id(spark):
 
 
 def test_all_to_all(spark):
-    assert repartition.all_to_all(spark, 5).count() == 25
+    assert repartition.all_to_all(spark.range(20).selectExpr("id % 5 as s"), "s", 5).where("item = 4").count() == 25
 
 
 SPILL = """
