@@ -5,8 +5,9 @@ score-aware loss: the part of the residual along the vector, which changes its l
 the part across it. Codes are chosen by coordinate descent, codebooks by the normal equations of the same loss, fitted
 to a sample of FIT vectors; every vector is then encoded and searched.
 
-Each length of vectors has codebooks of its own, fitted by one task and joined to its vectors by length. Vectors are
-encoded once, into a written table.
+Each length of vectors has codebooks of its own, fitted by one task. Codebooks go to the tasks once, as a broadcast, up
+to BOOKS bytes of them (128 a dimension); only beyond are they joined to the vectors by length. Vectors are encoded once,
+into a written table.
 
 A search scans the tables of a query (16 partial products for each subspace, two subspaces to a byte) over the codes
 of a block of vectors, keeps the RERANK best of the block, and ranks them by their exact inner products. Equal vectors
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small, written
+from .common import dropped, written
 from .op03_hamming import least_ids
 
 #: Dimensions of a subspace, sample that codebooks are fitted to, weight of the parallel residual, rounds.
@@ -29,6 +30,8 @@ SUB, FIT, ETA, ROUNDS = 2, 4096, 4.0, 6
 TOGETHER = 32
 #: Vectors of a block; queries that are sent to a block together; candidates of a block that are ranked exactly.
 BLOCK, QUERIES, RERANK = 1 << 15, 1 << 13, 256
+#: Bytes of codebooks that are broadcast.
+BOOKS = 32 << 20
 
 
 def encode(x: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -114,10 +117,11 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 
 
 def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): about the k largest inner products of each query among all vectors but its own row's id.
+    """(query_id, rank from 1, vec_id, score): about the k largest inner products of each query among all rows but its own.
 
-    Both are tables of usable(). Scores are exact, in double precision; ties go to smaller ids. Vectors are compared
-    with those of their own length. With k candidates or fewer, all are found."""
+    Both are tables of usable(), queries some of the rows of vectors. Scores are exact, in double precision; ties go to
+    smaller ids. Vectors are compared with those of their own length. With k candidates or fewer, all are found. Other
+    rows with the query's id or its vector are candidates; each query row gets results of its own."""
     size = F.octet_length("body")
     distinct = written(least_ids(vectors, "body", k + 1).withColumn("dims", size), "vectors")
     blocks = distinct.count() // BLOCK + 1
@@ -132,9 +136,14 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
 
     books = written(sample.groupBy("dims").applyInArrow(learn, "dims int, book binary"), "books")
 
+    sent = (books.agg(F.sum(F.octet_length("book").cast("long"))).first()[0] or 0) <= BOOKS
+    told = vectors.sparkSession.sparkContext.broadcast({r["dims"]: bytes(r["book"]) for r in books.toLocalIterator()} if sent else None)
+    with_books = lambda df: df.withColumn("book", F.lit(None).cast("binary")) if sent else df.join(books, "dims")
+
     def code(batches):
         for batch in batches:
             dims, raw, book = (batch.column(c).to_pylist() for c in ("dims", "body", "book"))
+            book = [told.value[d] for d in dims] if sent else book
             codes: list = [b""] * batch.num_rows
             for d in set(dims):
                 own = [i for i, x in enumerate(dims) if x == d]
@@ -143,24 +152,24 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("dims"), batch.column("body"), batch.column("ids"), pa.array(codes, pa.binary())], ["dims", "body", "ids", "code"])
 
-    # a book is 256 bytes a dimension; beyond a megabyte of them Spark joins as it likes
-    known = small(books, 256 * (books.agg(F.sum("dims")).first()[0] or 0) // 8)
-    coded = written(distinct.join(known, "dims").mapInArrow(code, "dims int, body binary, ids array<long>, code binary"), "codes")
+    coded = written(with_books(distinct).select("dims", "body", "ids", "book").mapInArrow(code, "dims int, body binary, ids array<long>, code binary"), "codes")
     dropped(distinct)
-    asked = written(queries.groupBy("body").agg(F.min("id").alias("q")), "asked")
+    asked = written(queries.select("body").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")  # a number for each vector that is asked for
     slices = asked.count() // QUERIES + 1
     data = coded.select("dims", F.pmod(F.xxhash64("body"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "body", "ids", "code")
     looking = asked.select(size.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("body"), F.lit(slices)).cast("int").alias("slice"), "q", "body", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
-    both = data.unionByName(looking).join(known, "dims")
+    both = with_books(data.unionByName(looking))
 
     def search(group: pa.Table) -> pa.Table:
         q = group.column("q").to_pylist()
         is_q = np.array([x is not None for x in q])
         ids, x = group.column("ids").to_pylist(), np.frombuffer(b"".join(group.column("body").to_pylist()), np.float64).reshape(len(q), -1)
         own, ask = np.flatnonzero(~is_q), np.flatnonzero(is_q)
-        out: dict = {"q": [], "id": [], "score": []}
+        raw_body = group.column("body").to_pylist()
+        out: dict = {"q": [], "id": [], "score": [], "same": []}
         if own.size and ask.size:
-            book, data = np.frombuffer(group.column("book")[0].as_py(), np.float64).reshape(-1, 16, SUB), x[own]
+            body = told.value[group.column("dims")[0].as_py()] if sent else group.column("book")[0].as_py()
+            book, data = np.frombuffer(body, np.float64).reshape(-1, 16, SUB), x[own]
             raw = group.column("code").to_pylist()
             codes = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint8).reshape(own.size, -1)
             for at in range(0, ask.size, 64):
@@ -175,17 +184,21 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
                     for e in order.tolist():
                         if len(taken) > k and exact[e] < taken[k][0]:
                             break
-                        taken += [(float(exact[e]), v) for v in ids[own[best[e]]]]
+                        taken += [(float(exact[e]), v, raw_body[own[best[e]]] == raw_body[i]) for v in ids[own[best[e]]]]
                     taken = sorted(taken, key=lambda t: (-t[0], t[1]))[: k + 1]
                     out["q"] += [q[i]] * len(taken)
-                    out["id"] += [v for _, v in taken]
-                    out["score"] += [s for s, _ in taken]
-        return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+                    out["id"] += [v for _, v, _ in taken]
+                    out["score"] += [s for s, _, _ in taken]
+                    out["same"] += [s for _, _, s in taken]
+        return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "same": pa.array(out["same"], pa.bool_())})
 
-    found = both.groupBy("dims", "block", "slice").applyInArrow(search, "q long, id long, score double")
+    found = both.groupBy("dims", "block", "slice").applyInArrow(search, "q long, id long, score double, same boolean")
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     best = found.withColumn("r", order).where(F.col("r") <= k + 1)
-    own = queries.select(F.col("id").alias("query_id"), "body").join(asked, "body").select("query_id", "q")
-    mine = own.join(best, "q").where(F.col("id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id")))
-    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    # rows with equal ids and vectors are asked once; of the answers with their id and vector one is the row itself
+    own = queries.groupBy(F.col("id").alias("query_id"), "body").agg(F.count("*").cast("int").alias("times")).join(asked, "body").select("query_id", "times", "q")
+    near = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "id", F.desc("own"))
+    mine = own.join(best, "q").withColumn("own", F.col("same") & (F.col("id") == F.col("query_id")))
+    mine = mine.withColumns({"met": F.sum(F.col("own").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0)), "r": F.row_number().over(near)})
+    mine = mine.where(~(F.col("own") & (F.col("met") == 1))).withColumn("rank", (F.col("r") - F.least("met", F.lit(1))).cast("int")).where(F.col("rank") <= k)
+    return mine.select("query_id", "rank", F.col("id").alias("vec_id"), "score", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
