@@ -82,18 +82,22 @@ def cells(ni: int, nj: int, nk: int, slots: int, most: int) -> tuple[int, int, i
         cut = min(further, key=moved)
 
 
-def dot(x: DataFrame, y: DataFrame, slots: int | None = None, most: int = 256) -> DataFrame:
+def dot(x: DataFrame, y: DataFrame, slots: int | None = None, most: int = 256, axes: tuple[int, int, int] | None = None) -> DataFrame:
     """The product of two arrays in blocks of one size.
 
     The blocks' products form a cube of rows, columns and inner numbers, which is cut into cells: a task multiplies a cell,
     at most `most` blocks of either side, and adds up its inner numbers. So all slots have work however few inner blocks
-    there are, and blocks are copied a bounded number of times. Partial products are added up only where the inner axis is cut."""
-    known = x.agg(F.max("bi"), F.max("bj")).first(), y.agg(F.max("bi"), F.max("bj")).first()
-    if known[0][0] is None or known[1][0] is None:
-        return x.where("false")
-    if known[0][1] != known[1][0]:
-        raise ValueError(f"the inner numbers of blocks differ: {known[0][1] + 1} and {known[1][0] + 1}")
-    gi, gj, gk = cells(known[0][0] + 1, known[1][1] + 1, known[0][1] + 1, slots or x.sparkSession.sparkContext.defaultParallelism, most)
+    there are, and blocks are copied a bounded number of times. Partial products are added up only where the inner axis is cut.
+
+    axes: numbers of blocks (rows, columns, inner), where they are known; else they are looked up first."""
+    if axes is None:
+        (ni, nk), (ky, nj) = ([r[0], r[1]] for r in (a.agg(F.max("bi"), F.max("bj")).first() for a in (x, y)))
+        if ni is None or ky is None:
+            return x.where("false")
+        if nk != ky:
+            raise ValueError(f"the inner numbers of blocks differ: {nk + 1} and {ky + 1}")
+        axes = ni + 1, nj + 1, nk + 1
+    gi, gj, gk = cells(*axes, slots or x.sparkSession.sparkContext.defaultParallelism, most)
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     a = x.select(F.pmod("bi", F.lit(gi)).alias("gi"), copies(gj).alias("gj"), F.pmod("bj", F.lit(gk)).alias("gk"), F.lit(True).alias("left"), "*")
     b = y.select(copies(gi).alias("gi"), F.pmod("bj", F.lit(gj)).alias("gj"), F.pmod("bi", F.lit(gk)).alias("gk"), F.lit(False).alias("left"), "*")

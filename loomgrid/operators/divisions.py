@@ -65,20 +65,19 @@ class Divisions:
         return bisect_right([_ORDER(b) for b in self.bounds], _ORDER(tuple(key)))
 
     def numbered(self, df: DataFrame, name: str = "part") -> DataFrame:
-        """df with each row's partition number: a search of log2(parts) steps over the boundaries, which go along as one array."""
+        """df with each row's partition number: a search of log2(parts) steps, each a projection of its own within generated code, over the boundaries as one array."""
         if not self.bounds:
             return df.withColumn(name, F.lit(0))
-        steps, step = [], 1
-        while step <= len(self.bounds):
-            steps.insert(0, step)
-            step *= 2
-        own = F.struct(*[F.col(f"`{k}`").cast(self.schema[k].dataType).alias(k) for k in self.keys])
-        whole = StructType([StructField("bounds", ArrayType(self.schema))])
-        bounds = df.sparkSession.createDataFrame([(list(self.bounds),)], whole).scalar()
-        rows = df.withColumns({"_own": own, "_bounds": bounds})
-        further = lambda at, s: (at + s <= len(self.bounds)) & (F.get("_bounds", at + s - 1) <= F.col("_own"))
-        found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(further(at, s), at + s).otherwise(at))
-        return rows.withColumn(name, found).drop("_own", "_bounds")
+        own = [F.col(f"`{k}`").cast(self.schema[k].dataType).alias(k) for k in self.keys]
+        one = len(own) == 1  # else keys are compared as structs
+        whole = StructType([StructField("bounds", ArrayType(self.schema[0].dataType if one else self.schema))])
+        bounds = df.sparkSession.createDataFrame([([b[0] for b in self.bounds] if one else list(self.bounds),)], whole).scalar()
+        rows = df.withColumns({"_own": own[0] if one else F.struct(*own), "_bounds": bounds}).withColumn(name, F.lit(0))
+        step = 1 << (len(self.bounds).bit_length() - 1)
+        while step:  # beyond the boundaries' end there is null, which isn't reached
+            rows = rows.withColumn(name, F.col(name) + F.when(F.get("_bounds", F.col(name) + (step - 1)) <= F.col("_own"), step).otherwise(0))
+            step //= 2
+        return rows.drop("_own", "_bounds")
 
 
 def _schema(df: DataFrame, keys: Sequence[str]) -> StructType:

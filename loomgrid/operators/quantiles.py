@@ -11,7 +11,7 @@ Buckets are of equal width, or of equal ratio where an interval spans magnitudes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +43,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{value}`").cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     same = lambda other: [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
     groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    if (groups.agg(F.max("_n")).first()[0] or 0) <= most:  # every group is small enough as it is
+        sorted_ = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("_v")).alias("_at"))
+        return _interpolated(sorted_, keys, shares, lambda rank: F.get("_at", rank.cast("int")))
     # the ranks around each share; the rank counts from 0 within the interval
     around = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in around for f in (F.floor, F.ceil)]))
@@ -73,7 +76,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
     picked = few.alias("r").join(values.alias("t"), _all(same("t") + [F.col("r._low") == F.col("t._low"), F.col("r._high") == F.col("t._high")]))
     picked = picked.select(*[F.col(f"r.{k}").alias(k) for k in keys], "_n", "_asked", F.get("_values", F.col("_rank").cast("int")).alias("_value"))
     found = one.unionByName(picked).groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_asked", "_value"))).alias("_at"))
-    at = lambda rank: F.col("_at")[rank.cast("long")]
+    return _interpolated(found, keys, shares, lambda rank: F.col("_at")[rank.cast("long")])
+
+
+def _interpolated(found: DataFrame, keys: Sequence[str], shares: Sequence[float], at: Callable[[Column], Column]) -> DataFrame:
+    """at: a group's value of a rank."""
     out = []
     for q in shares:
         h = F.lit(float(q)) * (F.col("_n") - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import divisions
-from ..operators.quantiles import quantiles
+from ..operators.quantiles import MOST, quantiles
 
 #: The statistics of a pair of workers, in order.
 STATISTICS = ["bandwidth_hmean", "bandwidth_hstd", "bandwidth_q25", "bandwidth_q50", "bandwidth_q75", "bandwidth_min", "bandwidth_max", "bandwidth_median", "total_bytes"]
@@ -31,15 +31,18 @@ def hstd(x: Column) -> Column:
     return F.coalesce(F.sqrt(F.var_pop(r) / (F.count(r) * F.pow(F.avg(r), F.lit(4.0)))), F.lit(0.0))
 
 
-def bandwidths(log: DataFrame, ignore_below: int | None = None) -> DataFrame:
-    """STATISTICS of each (worker, who), of transfers of `ignore_below` bytes or more. Quantiles are exact, by rank selection, so a pair may have any number of transfers."""
+def bandwidths(log: DataFrame, ignore_below: int | None = None, most: int = MOST) -> DataFrame:
+    """STATISTICS of each (worker, who), of transfers of `ignore_below` bytes or more. Quantiles are exact; where a pair has more than `most` transfers they are found by rank selection, so none is too large for a task."""
     if ignore_below is not None:
         log = log.where(F.col("total") >= ignore_below)
     b = F.col("bandwidth")
     pair = ["worker", "who"]
-    stats = log.groupBy(*pair).agg(hmean(b).alias("bandwidth_hmean"), hstd(b).alias("bandwidth_hstd"), F.min(b).alias("bandwidth_min"), F.max(b).alias("bandwidth_max"), F.sum("total").alias("total_bytes"))
-    at = quantiles(log, pair, "bandwidth", [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_{c}") for c in pair], *[F.col("q")[k].alias(f"bandwidth_q{q}") for k, q in enumerate((25, 50, 75))])
-    both = stats.join(at, F.col("worker").eqNullSafe(F.col("_worker")) & F.col("who").eqNullSafe(F.col("_who")), "left")
+    stats = [hmean(b).alias("bandwidth_hmean"), hstd(b).alias("bandwidth_hstd"), F.min(b).alias("bandwidth_min"), F.max(b).alias("bandwidth_max"), F.sum("total").alias("total_bytes")]
+    if (log.groupBy(*pair).count().agg(F.max("count")).first()[0] or 0) <= most:  # a pair's values are few enough for one buffer
+        q = [F.percentile(b, F.lit(x)).alias(f"bandwidth_q{int(x * 100)}") for x in (0.25, 0.5, 0.75)]
+        return log.groupBy(*pair).agg(*stats, *q).withColumn("bandwidth_median", F.col("bandwidth_q50")).select(*pair, *STATISTICS)
+    at = quantiles(log, pair, "bandwidth", [0.25, 0.5, 0.75], most).select(*[F.col(c).alias(f"_{c}") for c in pair], *[F.col("q")[k].alias(f"bandwidth_q{q}") for k, q in enumerate((25, 50, 75))])
+    both = log.groupBy(*pair).agg(*stats).join(at, F.col("worker").eqNullSafe(F.col("_worker")) & F.col("who").eqNullSafe(F.col("_who")), "left")
     return both.withColumn("bandwidth_median", F.col("bandwidth_q50")).select(*pair, *STATISTICS)
 
 

@@ -214,7 +214,7 @@ _HALF = "select case when l_orderkey % 2 = 0 then 0 else l_suppkey end as g, l_e
 def group_quantiles(spark, d):
     """Exact quantiles by rank selection; one group holds half of all rows."""
     rows = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(F.col("l_suppkey")).alias("g"), F.col("l_extendedprice").alias("v"))
-    found = quantiles.quantiles(rows, ["g"], "v", [0.01, 0.5, 0.95], most=1024)
+    found = quantiles.quantiles(rows, ["g"], "v", [0.01, 0.5, 0.95], most=1 << 13)
     return found.select("g", "n", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("q01", "q50", "q95"))])
 
 
@@ -455,7 +455,8 @@ def _mixed(spark, d):
     x, size = _rows(spark, d), 32
     y = x.withColumn("embedding", F.concat(F.slice("embedding", DIMS, 1), F.slice("embedding", 1, DIMS - 1)))
     both = [blocks.from_vectors(a, "vec_id", "embedding", DIMS, size) for a in (x, y)]
-    return blocks.dot(blocks.transposed(both[0]), both[1]), size
+    n = x.agg(F.max("vec_id")).first()[0] or 0
+    return blocks.dot(blocks.transposed(both[0]), both[1], axes=(DIMS // size, DIMS // size, n // size + 1)), size
 
 
 @query(f"select cast(i as bigint) as i, cast(j as bigint) as j, round(v, 6) as v from ({_MIXED})")
@@ -482,7 +483,8 @@ def array_dot_one_inner(spark, d):
     """x.dot(x.T.dot(x)): the inner axis is one block, and all slots have work."""
     x, size = blocks.from_vectors(_rows(spark, d), "vec_id", "embedding", DIMS, DIMS), DIMS
     g = blocks.blocked(blocks.gram(_rows(spark, d), "embedding", DIMS), DIMS, DIMS, size)
-    return rounded(blocks.long_form(blocks.dot(x, g), size), 4)
+    n = _rows(spark, d).agg(F.max("vec_id")).first()[0] or 0
+    return rounded(blocks.long_form(blocks.dot(x, g, axes=(n // size + 1, 1, 1)), size), 4)
 
 
 @query(f"select i, cast(j as bigint) as j, round(v, 6) as v from ({_LONG})")

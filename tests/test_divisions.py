@@ -137,6 +137,17 @@ def test_quantiles_hold_no_group_in_a_task(spark):
     assert list(out.first()["q"]) == pytest.approx([19999.9, 99999.5, 199799.001])
 
 
+def test_transfer_statistics_of_large_pairs(spark):
+    """By rank selection the same as by one buffer for each pair."""
+    from loomgrid.plans import telemetry
+
+    log = spark.range(3000).selectExpr("id % 2 as worker", "case when id % 3 = 0 then 'a' else null end as who", "id as total", "cast((id * 37) % 101 + 1 as double) as bandwidth")
+    one, other = ({(r["worker"], r["who"]): r for r in telemetry.bandwidths(log, 10, most=most).collect()} for most in (10**6, 5))
+    assert one.keys() == other.keys() and len(one) == 4
+    for k in one:
+        assert list(one[k])[2:] == pytest.approx(list(other[k])[2:])
+
+
 def test_colocated_tables_join_and_group_without_an_exchange(spark):
     rng = random.Random(5)
     left = [(rng.randint(0, 40) if rng.random() > 0.05 else None, k) for k in range(500)]
