@@ -154,7 +154,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def scores(models: Models, curve: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(curve[0] + models.features(texts) @ curve[1:], -30, 30)))
+    return judged(models, curve, texts)[0]
+
+
+def judged(models: Models, curve: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, whether anything in the text speaks for one class)."""
+    x = models.features(texts)
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30))), x.any(axis=1)
 
 
 def _dealt(part: np.ndarray, n: int):
@@ -303,7 +309,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sam
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, all columns, that toxicity() does not predict to be toxic; without labels to learn from, all of them. No shuffle; rows are judged by their texts alone."""
+    """The rows of `docs`, all columns, that toxicity() does not predict to be toxic; without labels to learn from, all of them. No shuffle; rows are judged by their texts alone.
+
+    A text in which nothing speaks for either class (null, empty, or of expressions that don't differ) stays, however many of the labels are toxic."""
     models, curve = learned(docs, labels, by, held, sample, text, doc_id)
     if not curve.any():
         return docs
@@ -316,7 +324,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0
             body = batch.column(at_text).cast(pa.binary()).fill_null(b"")
             for at in range(0, batch.num_rows, 512):
                 texts = body.slice(at, 512).to_pylist()
-                yield batch.slice(at, len(texts)).filter(pa.array(scores(models, curve, texts) < 0.5))
+                score, known = judged(models, curve, texts)
+                yield batch.slice(at, len(texts)).filter(pa.array((score < 0.5) | ~known))
 
     renamed = docs.toDF(*plain)
     return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)

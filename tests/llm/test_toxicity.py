@@ -115,11 +115,30 @@ def test_models_are_kneser_ney(spark, corpus, monkeypatch, parts):
             assert seen + sum(brute.p(c, v, None, s) for s in brute.mass) + brute.p(c, v, None, None) == pytest.approx(1)
 
 
-def test_stage_goes_by_predictions(spark):
+@pytest.mark.parametrize("share", [10, 80])
+def test_stage_keeps_what_nothing_speaks_against(spark, share):
+    """Whatever share of the labels is toxic: texts with a toxic expression go; null, empty, unknown and clean ones stay."""
     from loomgrid.llm.op05_toxicity import toxicity, without_toxic
 
-    df = spark.createDataFrame([(i if i % 9 else None, f"word{i % 7} grolm" if i % 3 else None, "x", 1) for i in range(60)], "doc_id long, text string, _other string, __id int")
-    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, toxic int")
-    assert all(r["predicted"] == 1 for r in toxicity(df, labels).collect())
-    assert without_toxic(df, labels).count() == 0
+    rng = random.Random(share)
+    plain = lambda: " ".join(f"word{rng.randrange(60)}" for _ in range(12))
+    bad = {i: rng.random() * 100 < share for i in range(3000)}
+    rows = [(i, plain() + (" grolm snuffles vrakk" if bad[i] else " fine kindly calm"), "x", 1) for i in bad]
+    odd = [(None, None, "x", 1), (None, "", "y", 2), (-1, None, "x", 1), (-2, "", "x", 1), (-3, "zzz qqq", "x", 1), (-4, "...", "x", 1)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, _other string, __id int")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in bad.items()], "doc_id long, toxic int")
+    kept = without_toxic(df, labels)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(odd + [r for r in rows if not bad[r[0]]])
+    predicted = {r["doc_id"]: r["predicted"] for r in toxicity(df, labels).where("doc_id >= 0").collect()}
+    assert predicted == {i: int(b) for i, b in bad.items()}
     assert without_toxic(df, labels.where("false")).collect() == df.collect()
+
+
+def test_labels_of_one_class_speak_for_nothing(spark):
+    from loomgrid.llm.op05_toxicity import without_toxic
+
+    df = spark.createDataFrame([(i, f"word{i % 7} grolm" if i % 3 else None) for i in range(60)], "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(60)], "doc_id long, toxic int")
+        assert without_toxic(df, labels).count() == 60
