@@ -186,12 +186,14 @@ def sharded(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("n_chars
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of all documents in `shards` shards of nearly equal bytes, or as many as leave `target` bytes each.
 
     size: UTF-8 bytes of the text plus 16, so an empty or null text weighs too. law is bytes: each cut is the nearest
-    the rows allow, so shards differ by no more than a few documents. Null metadata sorts lowest; rows with null or
-    repeated ids are rows of their own. The texts are read once; all passes go over a written table of ids, sizes and
+    the rows allow, so shards differ by no more than a few documents. Cuts fall on `dims` alone, so that a shard holds
+    neighbours in metadata; where a node's rows agree in all of them, and for a cut within one value, a hash of the row
+    decides (without any of `dims`, ids are what is cut). Null metadata sorts lowest; rows with null or repeated ids are
+    rows of their own, and which of the rows that are alike gets which slot isn't fixed. The texts are read once; all passes go over a written table of ids, sizes and
     metadata."""
     text = F.col("text").cast("string").cast("binary")
     held = [d for d in dims if d in docs.columns]
     meta = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).cast("long").alias("text_crc32"), *held)
     meta = written(meta, "meta")
-    out = kd_shards(meta, [*held, "doc_id", "text_crc32"], "size", "doc_id", shards=None if target else shards, target=target, cell=cell)
+    out = kd_shards(meta, held or ["doc_id"], "size", "doc_id", shards=None if target else shards, target=target, cell=cell)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

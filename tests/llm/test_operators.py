@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -71,6 +72,34 @@ def test_kd_shards(docs, none, shards):
     assert sharded(none, shards).count() == 0
 
 
+def test_kd_shards_hold_neighbours_in_metadata(spark, sf):
+    """A shard's documents span less of each dimension's order than a deal at random, and all together far less; the sizes stay near equal."""
+    from loomgrid.llm.op01_kd_shards import sharded
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    meta = {r["doc_id"]: (r["n_chars"], r["source"], r["lang"]) for r in docs.collect()}
+    rows = sharded(docs, 8).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    ids = [r["doc_id"] for r in rows]
+    dealt = dict(zip(random.Random(1).sample(ids, len(ids)), (k % 8 for k in range(len(ids)))))
+
+    def spans(shard_of):
+        out = []
+        for d in range(3):
+            order = {v: k for k, v in enumerate(sorted({m[d] for m in meta.values()}, key=lambda v: (v is not None, v)))}
+            for s in range(8):
+                own = [order[meta[i][d]] for i in ids if shard_of[i] == s]
+                out.append((max(own) - min(own) + 1) / len(order))
+        return np.array(out).reshape(3, 8).mean(1)
+
+    ours, random_ = spans({r["doc_id"]: r["shard"] for r in rows}), spans(dealt)
+    assert (ours <= random_).all() and ours.prod() < 0.5 * random_.prod()
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in rows)
+
+
+
 def test_sstable(spark, docs, none, tmp_path):
     from loomgrid.llm.op02_sstable import Reader, token_index
 
@@ -269,7 +298,6 @@ def test_products(vectors):
 
 def test_maxent(docs, none):
     import math
-    from collections import Counter
 
     from loomgrid.llm.op08_maxent import scored
 
