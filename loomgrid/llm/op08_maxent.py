@@ -51,6 +51,8 @@ ROUNDS = (1 / 32, 2 / 32, 4 / 32, 8 / 32, 16 / 32, 1.0)
 RATE, PRIOR, STEP, UNIT = 0.5, 2.0, 4096, 1 << 18
 #: Bytes of text that one task of a round reads: it sends all weights' sums once.
 SHARE_BYTES = 64 << 20
+#: Small texts are shared by all slots, this much each at least; sums don't depend on how they are shared.
+LEAST_SHARE = 2 << 20
 #: Occurrences that the level below counts for among the words after a word, and after two words.
 PAIR, TRIPLE = 100.0, 10.0
 #: Tokens whose followers are counted at once.
@@ -404,7 +406,7 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     dropped(source)
     dropped(replies)
     settle(spark)
-    n_tasks = int(source_bytes // SHARE_BYTES) + 1
+    n_tasks = max(int(source_bytes // SHARE_BYTES) + 1, min(spark.sparkContext.defaultParallelism, int(source_bytes // LEAST_SHARE) + 1))
     tasks = coded.select("body").coalesce(n_tasks)
 
     def training(body, lo=0.0, hi=1.0):

@@ -42,9 +42,13 @@ def test_rounds_go_uphill():
     words = np.arange(60, dtype=np.uint64) << np.uint64(32)
     w = np.concatenate([[a, (a * 7 + 3) % 60, (a * 5) % 60] for a in rng.integers(0, 60, 2000)]).astype(np.uint16)
     sizes = np.full(w.size // 20, 20)
-    m = op.Model(words, np.bincount(w, minlength=60).astype(float), np.full(op.TAIL, 61.0))
+    counts = np.bincount(w, minlength=60).astype(float)
+    mass = np.bincount((words & np.uint64(op.TAIL - 1)).astype(np.int64), weights=counts + 1, minlength=op.TAIL)
+    m = op.Model(words, counts, mass)
+    assert (m.tail_mass == 1).all()
     m.start(np.ones((op.BEFORE + 2 + op.TAIL, 60 + op.TAIL)))
     last = m.chances(w, sizes).mean()
+    assert np.isfinite(m.chances(w, sizes)).all()
     for _ in range(4):
         sums = [np.zeros(x.shape, np.int64) for x in 2 * [m.A, m.B, m.T]]
         m.occurrences(w, sizes, sums)
