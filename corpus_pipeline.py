@@ -19,7 +19,7 @@ from loomgrid.llm.op10_packing import packed
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the models call toxic; labels of the held-out fold are not looked at. Texts without an expression that differs stay."""
+    """Drops the documents that the models call toxic; labels of the held-out fold are not looked at. Texts in which nothing speaks for either class, null and empty ones among them, stay whatever share of the labels is toxic."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
