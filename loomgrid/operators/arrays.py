@@ -11,6 +11,11 @@ def from_vectors(df: DataFrame, row: str, vector: str) -> DataFrame:
     return df.select(F.col(row).alias("i"), F.posexplode(vector).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
+def to_vectors(x: DataFrame) -> DataFrame:
+    """(i, v): the rows of an array in long form as vectors, in the order of j. A row's cells meet in one place."""
+    return x.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("v"))
+
+
 def column(x: DataFrame, j: int) -> DataFrame:
     return x.where(F.col("j") == j).select("i", "v")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import socket
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -36,6 +37,41 @@ def moved(spark: SparkSession) -> dict[str, int]:
     return out
 
 
+#: Columns of exchanges(), by stage.
+EXCHANGES = "stage int, tasks int, input_rows long, read_rows long, read_bytes long, largest_read_rows long, median_read_rows double, written_rows long, written_bytes long, memory_spilled_bytes long, disk_spilled_bytes long"
+
+
+def exchanges(spark: SparkSession, action: Callable[[], object]) -> DataFrame:
+    """EXCHANGES of the jobs that an action starts, a row for each stage that ran: what it read from and wrote to exchanges, the largest and the median task's share of what was read, and spill.
+
+    Jobs are told apart by a tag, so what else the session runs meanwhile doesn't count. Where an exchange keeps its
+    number of partitions (an explicit count, or AQE's coalescing off), a task's share is a partition."""
+    sc, tag = spark.sparkContext, f"exchanges-{uuid.uuid4().hex}"
+    sc.addJobTag(tag)
+    try:
+        action()
+    finally:
+        sc.removeJobTag(tag)
+    scala = sc._jsc.sc()
+    scala.listenerBus().waitUntilEmpty(60_000)
+    store, gateway = scala.statusStore(), sc._gateway
+    jobs = store.jobsList(None)
+    own = [j for j in (jobs.apply(k) for k in range(jobs.size())) if j.jobTags().contains(tag)]
+    stages = sorted({int(j.stageIds().apply(k)) for j in own for k in range(j.stageIds().size())})
+    at = gateway.new_array(gateway.jvm.double, 2)
+    at[0], at[1] = 0.5, 1.0
+    rows = []
+    for stage in stages:
+        x = store.lastStageAttempt(stage)
+        if x.status().toString() != "COMPLETE":  # skipped: an earlier one's files were at hand
+            continue
+        found = store.taskSummary(stage, x.attemptId(), at)
+        shares = found.get().shuffleReadMetrics().readRecords() if found.isDefined() else None
+        median, largest = (float(shares.apply(0)), int(shares.apply(1))) if shares is not None else (0.0, 0)
+        rows.append((stage, x.numCompleteTasks(), *map(int, (x.inputRecords(), x.shuffleReadRecords(), x.shuffleReadBytes())), largest, median, *map(int, (x.shuffleWriteRecords(), x.shuffleWriteBytes(), x.memoryBytesSpilled(), x.diskBytesSpilled()))))
+    return spark.createDataFrame(rows, EXCHANGES)
+
+
 def tiers(spark: SparkSession) -> DataFrame:
     """(executor, memory_bytes, disk_bytes, memory_limit): bytes of persisted blocks that each executor holds in memory and on disk."""
     found = spark.sparkContext._jsc.sc().statusStore().executorList(True)

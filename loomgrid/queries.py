@@ -5,6 +5,7 @@ Statistics are rounded on both sides: sums of doubles depend on the order in whi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import aggregate, arrays, blocks, colocated, divisions, join, quantiles, repartition
-from .plans import telemetry
+from .operators import aggregate, arrays, blocks, colocated, divisions, fourier, join, quantiles, repartition
+from .plans import telemetry, workers
 from .session import shared_folder
-from .sources import generate, parquet
+from .sources import generate, groups, parquet
+from .streaming import transfers
 from .sources.parquet import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,12 @@ def scan_project(spark, d):
     return parquet.scanned(spark, [f"{d}/lineitem.parquet"], "l_extendedprice")
 
 
+@query("select l_orderkey, l_extendedprice from lineitem where l_extendedprice > 50000 and l_orderkey >= 1000")
+def scan_row_groups(spark, d):
+    """A partition for each row group that can hold such rows; two columns are read."""
+    return groups.row_groups(spark, f"{d}/lineitem.parquet", "l_orderkey", "l_extendedprice").where("l_extendedprice > 50000 and l_orderkey >= 1000")
+
+
 @query("select count(*) as n from lineitem")
 def scan_opaque_count(spark, d):
     return parquet.opaque_count(table(spark, d, "lineitem"))
@@ -233,6 +241,17 @@ def shuffle_hash_n(spark, d):
     return dealt.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"))
 
 
+@query(f"select count(*) as partitions, cast(sum(n) as bigint) as rows, max(n) as largest, min(n) as least from (select count(*) as n from events group by case when user_id % 3 = 0 then 0 else user_id % {PARTS} end)")
+def shuffle_statistics(spark, d):
+    """What Spark counted of one exchange in which a partition has a third of all rows, against the rows themselves."""
+    part = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.pmod("user_id", F.lit(PARTS)))
+    dealt = repartition.dealt_by_id(table(spark, d, "events").select("event_id", "value", part.alias("part")), "part", PARTS)
+    told = workers.exchanges(spark, lambda: dealt.write.format("noop").mode("overwrite").save())
+    sizes = repartition.partition_numbers(dealt, "at").groupBy("at").agg(F.count("*").alias("n")).agg(F.count("*").alias("partitions"), F.min("n").alias("least"))
+    counted = told.agg(F.sum("read_rows").alias("rows"), F.max("largest_read_rows").alias("largest"), F.sum("written_rows").alias("_written")).where(F.col("rows") == F.col("_written"))
+    return sizes.join(counted.drop("_written"), F.lit(True)).select("partitions", "rows", "largest", "least")
+
+
 @query(f"select cast(o_custkey % {PARTS} as bigint) as shuffle, cast(o_custkey % {PARTS} as integer) as part, count(*) as n from orders group by 1, 2")
 def range_partition(spark, d):
     rows = table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(PARTS)).cast("long").alias("shuffle"))
@@ -288,8 +307,11 @@ _STATS = f"""select worker, who, {_HMEAN.format('bandwidth')} as bandwidth_hmean
 
 
 def _stats(spark, d):
-    log = table(spark, d, "events").select(F.pmod("user_id", F.lit(4)).cast("long").alias("worker"), F.col("event_type").alias("who"), F.col("value").alias("bandwidth"), F.floor(F.col("value") * 1000).cast("long").alias("total"))
-    return rounded(telemetry.bandwidths(log, 1000))
+    return rounded(telemetry.bandwidths(_transfers(table(spark, d, "events")).drop("ts"), 1000))
+
+
+def _transfers(events):
+    return events.select("ts", F.pmod("user_id", F.lit(4)).cast("long").alias("worker"), F.col("event_type").alias("who"), F.col("value").alias("bandwidth"), F.floor(F.col("value") * 1000).cast("long").alias("total"))
 
 
 @query(_STATS)
@@ -329,6 +351,21 @@ def tele_cluster_bandwidth(spark, d):
     return rounded(telemetry.cluster_bandwidth(_stats(spark, d)))
 
 
+_EXACT = "worker, who, bandwidth_hmean, bandwidth_hstd, bandwidth_min, bandwidth_max, total_bytes"
+
+
+@query(f"select {_EXACT} from ({_STATS})")
+def tele_bandwidth_stream(spark, d):
+    """The same statistics by a stream over the log's files, from the partial ones of its batches and windows."""
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    running = transfers.accumulated(_transfers(log), "ts", f"{folder}/parts", f"{folder}/checkpoint", ignore_below=1000)
+    running.awaitTermination()
+    if running.exception():
+        raise running.exception()
+    return rounded(transfers.summarised(spark.read.parquet(f"{folder}/parts"))).select(*_EXACT.split(", "))
+
+
 @query(f"select worker, who, bandwidth_q25, bandwidth_q50, bandwidth_q75, total_bytes from ({_STATS}) where total_bytes > 0")
 def tele_p2p_nonzero(spark, d):
     return telemetry.busy_pairs(_stats(spark, d))
@@ -514,6 +551,14 @@ def array_fft(spark, d):
     return rounded(blocks.fft(table(spark, d, "embeddings"), "vec_id", "embedding"), 4).withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})
 
 
+@query(f"""with n as (select count(*) as n from embeddings) select k as i, cast(j as bigint) as j, round(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 4) + 0 as re, round(-sum(v * sin(2 * pi() * ((i * k) % n) / n)), 4) + 0 as im
+  from ({_LONG}), n, (select vec_id as k from embeddings) group by k, j""")
+def array_fft_rows(spark, d):
+    """fft(x, axis=0) along all rows, in two steps of groups of about the root of their number."""
+    rows = table(spark, d, "embeddings")
+    return rounded(fourier.fft_rows(rows, "vec_id", "embedding", rows.count(), DIMS), 4).withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})
+
+
 @query(f"select round(sum(v), 4) as v from ({_LONG})")
 def array_sum(spark, d):
     return rounded(arrays.total(_long(spark, d)), 4)

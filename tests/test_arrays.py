@@ -141,6 +141,22 @@ def test_fft(spark):
         assert complex(r["re"], r["im"]) == pytest.approx(want[r["i"], r["j"]])
 
 
+@pytest.mark.parametrize("n, most", [(1, 4), (2, 4), (12, 4096), (30, 4), (97, 4096), (97, 4), (64, 2), (3, 1)])
+def test_fft_along_the_rows(spark, n, most):
+    """By factors, or by a chirp where there are none, with rows that are missing."""
+    from loomgrid.operators import fourier
+
+    x = RNG.standard_normal((n, 3))
+    df = vectors(spark, x).repartition(4)
+    if n == 30:
+        x[7] = 0
+        df = df.where("id <> 7").unionByName(spark.createDataFrame([(99, [1.0] * 3), (3, [1.0]), (None, [1.0] * 3)], "id long, v array<double>"))
+    got = np.full((n, 3), np.nan, complex)
+    for r in fourier.fft_rows(df, "id", "v", n, 3, most).collect():
+        got[r["i"], r["j"]] = complex(r["re"], r["im"])
+    assert np.allclose(got, np.fft.fft(x, axis=0))
+
+
 def test_long_form_operators(spark):
     x, y = RNG.normal(10, 1, 40), RNG.normal(10, 1, 40)
     col = lambda v: spark.createDataFrame([(k, float(a)) for k, a in enumerate(v)], "i long, v double")

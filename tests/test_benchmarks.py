@@ -27,6 +27,63 @@ def test_benchmarks_report(spark, name):
     assert name not in ("merge", "shuffle", "groupby") or out["shuffle_write_bytes"] > 0
 
 
+@pytest.mark.parametrize("operation", benchmarks.OPERATIONS)
+def test_array_operations(spark, operation):
+    """Each operation of the array benchmark against numpy."""
+    args = benchmarks.arguments(["array", "--operation", operation, "--size", "30", "--second-size", "5", "--chunk-size", "8"])
+    n, out = benchmarks.array(spark, args)
+    assert n > 0
+    square = lambda seed: dense(generate.uniform_array(spark, 30, 30, seed), (30, 30))
+    column = lambda seed: np.array([r["v"] for r in generate.normal_array(spark, 30, seed=seed).orderBy("i").collect()])
+    if operation in ("sum", "mean", "transpose_sum"):
+        x = square(0)
+        assert out.first()[0] == pytest.approx({"sum": x.sum(), "mean": x.mean(), "transpose_sum": (x + x.T).sum()}[operation])
+    elif operation == "slice":
+        assert np.allclose(dense(out, (10, 30)), square(0)[::3])
+    elif operation == "dot":
+        assert np.allclose(dense(blocks.long_form(out, 8), (30, 30)), square(0) @ square(1))
+    elif operation == "svd":
+        u = np.array([r["u"] for r in out.orderBy("i").collect()])
+        assert u.shape == (30, 5) and np.allclose(u.T @ u, np.eye(5))
+    elif operation == "fft":
+        want = np.fft.fft(square(0).T, axis=0)
+        assert all(abs(complex(r["re"], r["im"]) - want[r["i"], r["j"]]) < 1e-9 for r in out.collect()) and out.count() == 900
+    else:
+        x, y = column(0), column(1)
+        got = [r["v"] for r in out.orderBy("i").collect()]
+        index = [r["v"] for r in generate.int_array(spark, 5, 30, 0).orderBy("i").collect()]
+        assert got == pytest.approx(list({"col_sum": x + y, "col_mask": x[y > 10], "col_gather": x[index]}[operation]))
+
+
+def dense(df, shape):
+    out = np.zeros(shape)
+    for r in df.collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def test_merge_options(spark):
+    """Chunks of either side, natural order of the keys and a sorted result: the same matches."""
+    for more, want in (([], 4 * 3 * 3), (["--no-shuffle"], 36), (["--set-index"], 36), (["--base-chunks", "2"], None), (["--other-chunks", "1", "--no-shuffle", "--set-index"], None)):
+        args = benchmarks.arguments(["merge", "--rows", "120", "--chunks", "3", "--frac-match", "0.1", *more])
+        size, out = benchmarks.merge(spark, args)
+        base, other = args.base_chunks or 3, args.other_chunks or 3
+        keys = [r["key"] for r in generate.merge_other(spark, other, 120, 0.1).collect()]
+        assert size == (base + other) * 120 * 16 and out.count() == sum(k < base * 120 for k in keys)
+        assert want is None or out.count() == want
+        if args.set_index:
+            got = [r["key"] for r in out.collect()]
+            assert got == sorted(got)
+
+
+def test_report_to_read(spark):
+    args = benchmarks.arguments(["stencil", "--size", "40", "--chunk-size", "16", "--runs", "2", "--warmup-runs", "0", "--kernel-size", "2"])
+    found = benchmarks.measured(spark, args)
+    text = benchmarks.report(found, args)
+    assert text.startswith("stencil\n") and "kernel-size         | 2" in text and text.count("run ") >= 2 and "+/-" in text and "widest exchange" in text
+    assert found["widest_exchange"]["largest_read_rows"] >= found["widest_exchange"]["median_read_rows"] > 0
+
+
 def test_merge_gives_the_matches_of_the_closed_form(spark):
     args = benchmarks.arguments(["merge", "--rows", "2000", "--chunks", "3"])
     size, out = benchmarks.merge(spark, args)
