@@ -10,7 +10,9 @@ w after v in class c (toxic or ordinary) is interpolated from pair to word to st
 Counts of pairs are continuation counts: the distinct words met before the pair, in documents of the class; so a passage
 that is copied counts once. Counts of words and stems are documents of distinct texts. d is the discounted count: n - D
 where the two classes' counts differ by Z standard deviations or more; elsewhere the whole count is discount, and its
-mass goes to the back-off. n(w): documents of both classes; T(s): their sum over the stem's words; T, S: sums over all
+mass goes to the back-off. Z is chosen among ZS by the labels outside the held-out fold alone: the models count all of
+those but one fold, and of that fold one half after the other tells how well a curve fitted to its other half does (by
+the sum of log-likelihoods; ties to the larger Z). n(w): documents of both classes; T(s): their sum over the stem's words; T, S: sums over all
 stems, and their number; the 1's are for words never seen, of known and of new stems. For each history the likelihoods
 of all words and of those never seen add up to 1 (tested).
 
@@ -36,8 +38,8 @@ from .common import MAIL, at_parts, blob, bodies, dropped, id_column, mail, mix,
 from .op08_maxent import fold
 from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 
-#: Labelled rows to learn from, discount, standard deviations, bytes of a stem.
-SAMPLE, D, Z, STEM = 40_000, 0.75, 6.0, 7
+#: Labelled rows to learn from, discount, standard deviations that are tried, bytes of a stem.
+SAMPLE, D, ZS, STEM = 40_000, 0.75, (4.5, 6.0, 8.0, 11.0), 7
 EDGE = b".,;:!?\"'()[]{}<>|*#-_/\\"
 U = np.uint64
 HIGH = U(0xFFFFFFFF00000000)
@@ -108,13 +110,13 @@ def discounted(n1: np.ndarray, n0: np.ndarray, share: float, z: float) -> tuple[
 class Models:
     """What differs between the classes. Each table: (sorted keys, columns): pairs (2: d_c / n_c), histories (2: g_c), words (4: d_c / n_c, Q(stem), P(w | stem)), stems (3: d_c / m_c, Q)."""
 
-    def __init__(self, pairs=None, histories=None, words=None, stems=None, g=(1.0, 1.0), h=(1.0, 1.0)):
+    def __init__(self, pairs=None, histories=None, words=None, stems=None, g=(1.0, 1.0), h=(1.0, 1.0), z=0.0):
         tables = []
         for keys, columns in (pairs or (np.zeros(0, U), np.zeros((0, 2))), histories or (np.zeros(0, U), np.zeros((0, 2))), words or (np.zeros(0, U), np.zeros((0, 4))), stems or (np.zeros(0, U), np.zeros((0, 3)))):
             order = np.argsort(keys)
             tables.append((keys[order], columns[order]))
         self.pairs, self.histories, self.words, self.stems = tables
-        self.g, self.h = g, h
+        self.g, self.h, self.z = g, h, z
         self.base = float(np.log(g[0] * h[0]) - np.log(g[1] * h[1]))
 
     def ratios(self, word: np.ndarray, stem: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -177,8 +179,8 @@ def _counted(keys: np.ndarray, toxic: np.ndarray, weights=None) -> tuple[np.ndar
 
 
 def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int, text: str, doc_id: str) -> tuple[Models, np.ndarray]:
-    """The models, counted over the sample's folds but the first after the held-out one, and the curve, fitted to that one."""
-    spark = docs.sparkSession
+    """The models, counted over the sample's folds but the first after the held-out one, with the Z that does best on that one, and the curve, fitted to it."""
+    spark, zs = docs.sparkSession, ZS
     of_fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(by))
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(of_fold("doc_id") != held)
@@ -229,48 +231,42 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
         pair, two, kind = (np.concatenate(x) for x in zip(*map(unblob, got)))
         one = np.unique(mix(pair) ^ mix(two.astype(U) * U(2) + kind), return_index=True)[1]
         pair, _, n1, n0 = _counted(pair[one], kind[one])
-        d = discounted(n1, n0, pair_share, Z)
         history, of = np.unique(pair & HIGH, return_inverse=True)
         totals = [np.maximum(np.bincount(of, weights=n, minlength=history.size), 1) for n in (n1, n0)]
-        shares = [x / t[of] for x, t in zip(d, totals)]
-        left = [1 - np.bincount(of, weights=x, minlength=history.size) for x in shares]
-        keep = (d[0] > 0) | (d[1] > 0)
-        some = np.unique(of[keep])
-        yield -1, blob(pair[keep], *[x[keep] for x in shares], history[some], *[x[some] for x in left])
-
-    got = [unblob(r["body"]) for r in at_parts(sent.where(F.col("part") < n_parts), n_parts, pairs).collect()]  # the expressions that differ
-    pair, p1, p0, history, g1, g0 = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), *np.zeros((2, 0)), np.zeros(0, U), *np.zeros((2, 0)))
-    asked = np.unique(pair & U(0xFFFFFFFF))
+        for k, z in enumerate(zs):
+            d = discounted(n1, n0, pair_share, z)
+            shares = [x / t[of] for x, t in zip(d, totals)]
+            left = [1 - np.bincount(of, weights=x, minlength=history.size) for x in shares]
+            keep = (d[0] > 0) | (d[1] > 0)
+            some = np.unique(of[keep])
+            yield k, blob(pair[keep], *[x[keep] for x in shares], history[some], *[x[some] for x in left])
+
+    got = [[] for _ in zs]
+    for r in at_parts(sent.where(F.col("part") < n_parts), n_parts, pairs).collect():  # the expressions that differ
+        got[r["pack"]].append(unblob(r["body"]))
+    none = (np.zeros(0, U), *np.zeros((2, 0)), np.zeros(0, U), *np.zeros((2, 0)))
+    by_pair = [[np.concatenate(x) for x in zip(*g)] if g else none for g in got]
+    asked = [np.unique(x[0] & U(0xFFFFFFFF)) for x in by_pair]
 
     def words(pack_ids, got):
         w, of, n1, n0, s, m1, m0 = (np.concatenate(x) for x in zip(*map(unblob, got)))
         w, first, n1, n0 = _counted(w, None, (n1, n0))
         of = of[first]
         s, _, m1, m0 = _counted(s, None, (m1, m0))
-        d, e = discounted(n1, n0, share, Z), discounted(m1, m0, share, Z)
         mass = np.bincount(np.searchsorted(s, of), weights=n1 + n0, minlength=s.size)
-        keep = (d[0] > 0) | (d[1] > 0) | found(asked, w >> U(32))[0]
-        i = np.searchsorted(s, of[keep])
-        kept = (e[0] > 0) | (e[1] > 0)
-        sums = [x.sum() for x in (n1, n0, m1, m0, *d, *e)]
-        yield -1, blob(w[keep], d[0][keep], d[1][keep], (n1 + n0)[keep], mass[i], s[kept], e[0][kept], e[1][kept], mass[kept], np.array([*sums, s.size]))
-
-    got = [unblob(r["body"]) for r in at_parts(sent.where((F.col("part") >= n_parts) & (F.col("part") < 2 * n_parts)).withColumn("part", F.col("part") - n_parts), n_parts, words).collect()]
+        for k, z in enumerate(zs):
+            d, e = discounted(n1, n0, share, z), discounted(m1, m0, share, z)
+            keep = (d[0] > 0) | (d[1] > 0) | found(asked[k], w >> U(32))[0]
+            i = np.searchsorted(s, of[keep])
+            kept = (e[0] > 0) | (e[1] > 0)
+            sums = [x.sum() for x in (n1, n0, m1, m0, *d, *e)]
+            yield k, blob(w[keep], d[0][keep], d[1][keep], (n1 + n0)[keep], mass[i], s[kept], e[0][kept], e[1][kept], mass[kept], np.array([*sums, s.size]))
+
+    got = [[] for _ in zs]
+    for r in at_parts(sent.where((F.col("part") >= n_parts) & (F.col("part") < 2 * n_parts)).withColumn("part", F.col("part") - n_parts), n_parts, words).collect():
+        got[r["pack"]].append(unblob(r["body"]))
     dropped(sent)
-    models = Models()
-    if got:
-        w, d1, d0, n, mass, s, e1, e0, s_mass = (np.concatenate(x) for x in list(zip(*got))[:-1])
-        n1, n0, m1, m0, a1, a0, b1, b0, n_stems = np.sum([x[-1] for x in got], axis=0)
-        n1, n0, m1, m0 = (max(1.0, x) for x in (n1, n0, m1, m0))
-        whole = n1 + n0 + n_stems + 1
-        models = Models(
-            (pair, np.stack([p1, p0], 1)),
-            (history, np.stack([g1, g0], 1)),
-            (w, np.stack([d1 / n1, d0 / n0, (mass + 1) / whole, n / (mass + 1)], 1)),
-            (s, np.stack([e1 / m1, e0 / m0, (s_mass + 1) / whole], 1)),
-            (1 - a1 / n1, 1 - a0 / n0),
-            (1 - b1 / m1, 1 - b0 / m0),
-        )
+    tried = [_model(*x, z) for *x, z in zip(by_pair, got, zs)]
 
     def tune(batches):
         for batch in batches:
@@ -278,16 +274,51 @@ def learned(docs: DataFrame, labels: DataFrame, by: int, held: int, sample: int,
                 ids, texts = pack_list(body)
                 own = np.flatnonzero(fold(ids, by) == tuned)
                 if own.size:
-                    x = models.features([texts[i] for i in own.tolist()])
-                    yield mail([(0, 0, blob(np.column_stack([x, [toxic[i] for i in ids[own].tolist()]]).ravel()))])
+                    x = [m.features([texts[i] for i in own.tolist()]) for m in tried]
+                    half = mix(ids[own].astype(U)) >> U(63)
+                    yield mail([(0, 0, blob(np.column_stack([*x, half, [toxic[i] for i in ids[own].tolist()]]).ravel()))])
 
-    rows = [unblob(r["body"])[0].reshape(-1, 3) for r in source.select("body").mapInArrow(tune, MAIL).collect()]  # three numbers for each labelled row of a fold of the sample
+    wide = 2 * len(zs) + 2
+    rows = [unblob(r["body"])[0].reshape(-1, wide) for r in source.select("body").mapInArrow(tune, MAIL).collect()]  # some numbers for each labelled row of a fold of the sample
     dropped(source)
     if not rows:
-        return models, np.zeros(3)
+        return tried[-1], np.zeros(3)
     x = np.concatenate(rows)
     x = x[np.lexsort(x.T)]
-    return models, logistic(x[:, :2], x[:, 2])
+    best = max(range(len(zs)), key=lambda k: (round(_halves(x[:, 2 * k : 2 * k + 2], x[:, -1], x[:, -2]), 9), zs[k]))
+    return tried[best], logistic(x[:, 2 * best : 2 * best + 2], x[:, -1])
+
+
+def _model(pairs: list, got: list, z: float) -> Models:
+    """From what the parts found: pairs (keys, shares of both classes, histories, what is left for the back-off), words and stems."""
+    if not got:
+        return Models(z=z)
+    pair, p1, p0, history, g1, g0 = pairs
+    w, d1, d0, n, mass, s, e1, e0, s_mass = (np.concatenate(x) for x in list(zip(*got))[:-1])
+    n1, n0, m1, m0, a1, a0, b1, b0, n_stems = np.sum([x[-1] for x in got], axis=0)
+    n1, n0, m1, m0 = (max(1.0, x) for x in (n1, n0, m1, m0))
+    whole = n1 + n0 + n_stems + 1
+    return Models(
+        (pair, np.stack([p1, p0], 1)),
+        (history, np.stack([g1, g0], 1)),
+        (w, np.stack([d1 / n1, d0 / n0, (mass + 1) / whole, n / (mass + 1)], 1)),
+        (s, np.stack([e1 / m1, e0 / m0, (s_mass + 1) / whole], 1)),
+        (1 - a1 / n1, 1 - a0 / n0),
+        (1 - b1 / m1, 1 - b0 / m0),
+        z,
+    )
+
+
+def _halves(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
+    """The log-likelihood of each half's labels by the curve fitted to the other."""
+    total = 0.0
+    for h in (0, 1):
+        own = half == h
+        if own.any() and (~own).any():
+            c = logistic(x[~own], y[~own])
+            t = np.clip(c[0] + x[own] @ c[1:], -30, 30)
+            total -= np.log1p(np.exp(np.where(y[own] > 0, -t, t))).sum()
+    return total
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -88,7 +88,7 @@ def corpus():
 def test_models_are_kneser_ney(spark, corpus, monkeypatch, parts):
     from loomgrid.llm import op05_toxicity as op
 
-    monkeypatch.setattr(op, "Z", 2.5)
+    monkeypatch.setattr(op, "ZS", (2.5,))
     df = spark.createDataFrame(corpus, "doc_id long, text string, toxic int").repartition(parts)
     models, curve = op.learned(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 5, 0, 10_000, "text", "doc_id")
     own = {}
@@ -115,6 +115,37 @@ def test_models_are_kneser_ney(spark, corpus, monkeypatch, parts):
             assert seen + sum(brute.p(c, v, None, s) for s in brute.mass) + brute.p(c, v, None, None) == pytest.approx(1)
 
 
+def test_z_is_chosen_without_the_held_out_labels(spark, corpus):
+    """With the values as shipped: the models are those of the chosen Z, which does best on one fold outside the held-out one; other labels of the held-out fold change nothing."""
+    from loomgrid.llm import op05_toxicity as op
+
+    df = spark.createDataFrame(corpus, "doc_id long, text string, toxic int").repartition(3)
+    models, curve = op.learned(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 5, 0, 10_000, "text", "doc_id")
+    fold = lambda i: zlib.crc32(b"%d" % i) % 5
+    own, tuned = {}, {}
+    for i, t, y in corpus:
+        if fold(i) > 1:
+            own.setdefault(t, y)
+        elif fold(i) == 1:
+            tuned[i] = (t, y)
+    found = {}
+    for z in op.ZS:
+        brute = Brute(list(own), list(own.values()), z, op.D, op.STEM, op.EDGE)
+        n = [max(1, len(brute.split(t))) for t, _ in tuned.values()]
+        total = np.array([brute.total(t) for t, _ in tuned.values()])
+        x = np.sign(total)[:, None] * np.log1p(np.abs(total)[:, None] * np.stack([50 / np.array(n), 1 / np.sqrt(n)], 1))
+        half = op.mix(np.array(list(tuned), np.uint64)) >> np.uint64(63)
+        found[z] = round(op._halves(x, np.array([y for _, y in tuned.values()], float), half), 6)
+    assert models.z in op.ZS and found[models.z] == pytest.approx(max(found.values()), abs=1e-5)
+    brute = Brute(list(own), list(own.values()), models.z, op.D, op.STEM, op.EDGE)
+    for t in list(own)[:100]:
+        word, stem, sizes = op.words_of([t.encode()])
+        assert float(models.ratios(word, stem, sizes).sum()) == pytest.approx(brute.total(t), abs=1e-9)
+    other = spark.createDataFrame([(i, t, 1 - y if fold(i) == 0 else y) for i, t, y in corpus], "doc_id long, text string, toxic int")
+    again, same = op.learned(other.select("doc_id", "text"), other.select("doc_id", "toxic"), 5, 0, 10_000, "text", "doc_id")
+    assert again.z == models.z and same.tolist() == curve.tolist()
+
+
 @pytest.mark.parametrize("share", [10, 80])
 def test_stage_keeps_what_nothing_speaks_against(spark, share):
     """Whatever share of the labels is toxic: texts with a toxic expression go; null, empty, unknown and clean ones stay."""
