@@ -24,8 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Sizes of the generated tables: chunks, rows of a chunk; and partitions of results.
-CHUNKS, ROWS, PARTS = 4, 20_000, 8
+#: Chunks of the generated tables; partitions of results.
+CHUNKS, PARTS = 4, 8
 #: Dimensions of the vectors in `embeddings`.
 DIMS = 64
 
@@ -67,34 +67,38 @@ def scan_opaque_count(spark, d):
     return parquet.opaque_count(table(spark, d, "lineitem"))
 
 
-def _permuted(i: str, n: int, shift: int = 0) -> str:
-    return f"(({i}) * {generate.coprime(n)} + {shift}) % {n}"
+#: The generators make as many rows as `orders` has, in CHUNKS chunks of c rows each.
+_NUMBERED = f"(select i, i // c as chunk, i % c as r, c from (select row_number() over () - 1 as i from orders), (select count(*) // {CHUNKS} as c from orders) where i < {CHUNKS} * c)"
 
 
-@query(f"select i as key, ({_permuted(f'i % {ROWS}', ROWS)}) % {CHUNKS} as shuffle, {_permuted(f'i % {ROWS}', ROWS, 1)} as payload from range({CHUNKS * ROWS}) t(i)")
-def gen_merge_build(spark, d):
-    return generate.merge_build(spark, CHUNKS, ROWS)
+def _permuted(i: str, n: str, shift: int = 0) -> str:
+    return f"(({i}) * {generate.PRIME} + {shift}) % ({n})"
+
 
+def _chunk_rows(spark, d) -> int:
+    return table(spark, d, "orders").count() // CHUNKS
 
-_EACH, _PART = generate.matches_each(CHUNKS, ROWS, 0.3), ROWS // CHUNKS
-_OTHER = f"""select case when r < {_EACH * CHUNKS} then (r // {_EACH}) * {ROWS} + c * {_PART} + {_permuted(f'r % {_EACH}', _PART)} else {ROWS * CHUNKS} + c * {ROWS} + r end as key,
-  {_permuted('r', ROWS, 2)} as payload from (select i // {ROWS} as c, i % {ROWS} as r from range({CHUNKS * ROWS}) t(i))"""
+
+@query(f"select i as key, ({_permuted('r', 'c')}) % {CHUNKS} as shuffle, {_permuted('r', 'c', 1)} as payload from {_NUMBERED}")
+def gen_merge_build(spark, d):
+    return generate.merge_build(spark, CHUNKS, _chunk_rows(spark, d))
 
 
-@query(_OTHER)
+@query(f"""select case when r < e * {CHUNKS} then (r // e) * c + chunk * (c // {CHUNKS}) + {_permuted('r % e', f'c // {CHUNKS}')} else c * {CHUNKS} + chunk * c + r end as key,
+  {_permuted('r', 'c', 2)} as payload from (select *, greatest(cast(floor((c // {CHUNKS}) * 0.3::double) as bigint), 1) as e from {_NUMBERED})""")
 def gen_merge_other(spark, d):
-    return generate.merge_other(spark, CHUNKS, ROWS, 0.3)
+    return generate.merge_other(spark, CHUNKS, _chunk_rows(spark, d), 0.3)
 
 
-@query(f"""select ((i * {generate.MULTIPLIER}) % 4294967296 // 256) % {int(CHUNKS * ROWS * 0.01)} as key, {_permuted(f'i % {ROWS}', ROWS, 1)} as int64,
-  cast({_permuted(f'i % {ROWS}', ROWS, 2)} as double) as float64 from range({CHUNKS * ROWS}) t(i)""")
+@query(f"""select ((i * {generate.MULTIPLIER}) % 4294967296 // 256) % greatest(cast(floor({CHUNKS} * c * 0.01::double) as bigint), 1) as key, {_permuted('r', 'c', 1)} as int64,
+  cast({_permuted('r', 'c', 2)} as double) as float64 from {_NUMBERED}""")
 def gen_groupby(spark, d):
-    return generate.groupby_rows(spark, CHUNKS, ROWS)
+    return generate.groupby_rows(spark, CHUNKS, _chunk_rows(spark, d))
 
 
-@query("select cast(sum(i) as bigint) as v from range(10000) t(i)")
+@query("select cast(sum(i) as bigint) as v from (select row_number() over () - 1 as i from lineitem)")
 def array_iota_sum(spark, d):
-    return generate.iota(spark, 10000, 10).agg(F.sum("v").alias("v"))
+    return generate.iota(spark, table(spark, d, "lineitem").count(), 10).agg(F.sum("v").alias("v"))
 
 
 @query("select cast(sum(l_orderkey) as bigint) as l_orderkey, cast(sum(l_partkey) as bigint) as l_partkey, cast(sum(l_linenumber) as bigint) as l_linenumber from lineitem")

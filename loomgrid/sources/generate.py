@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +11,15 @@ from pyspark.sql import functions as F
 MULTIPLIER = 2654435761
 
 
-def coprime(n: int, near: float = 0.618) -> int:
-    """The first number from near * n on that has no factor in common with n."""
-    k = max(1, int(n * near))
-    while gcd(k, n) != 1:
-        k += 1
-    return k
+#: A prime beyond any number of rows of a chunk, so that it has no factor in common with one.
+PRIME = 2**31 - 1
 
 
 def permuted(i: Column, n: int, shift: int = 0) -> Column:
-    """A permutation of 0 to n - 1."""
-    return F.pmod(i * coprime(n) + shift, F.lit(n)) if n > 0 else i
+    """A permutation of 0 to n - 1, n below PRIME."""
+    if n >= PRIME:
+        raise ValueError(f"a chunk has fewer than {PRIME} rows")
+    return F.pmod(i * PRIME + shift, F.lit(n)) if n > 0 else i
 
 
 def hashed(i: Column, seed: int, n: int) -> Column:
