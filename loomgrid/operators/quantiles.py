@@ -38,14 +38,14 @@ def _place(v: Column, low: Column, high: Column) -> Column:
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], most: int = MOST) -> DataFrame:
     """(keys, n, q: the quantiles at `shares` in their order) of each group, interpolated between the two values around each rank.
 
-    Null and NaN values are left out; groups without others give no row. Null keys are a group. Result rows are computed
+    Null and NaN values are left out; groups without others give no row. Null keys are a group; without keys all rows are one. Result rows are computed
     when it is called up to the last step, whose input is kept in memory and on disk."""
     rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{value}`").cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     same = lambda other: [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).where("_n > 0")
     if (groups.agg(F.max("_n")).first()[0] or 0) <= most:  # every group is small enough as it is
         sorted_ = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("_v")).alias("_at"))
-        return _interpolated(sorted_, keys, shares, lambda rank: F.get("_at", rank.cast("int")))
+        return _interpolated(sorted_.where("_n > 0"), keys, shares, lambda rank: F.get("_at", rank.cast("int")))
     # the ranks around each share; the rank counts from 0 within the interval
     around = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in around for f in (F.floor, F.ceil)]))

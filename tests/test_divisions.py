@@ -130,6 +130,14 @@ def test_quantiles_with_infinities(spark):
     assert list(r["q"]) == [0.0, 1.0, 2.0]
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_quantiles_of_all_rows(spark, most):
+    df = spark.createDataFrame([(float(k * k),) for k in range(101)], "v double")
+    (r,) = quantiles(df, [], "v", [0.0, 0.5, 0.995], most=most).collect()
+    assert (r["n"], list(r["q"])) == (101, pytest.approx([0.0, 2500.0, 9900.5]))
+    assert quantiles(df.where("false"), [], "v", [0.5], most=most).count() == 0
+
+
 def test_quantiles_hold_no_group_in_a_task(spark):
     """200,000 different values in one group: no more than `most` of them are collected anywhere."""
     df = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("g"), F.expr("cast(id * 7919 % 200000 as double)").alias("v"))
