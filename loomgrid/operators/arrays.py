@@ -61,33 +61,3 @@ def masked(x: DataFrame, y: DataFrame, above: float) -> DataFrame:
 def gathered(x: DataFrame, index: DataFrame) -> DataFrame:
     """x[index]: (i, v) in the order of index, (i, v) with v a position in x; positions may repeat."""
     return index.select(F.col("i").alias("k"), F.col("v").alias("i")).join(x, "i").select(F.col("k").alias("i"), "v")
-
-
-def dot(x: DataFrame, y: DataFrame) -> DataFrame:
-    """x.dot(y) of sparse or small arrays; blocks.dot() is for large dense ones."""
-    a, b = x.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("a")), y.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("b"))
-    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-
-
-def mean_filtered(x: DataFrame, k: int, n: int, m: int) -> DataFrame:
-    """The mean over (2k + 1) x (2k + 1) neighbours of each cell of an n x m array, mirrored at its edges with the edge cells repeated (d c b a | a b c d | d c b a).
-
-    Each cell is sent to the cells it counts for; mirrored ones land within the array, so any k up to the array's size works."""
-    if k > min(n, m):
-        raise ValueError("the filter reaches beyond the mirrored array")
-
-    def targets(c: str, size: int):
-        near = F.sequence(F.col(c) - k, F.col(c) + k)
-        inside = F.filter(near, lambda t: (t >= 0) & (t < size))
-        low = F.filter(F.transform(near, lambda t: -1 - t), lambda t: (t >= 0) & (t < size))  # cells whose window holds this one's mirror image at -1 - c
-        high = F.filter(F.transform(near, lambda t: 2 * size - 1 - t), lambda t: (t >= 0) & (t < size))
-        return F.concat(inside, low, high)
-
-    rows = x.select(F.explode(targets("i", n)).alias("i"), "j", "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    both = rows.select("i", F.explode(targets("j", m)).alias("j"), "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return both.select("i", "j", (F.col("v") / float((2 * k + 1) ** 2)).alias("v"))
-
-
-def multiplied(a_re, a_im, b_re, b_im):
-    """(re, im) of the product of two complex numbers."""
-    return a_re * b_re - a_im * b_im, a_re * b_im + a_im * b_re
