@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from ..session import kept_table
+
 #: Rows that are sampled for a partition.
 SAMPLED = 100
 
@@ -133,6 +135,23 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "i", parts: int |
     return rows.join(known, "_part").withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_part", "_start", "_place")
 
 
+def reset_index(df: DataFrame, name: str = "i") -> DataFrame:
+    """df with new row labels from 0, in the order that its rows have now (of its partitions, and within them).
+
+    Rows are written once with their partition and their number in it, so that later steps see one order; what is joined
+    to them is a running total for each partition."""
+    spark = df.sparkSession
+    rows = kept_table(df.withColumn("_place", F.monotonically_increasing_id()), "indexed")  # partition * 2^33 + number
+    part = F.shiftright("_place", 33).cast("int")
+    before, starts = 0, []
+    for number, n in sorted(rows.groupBy(part.alias("_part")).count().collect()):
+        starts.append((number, before))
+        before += n
+    known = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    within = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
+    return rows.withColumn("_part", part).join(known, "_part").withColumn(name, F.col("_start") + within).drop("_part", "_place", "_start")
+
+
 @dataclass(frozen=True)
 class Stored:
     """A table kept by its divisions: a folder for each partition, of which look-ups read only those that can hold their keys."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import socket
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,17 @@ def on_every_slot(spark: SparkSession, f: Callable[[int], object], slots: int |
     return spark.range(0, n, 1, n).mapInArrow(run, "slot long, host string, result string", barrier=True)
 
 
+def submitted(spark: SparkSession, f: Callable[[object], object], items: Sequence) -> DataFrame:
+    """(item, result as JSON), in the order of items: f(item) run by a task for each item, on whichever worker is free; a lost one runs again."""
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([json.dumps(f(items[k]))])], ["item", "result"])
+
+    return spark.range(0, len(items), 1, max(1, len(items))).mapInArrow(run, "item long, result string")
+
+
 def moved(spark: SparkSession) -> dict[str, int]:
     """Bytes and rows over all stages so far that Spark still knows of: read from sources, shuffled, spilled from memory and to disk."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway

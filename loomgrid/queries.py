@@ -287,6 +287,12 @@ def set_index_range(spark, d):
     return kept.between(spark, 100000.0, 150000.0)
 
 
+@query("select event_id, row_number() over (order by value desc, event_id) - 1 as i from events")
+def frame_reset_index(spark, d):
+    """Sorted rows with new labels in the order that they have."""
+    return divisions.reset_index(table(spark, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id")).select("event_id", "i")
+
+
 @query("select event_id, row_number() over (order by ts, event_id) - 1 as i from events")
 def positions_by_time(spark, d):
     return divisions.positions(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], parts=PARTS).select("event_id", "i")

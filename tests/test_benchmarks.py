@@ -121,6 +121,12 @@ def test_every_slot_runs(spark):
     assert sorted(r["slot"] for r in rows) == [0, 1, 2] and len({r["result"] for r in rows}) == 3
 
 
+def test_a_task_for_each_item(spark):
+    out = workers.submitted(spark, lambda x: {"twice": 2 * x}, [5, 1.5, -2])
+    assert out.rdd.getNumPartitions() == 3 and [tuple(r) for r in out.orderBy("item").collect()] == [(0, '{"twice": 10}'), (1, '{"twice": 3.0}'), (2, '{"twice": -4}')]
+    assert workers.submitted(spark, lambda x: x, []).count() == 0
+
+
 def test_partial_results_meet_in_a_tree(spark):
     df = spark.range(0, 900, 1, 27).select(F.pmod("id", F.lit(5)).alias("key"), F.col("id").alias("a"), F.col("id").cast("double").alias("b"))
     tree = max_count_mean(df, "key", "a", "b", split_every=3)

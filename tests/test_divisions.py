@@ -95,6 +95,14 @@ def test_positions_of_ten_million_rows(spark):
     assert out.agg(F.count_if(F.col("i") == F.col("x")), F.count("*")).first()[:] == (10**7, 10**7)
 
 
+def test_reset_index_keeps_the_order_at_hand(spark):
+    df = spark.range(0, 5000, 1, 4).select(F.expr("(id * 3301) % 5000 as x"), F.lit("a").alias("_place"))
+    out = divisions.reset_index(df.drop("_place").orderBy(F.desc("x")))
+    assert out.where("i <> 4999 - x").count() == 0 and out.count() == 5000
+    assert [r["n"] for r in divisions.reset_index(df.select("x").where("x < 3").coalesce(1), "n").orderBy("n").collect()] == [0, 1, 2]
+    assert divisions.reset_index(df.select("x").where("false")).count() == 0
+
+
 def numpy_quantiles(rows, shares):
     of = {}
     for g, v in rows:
