@@ -35,14 +35,17 @@ def plain_codes(rows, scale=1024, parts=4, entries=256, rounds=4):
     return sorted([(i, c, e, labels[label], sha) for i, c, e, label in out], key=repr)
 
 
-def test_codes_equal_plain_ones(spark):
+def test_codes_equal_plain_ones(spark, monkeypatch):
+    """With 16 entries, so that they compete and some stay unused; the whole table's test has 256."""
+    from loomgrid.llm import op13_codes
     from loomgrid.llm.op13_codes import coded
 
+    monkeypatch.setattr(op13_codes, "ENTRIES", 16)
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(size=(500, 8)) * 0.3, np.repeat(rng.normal(size=(3, 8)), 40, 0)])
+    x = np.concatenate([rng.normal(size=(300, 8)) * 0.3, np.repeat(rng.normal(size=(3, 8)), 40, 0)])
     rows = [(k if k % 97 else None, v.tolist(), k % 3 if k % 5 else None) for k, v in enumerate(x)]
     rows += [(7, [0.5] * 8, 1), (7, [0.25] * 8, 1), (7, [0.25] * 8, 1), (1000, None, 1), (1001, [0.1] * 7 + [None], 1), (1002, [0.1] * 7 + [float("nan")], 2), (1003, [float("-inf")] + [0.1] * 7, 2)]
-    want = plain_codes(rows)
+    want = plain_codes(rows, entries=16)
     for parts in (1, 5):
         got = coded(table(spark, rows).repartition(parts))
         assert sorted(map(tuple, got.select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()), key=repr) == want
