@@ -5,8 +5,9 @@ segment, all values at radius 0, then 1, and so on. When radius r is done for th
 distance m * r + a - 1 (m segments) has been met, so a query is done when its k-th verified distance is no more than
 that. A code met by several segments is counted where it is met first, which its distances in the segments tell.
 
-Equal codes are one entry of the index with their k least ids, which is all that ties can need. Blocks hold BLOCK
-codes; a query's answers of all blocks are merged, k at most from each.
+Equal codes are one entry of the index with their k least ids, which is all that ties can need. Codes move once, to
+cells that tasks hold as indexes of BLOCK codes each, and queries stream past them; a query's answers of all cells are
+merged, k at most from each.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .vectors import flat, lists, picked, streamed
 
-#: Codes in a block, queries that are sent to a block together and share its index, queries searched at once, and pairs that are verified at once.
-BLOCK, SENT, QUERIES, PAIRS = 1 << 17, 1 << 15, 2048, 1 << 21
+#: Codes in an index, queries searched at once, and pairs that are verified at once.
+BLOCK, QUERIES, PAIRS = 1 << 17, 2048, 1 << 21
 
 
 @lru_cache(None)
@@ -109,35 +111,31 @@ def least_ids(rows: DataFrame, key: str, k: int) -> DataFrame:
 def hamming_neighbours(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank from 1, vec_id, distance): the k nearest of all rows of codes (id, code), a query's own among them; ties to smaller ids. Repeated ids are rows of their own. With fewer rows than k, all of them."""
     distinct = written(least_ids(codes, "code", k), "codes")
-    blocks = distinct.count() // BLOCK + 1
     asked = queries.groupBy("code").agg(F.min("id").alias("q"))  # equal queries are searched once
-    slices = asked.count() // SENT + 1
-    data = distinct.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "code", "ids")
-    looking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("code"), F.lit(slices)).cast("int").alias("slice"), "q", "code", F.lit(None).cast("array<long>").alias("ids"))
-
-    def search(group: pa.Table) -> pa.Table:
-        q = np.array(group.column("q").to_pylist(), object)
-        raw, ids = group.column("code").to_pylist(), group.column("ids").to_pylist()
-        is_q = np.array([x is not None for x in q])
-        wide = len(raw[0]) // 8
-        words = np.frombuffer(b"".join(raw), "<u8").reshape(-1, wide)
-        at, ask = np.flatnonzero(~is_q), np.flatnonzero(is_q)
-        rows: dict = {"q": [], "id": [], "distance": []}
-        index = MultiIndex(words[at], np.array([len(ids[i]) for i in at])) if at.size and ask.size else None
-        for first in range(0, ask.size if index else 0, QUERIES):
-            part = ask[first : first + QUERIES]
-            who, entry, d = index.nearest(words[part], k)
-            order = np.lexsort((d, who))
-            bounds = np.searchsorted(who[order], np.arange(part.size + 1))
-            for n, i in enumerate(part.tolist()):
-                own = order[bounds[n] : bounds[n + 1]]
-                best = sorted((int(d[x]), v) for x in own.tolist() for v in ids[at[entry[x]]])[:k]
-                rows["q"] += [q[i]] * len(best)
-                rows["id"] += [v for _, v in best]
-                rows["distance"] += [x for x, _ in best]
-        return pa.table({"q": pa.array(rows["q"], pa.int64()), "id": pa.array(rows["id"], pa.int64()), "distance": pa.array(rows["distance"], pa.int32())})
-
-    found = data.unionByName(looking).groupBy("block", "slice").applyInArrow(search, "q long, id long, distance int")
+    kind = F.octet_length("code").alias("kind")
+    n_bytes = distinct.agg(F.sum(F.octet_length("code") + 8 * F.size("ids"))).first()[0] or 0
+
+    def hold(table: pa.Table):
+        words = flat(table.column("body"), np.dtype("<u8")).reshape(table.num_rows, -1)
+        starts, ids = lists(table.column("ids"))
+        return [(at, MultiIndex(words[at : at + BLOCK], np.diff(starts[at : at + BLOCK + 1]))) for at in range(0, len(words), BLOCK)], starts, ids
+
+    def answer(held, batch: pa.RecordBatch):
+        indexes, starts, ids = held
+        table = pa.Table.from_batches([batch])
+        q, words = table.column("q").to_numpy(), flat(table.column("body"), np.dtype("<u8")).reshape(table.num_rows, -1)
+        for first in range(0, len(q), QUERIES):
+            part = words[first : first + QUERIES]
+            near = [(who, entry + at, d) for at, index in indexes for who, entry, d in [index.nearest(part, k)]]
+            who, entry, d = (np.concatenate(x) for x in zip(*near))
+            at, found = picked(starts, ids, entry)
+            who, d = who[at], d[at]
+            order = np.lexsort((found, d, who))
+            place = np.arange(order.size) - np.searchsorted(who[order], who[order])  # of each row among its query's
+            best = order[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q[first + who[best]], pa.int64()), pa.array(found[best], pa.int64()), pa.array(d[best], pa.int32())], ["q", "id", "distance"])
+
+    found = streamed(distinct.select(kind, F.col("code").alias("body"), "ids"), asked.select(kind, "q", F.col("code").alias("body")), n_bytes, hold, answer, "q long, id long, distance int")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     own = queries.select(F.col("id").alias("query_id"), "code").join(asked, "code").select("query_id", "q")

@@ -9,6 +9,7 @@ Each length of vectors has codebooks of its own, fitted by one task. Codebooks g
 to BOOKS bytes of them (128 a dimension); only beyond are they joined to the vectors by length. Vectors are encoded once,
 into a written table.
 
+Vectors move once, to cells that tasks hold, each with a row of the codebooks it needs; queries stream past the cells.
 A search scans the tables of a query (16 partial products for each subspace, two subspaces to a byte) over the codes
 of a block of vectors, keeps the RERANK best of the block, and ranks them by their exact inner products. Equal vectors
 are one entry with the k + 1 least ids, which is all that ties can need.
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 from .op03_hamming import least_ids
+from .vectors import flat, lists, picked, streamed
 
 #: Dimensions of a subspace, sample that codebooks are fitted to, weight of the parallel residual, rounds.
 SUB, FIT, ETA, ROUNDS = 2, 4096, 4.0, 6
 #: Subspaces whose codewords are solved for at once.
 TOGETHER = 32
-#: Vectors of a block; queries that are sent to a block together; candidates of a block that are ranked exactly.
-BLOCK, QUERIES, RERANK = 1 << 15, 1 << 13, 256
+#: Vectors of a block; queries that scan it at once; candidates of a block that are ranked exactly.
+BLOCK, QUERIES, RERANK = 1 << 15, 64, 256
 #: Bytes of codebooks that are broadcast.
 BOOKS = 32 << 20
 
@@ -124,7 +126,6 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
     rows with the query's id or its vector are candidates; each query row gets results of its own."""
     size = F.octet_length("body")
     distinct = written(least_ids(vectors, "body", k + 1).withColumn("dims", size), "vectors")
-    blocks = distinct.count() // BLOCK + 1
     fill = lambda a: np.pad(a, ((0, 0), (0, -a.shape[1] % SUB)))
     first = F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("body", F.lit(1)), "body"))
     sample = distinct.select("dims", "body").withColumn("_r", first).where(F.col("_r") <= FIT)  # ranks are limited before the shuffle
@@ -155,44 +156,41 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
     coded = written(with_books(distinct).select("dims", "body", "ids", "book").mapInArrow(code, "dims int, body binary, ids array<long>, code binary"), "codes")
     dropped(distinct)
     asked = written(queries.select("body").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")  # a number for each vector that is asked for
-    slices = asked.count() // QUERIES + 1
-    data = coded.select("dims", F.pmod(F.xxhash64("body"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("q"), "body", "ids", "code")
-    looking = asked.select(size.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("body"), F.lit(slices)).cast("int").alias("slice"), "q", "body", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
-    both = with_books(data.unionByName(looking))
-
-    def search(group: pa.Table) -> pa.Table:
-        q = group.column("q").to_pylist()
-        is_q = np.array([x is not None for x in q])
-        ids, x = group.column("ids").to_pylist(), np.frombuffer(b"".join(group.column("body").to_pylist()), np.float64).reshape(len(q), -1)
-        own, ask = np.flatnonzero(~is_q), np.flatnonzero(is_q)
-        raw_body = group.column("body").to_pylist()
-        out: dict = {"q": [], "id": [], "score": [], "same": []}
-        if own.size and ask.size:
-            body = told.value[group.column("dims")[0].as_py()] if sent else group.column("book")[0].as_py()
-            book, data = np.frombuffer(body, np.float64).reshape(-1, 16, SUB), x[own]
-            raw = group.column("code").to_pylist()
-            codes = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint8).reshape(own.size, -1)
-            for at in range(0, ask.size, 64):
-                part = ask[at : at + 64]
-                rough = scan(codes, book, fill(x[part]))
-                most = min(RERANK, own.size)
-                top = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < own.size else np.broadcast_to(np.arange(own.size), rough.shape)
-                for i, best in zip(part.tolist(), top):
-                    exact = (data[best] * x[i]).sum(axis=1)
-                    order = np.argsort(-exact, kind="stable")
-                    taken: list = []
-                    for e in order.tolist():
-                        if len(taken) > k and exact[e] < taken[k][0]:
-                            break
-                        taken += [(float(exact[e]), v, raw_body[own[best[e]]] == raw_body[i]) for v in ids[own[best[e]]]]
-                    taken = sorted(taken, key=lambda t: (-t[0], t[1]))[: k + 1]
-                    out["q"] += [q[i]] * len(taken)
-                    out["id"] += [v for _, v, _ in taken]
-                    out["score"] += [s for s, _, _ in taken]
-                    out["same"] += [s for _, _, s in taken]
-        return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "same": pa.array(out["same"], pa.bool_())})
-
-    found = both.groupBy("dims", "block", "slice").applyInArrow(search, "q long, id long, score double, same boolean")
+    n_bytes = coded.agg(F.sum(F.octet_length("body") + F.octet_length("code") + 8 * F.size("ids"))).first()[0] or 0
+    none = lambda kind: F.lit(None).cast(kind)
+    data = coded.select(F.col("dims").alias("kind"), "body", "ids", "code").unionByName(books.select(F.col("dims").alias("kind"), none("binary").alias("body"), none("array<long>").alias("ids"), F.col("book").alias("code")))
+
+    def hold(table: pa.Table):
+        """The codebook comes first, then the cell's vectors by body."""
+        book = np.frombuffer(table.column("code")[0].as_py(), np.float64).reshape(-1, 16, SUB)
+        table = table.slice(1)
+        if not table.num_rows:
+            return None
+        n = table.num_rows
+        return book, flat(table.column("body"), np.float64).reshape(n, -1), flat(table.column("code"), np.uint8).reshape(n, -1), *lists(table.column("ids"))
+
+    def answer(held, batch: pa.RecordBatch):
+        book, x, codes, starts, ids = held
+        table = pa.Table.from_batches([batch])
+        q, asked_for = table.column("q").to_numpy(), flat(table.column("body"), np.float64).reshape(table.num_rows, -1)
+        for at in range(0, len(q), QUERIES):
+            part = asked_for[at : at + QUERIES]
+            near = []
+            for first in range(0, len(x), BLOCK):
+                rough = scan(codes[first : first + BLOCK], book, fill(part))
+                size = rough.shape[1]
+                near.append(first + (np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if RERANK < size else np.broadcast_to(np.arange(size), rough.shape)))
+            out: list = [[], [], [], []]
+            for i, own in enumerate(np.concatenate(near, axis=1)):
+                exact, same = (x[own] * part[i]).sum(axis=1), (x[own] == part[i]).all(axis=1)
+                of, found = picked(starts, ids, own)
+                best = np.lexsort((found, -exact[of]))[: k + 1]
+                of, found = of[best], found[best]
+                for rows, new in zip(out, (np.full(of.size, q[at + i]), found, exact[of], same[of])):
+                    rows.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)) for rows in out], ["q", "id", "score", "same"])
+
+    found = streamed(data, asked.select(size.alias("kind"), "q", "body"), n_bytes, hold, answer, "q long, id long, score double, same boolean")
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     best = found.withColumn("r", order).where(F.col("r") <= k + 1)
     # rows with equal ids and vectors are asked once; of the answers with their id and vector one is the row itself

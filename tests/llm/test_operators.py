@@ -259,9 +259,48 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), x
 
 
-def test_hamming(spark, vectors):
+#: Bytes of a cell, data of a block within it, queries searched at once: all in one cell, and many cells of several blocks each.
+CELLS = pytest.mark.parametrize("cell,block,queries", [(1 << 27, 1 << 15, 2048), (4096, 7, 3)])
+
+
+def test_queries_meet_each_cell_of_their_kind_once(spark, monkeypatch):
+    """Data of two kinds and rows for all cells, queries of three kinds in batches of 5 rows: which data each query met."""
+    import pyarrow as pa
+
+    from loomgrid.llm import vectors
+
+    monkeypatch.setattr(vectors, "CELL_BYTES", 100)
+    data = spark.createDataFrame([(k % 2, str(k).encode(), k) for k in range(60)] + [(k, None, 1000 + k) for k in (0, 1)], "kind int, body binary, id long").repartition(4)
+    asked = spark.createDataFrame([(k % 3, k, str(k).encode()) for k in range(45)], "kind int, q long, body binary").repartition(3)
+
+    def hold(table):
+        ids = table.column("id").to_pylist()
+        assert ids[0] >= 1000 and len(set(table.column("kind").to_pylist())) == 1
+        return ids
+
+    def answer(ids, batch):
+        q = [x for x in batch.column("q").to_pylist() for _ in ids]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids * batch.num_rows)], ["q", "id"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = vectors.streamed(data, asked, 500, hold, answer, "q long, id long")  # 6 cells
+        rows = [(r["q"], r["id"]) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(x for x in rows if x[1] < 1000) == sorted((q, k) for q in range(45) for k in range(60) if k % 2 == q % 3)
+    assert {x[1] for x in rows if x[1] >= 1000 and x[0] % 3 == 1} == {1001}
+
+
+@CELLS
+def test_hamming(spark, vectors, monkeypatch, cell, block, queries):
+    import loomgrid.llm.op03_hamming as op03
+    import loomgrid.llm.vectors as cells
     from loomgrid.llm.op03_hamming import hamming_neighbours, sign_codes
 
+    monkeypatch.setattr(cells, "CELL_BYTES", cell)
+    monkeypatch.setattr(op03, "BLOCK", block)
+    monkeypatch.setattr(op03, "QUERIES", queries)
     df, _ = vectors
     codes = sign_codes(df)
     bits = {r["vec_id"]: np.array([0.0 if v is None else v for v in r["embedding"]]) > 0 for r in df.collect() if r["embedding"] and len(r["embedding"]) == 64}
@@ -275,9 +314,15 @@ def test_hamming(spark, vectors):
     assert hamming_neighbours(codes.where("false"), codes.where("false")).count() == 0
 
 
-def test_products(vectors):
+@CELLS
+def test_products(vectors, monkeypatch, cell, block, queries):
+    import loomgrid.llm.op06_anisotropic as op06
+    import loomgrid.llm.vectors as cells
     from loomgrid.llm.op06_anisotropic import nearest_products, usable
 
+    monkeypatch.setattr(cells, "CELL_BYTES", cell * 16)
+    monkeypatch.setattr(op06, "BLOCK", block)
+    monkeypatch.setattr(op06, "QUERIES", queries)
     df, x = vectors
     rows = usable(df)
     assert rows.count() == 400
