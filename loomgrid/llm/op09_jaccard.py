@@ -242,8 +242,11 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         out = hosted(classes).join(bands, "to")
         return out.withColumn("tile", F.explode(F.array_distinct(F.transform("near", lambda h: F.pmod(h, F.col("tiles")))))).drop("near", "tiles")
 
-    full = put(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to", "tile").agg(F.greatest(F.ceil(F.count("*") / MOST), F.ceil(F.sum("n") * 8 / MOST_BYTES)).cast("int").alias("blocks"))
-    full = written(full.where("blocks > 1"), "full_tiles")
+    tiled = put(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to", "tile").agg(F.greatest(F.ceil(F.count("*") / MOST), F.ceil(F.sum("n") * 8 / MOST_BYTES)).cast("int").alias("blocks"), F.sum("n").alias("n"))
+    tiled = written(tiled, "tiles")  # a row for each tile
+    full = tiled.where("blocks > 1").drop("n")
+    # a set goes to as many pairs of blocks as its tile has blocks; partitions grow with the bytes that move
+    n_parts = parts_for(own.sparkSession, tiled.agg(F.sum(F.col("n") * F.col("blocks") * 8)).first()[0] or 0)
     classes = own.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("body").alias("body"))
     tiles = put(classes).join(small(full, full.count()), ["to", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -256,7 +259,7 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         ends = {f"{c}{end}": pa.array([x[pair[at]] for pair in found], kind) for at, end in enumerate("ab") for c, x, kind in (("least_", least, pa.int64()), ("class_", keys, pa.binary()))}
         return pa.table(ends)
 
-    links = tiles.select("to", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").groupBy("to", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
+    links = tiles.select("to", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").repartition(n_parts, "to", "tile", "i", "j").groupBy("to", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
     node = lambda end: F.struct(F.col(f"least_{end}").alias("least"), F.col(f"class_{end}").alias("class")).alias(end)
     return components(links.select(node("a"), node("b"))).select(F.col("node.class").alias("class"), "component")
 
