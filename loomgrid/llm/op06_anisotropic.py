@@ -11,8 +11,10 @@ into a written table.
 
 Vectors move once, to cells that tasks hold, each with a row of the codebooks it needs; queries stream past the cells.
 A search scans the tables of a query (16 partial products for each subspace, two subspaces to a byte) over the codes
-of a block of vectors, keeps the RERANK best of the block, and ranks them by their exact inner products. Equal vectors
-are one entry with the k + 1 least ids, which is all that ties can need.
+of a block of vectors and ranks the RERANK best of the block by their exact inner products. A product exceeds the scanned
+one by |query| times the distance of the vector from its codewords at most, so vectors that may be among the nearest by
+this bound are ranked exactly, too: none is missed, however badly codes fit the vectors. Equal vectors are one entry with
+the k + 1 least ids, which is all that ties can need.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SUB, FIT, ETA, ROUNDS = 2, 4096, 4.0, 6
 TOGETHER = 32
 #: Vectors of a block; queries that scan it at once; candidates of a block that are ranked exactly.
 BLOCK, QUERIES, RERANK = 1 << 15, 64, 256
+#: Vectors whose products are taken at once where codes can't tell.
+CHECKED = 1 << 12
 #: Bytes of codebooks that are broadcast.
 BOOKS = 32 << 20
 
@@ -101,6 +105,70 @@ def scan(codes: np.ndarray, books: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(a: np.ndarray) -> np.ndarray:
+    """Rows with zeros up to whole subspaces."""
+    return np.pad(a, ((0, 0), (0, -a.shape[1] % SUB)))
+
+
+def power(top: float) -> float:
+    """A power of two near it: what is divided by it has no squares, or products in 32 bits, that overflow."""
+    return float(2.0 ** max(min(np.frexp(top)[1], 1000), -1000)) if 0 < top < np.inf else 1.0
+
+
+class Cell:
+    """The vectors that a task holds, and how far each is from its codewords."""
+
+    def __init__(self, books: np.ndarray, x: np.ndarray, codes: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+        self.unit = power(np.abs(books).max())
+        self.books, self.x, self.codes, self.starts, self.ids = books / self.unit, x, codes, starts, ids
+        self.reach, self.length = np.empty(len(x)), np.empty(len(x))
+        with np.errstate(all="ignore"):
+            for a in range(0, len(x), CHECKED):
+                own = slice(a, a + CHECKED)
+                rows = x[own] / self.unit
+                rest = rows - self.books[np.arange(len(books)), codes[own]].reshape(len(rows), -1)[:, : x.shape[1]]
+                self.length[own] = np.linalg.norm(rows, axis=1)
+                self.reach[own] = np.linalg.norm(rest, axis=1) + self.length[own] * x.shape[1] * 2.0**-50
+
+    def ranked(self, best: tuple, q: np.ndarray, own: np.ndarray, k: int) -> tuple:
+        """The k best rows (ids, scores, whether the vector is the query's) of those found so far and of the vectors `own`."""
+        exact, same = (self.x[own] * q).sum(axis=1), (self.x[own] == q).all(axis=1)
+        of, found = picked(self.starts, self.ids, own)
+        every = [np.concatenate(both) for both in zip(best, (found, exact[of], same[of]))]
+        order = np.lexsort((every[0], -every[1]))[:k]
+        return tuple(c[order] for c in every)
+
+    def nearest(self, q: np.ndarray, k: int) -> list[tuple]:
+        """ranked() of all vectors, for each row of q. Comparisons are such that what is not a number is ranked exactly."""
+        best: list[tuple] = [(np.empty(0, np.int64), np.empty(0), np.empty(0, bool))] * len(q)
+        dims, units = q.shape[1], np.array([power(top) for top in np.abs(q).max(axis=1)])
+        small = q / units[:, None]
+        length = np.linalg.norm(small, axis=1)
+        # 32-bit sums of tables are as exact as this
+        slack = np.abs(np.einsum("skd,qsd->qsk", self.books, filled(small).reshape(len(q), -1, SUB))).max(axis=2).sum(axis=1) * (len(self.books) + 8) * 2.0**-22 + 1e-30
+        for first in range(0, len(self.x), BLOCK):
+            block = slice(first, first + BLOCK)
+            rough = scan(self.codes[block], self.books, filled(small))
+            n = rough.shape[1]
+            lead = np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if RERANK < n else np.broadcast_to(np.arange(n), rough.shape)
+            best = [self.ranked(b, q[i], first + lead[i], k) for i, b in enumerate(best)]
+            if RERANK >= n:
+                continue
+            least = np.array([b[1][-1] if b[1].size == k else -np.inf for b in best])
+            known = (np.abs(least) > 1e-290) & (np.abs(least) < np.inf)  # else products may have underflown or overflown
+            floor = np.where(known, least / self.unit / units, -np.inf)
+            may = ~(rough + length[:, None] * self.reach[block] + slack[:, None] < floor[:, None])
+            np.put_along_axis(may, lead, False, 1)
+            some = first + np.flatnonzero(may.any(axis=0))
+            for a in range(0, len(some), CHECKED):
+                own = some[a : a + CHECKED]
+                product = (small @ (self.x[own] / self.unit).T) + length[:, None] * self.length[own] * dims * 2.0**-50 + 1e-300
+                ok = may[:, own - first] & ~(product < floor[:, None])
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    best[i] = self.ranked(best[i], q[i], own[ok[i]], k)
+        return best
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, body: the components as doubles) of vectors that take part: not null, not empty, not all zero, all components finite. Rows with a null id take no part either; ids may repeat."""
     v = F.col(vector).cast("array<double>")
@@ -119,20 +187,19 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 
 
 def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): about the k largest inner products of each query among all rows but its own.
+    """(query_id, rank from 1, vec_id, score): the k largest inner products of each query among all rows but its own.
 
     Both are tables of usable(), queries some of the rows of vectors. Scores are exact, in double precision; ties go to
     smaller ids. Vectors are compared with those of their own length. With k candidates or fewer, all are found. Other
     rows with the query's id or its vector are candidates; each query row gets results of its own."""
     size = F.octet_length("body")
     distinct = written(least_ids(vectors, "body", k + 1).withColumn("dims", size), "vectors")
-    fill = lambda a: np.pad(a, ((0, 0), (0, -a.shape[1] % SUB)))
     first = F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("body", F.lit(1)), "body"))
     sample = distinct.select("dims", "body").withColumn("_r", first).where(F.col("_r") <= FIT)  # ranks are limited before the shuffle
 
     def learn(group: pa.Table) -> pa.Table:
         bodies = [b for _, b in sorted(zip(group.column("_r").to_pylist(), group.column("body").to_pylist()))]
-        x = fill(np.frombuffer(b"".join(bodies), np.float64).reshape(len(bodies), -1))
+        x = filled(np.frombuffer(b"".join(bodies), np.float64).reshape(len(bodies), -1))
         return pa.table({"dims": group.column("dims").slice(0, 1), "book": pa.array([fit(x).tobytes()], pa.binary())})
 
     books = written(sample.groupBy("dims").applyInArrow(learn, "dims int, book binary"), "books")
@@ -148,7 +215,7 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
             codes: list = [b""] * batch.num_rows
             for d in set(dims):
                 own = [i for i, x in enumerate(dims) if x == d]
-                found = encode(fill(np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1)), np.frombuffer(book[own[0]], np.float64).reshape(-1, 16, SUB)).astype(np.uint8)
+                found = encode(filled(np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1)), np.frombuffer(book[own[0]], np.float64).reshape(-1, 16, SUB)).astype(np.uint8)
                 for i, c in zip(own, found):
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("dims"), batch.column("body"), batch.column("ids"), pa.array(codes, pa.binary())], ["dims", "body", "ids", "code"])
@@ -167,28 +234,16 @@ def nearest_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> Dat
         if not table.num_rows:
             return None
         n = table.num_rows
-        return book, flat(table.column("body"), np.float64).reshape(n, -1), flat(table.column("code"), np.uint8).reshape(n, -1), *lists(table.column("ids"))
+        return Cell(book, flat(table.column("body"), np.float64).reshape(n, -1), flat(table.column("code"), np.uint8).reshape(n, -1), *lists(table.column("ids")))
 
-    def answer(held, batch: pa.RecordBatch):
-        book, x, codes, starts, ids = held
+    def answer(held: Cell, batch: pa.RecordBatch):
         table = pa.Table.from_batches([batch])
         q, asked_for = table.column("q").to_numpy(), flat(table.column("body"), np.float64).reshape(table.num_rows, -1)
         for at in range(0, len(q), QUERIES):
-            part = asked_for[at : at + QUERIES]
-            near = []
-            for first in range(0, len(x), BLOCK):
-                rough = scan(codes[first : first + BLOCK], book, fill(part))
-                size = rough.shape[1]
-                near.append(first + (np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if RERANK < size else np.broadcast_to(np.arange(size), rough.shape)))
-            out: list = [[], [], [], []]
-            for i, own in enumerate(np.concatenate(near, axis=1)):
-                exact, same = (x[own] * part[i]).sum(axis=1), (x[own] == part[i]).all(axis=1)
-                of, found = picked(starts, ids, own)
-                best = np.lexsort((found, -exact[of]))[: k + 1]
-                of, found = of[best], found[best]
-                for rows, new in zip(out, (np.full(of.size, q[at + i]), found, exact[of], same[of])):
-                    rows.append(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)) for rows in out], ["q", "id", "score", "same"])
+            with np.errstate(all="ignore"):
+                best = held.nearest(asked_for[at : at + QUERIES], k + 1)
+            rows = [np.repeat(q[at : at + QUERIES], [b[0].size for b in best]), *map(np.concatenate, zip(*best))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["q", "id", "score", "same"])
 
     found = streamed(data, asked.select(size.alias("kind"), "q", "body"), n_bytes, hold, answer, "q long, id long, score double, same boolean")
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))

@@ -153,3 +153,27 @@ def test_whitening_edges(spark):
         assert (r["whitened"] is None) == lone and r["n"] == (1 if r["vec_id"] == 2 else 2)
         assert r["whitened"] is None or abs(r["whitened"]) == pytest.approx(1)
     assert whitened(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["tight groups", "heavy tails", "several scales", "small"])
+def test_products_that_codes_cant_tell_apart(spark, kind):
+    """All of the nearest are found where codes err by more than products differ."""
+    from loomgrid.llm.op06_anisotropic import nearest_products, usable
+
+    rng = np.random.default_rng(3)
+    normal = rng.standard_normal((6000, 8))
+    x = {
+        "tight groups": np.repeat(rng.standard_normal((6, 8)), 1000, 0) + 1e-3 * normal,
+        "heavy tails": rng.standard_t(1.5, normal.shape),
+        "several scales": normal * np.exp(8 * rng.standard_normal((6000, 1))),
+        "small": normal * 1e-140,
+    }[kind]
+    rows = usable(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in nearest_products(rows, rows.where("id % 200 = 0")).collect():
+        got[r["query_id"], r["rank"]] = r["vec_id"]
+    for q in range(0, 6000, 200):
+        score = (x * x[q]).sum(axis=1)
+        want = [k for k in np.lexsort((np.arange(6000), -score)).tolist() if k != q][:20]
+        assert [got[q, rank] for rank in range(1, 21)] == want
+    assert len(got) == 20 * 30
