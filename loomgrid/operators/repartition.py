@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 
 def hash_shuffled(df: DataFrame, column: str, parts: int) -> DataFrame:
@@ -39,6 +40,24 @@ def all_to_all(items: DataFrame, source: str, workers: int) -> DataFrame:
     return sent.repartitionById(workers, "to").withColumn("to", F.col("to").cast("long"))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of each row in memory, about: a word for each column and for the null bits, and what texts and nested values hold."""
+    size = F.lit(8 * (len(df.columns) + 1)).cast("long")
+    for field in df.schema:
+        own = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(own), F.lit(0))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
+            size += F.coalesce(4 * F.octet_length(own.cast("string")), F.lit(0))
+    return size
+
+
+def held(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of all rows in memory). Rows of fixed width are only counted, which Parquet's own counts answer."""
+    rows, size = df.agg(F.count("*"), F.sum(row_bytes(df))).first()
+    return rows, size or 0
+
+
 def item_bytes(rows: int, columns: int, width: int = 8, index: bool = False) -> int:
     """Bytes that count as moved: rows of fixed-width columns, with the row labels or without."""
     return rows * width * (columns + index)

@@ -38,6 +38,23 @@ def test_broadcast_is_checked(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_broadcast_is_checked_by_rows(spark, tmp_path):
+    """Files are smaller than the hash table of their rows."""
+    path = f"file://{tmp_path}/narrow"
+    spark.range(0, 200_000, 1, 1).select((F.col("id") % 7).alias("key"), F.lit("y" * 40).alias("text")).write.parquet(path)
+    right, left = spark.read.parquet(path), spark.range(10).withColumnRenamed("id", "key")
+    assert join.estimated_bytes(right) < 4 << 20 and repartition.held(right) == (200_000, 200_000 * 64)
+    small = join.inner_join(left, right, "key", "broadcast", most_broadcast=32 << 20)
+    large = join.inner_join(left, right, "key", "broadcast", most_broadcast=16 << 20)
+    assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
+    assert small.count() == large.count() == 200_000
+
+
+def test_bytes_in_memory(spark):
+    df = spark.createDataFrame([(1, "ab", [1, 2]), (2, None, None)], "a int, `b c` string, v array<int>")
+    assert repartition.held(df) == (2, 2 * 32 + 2 + 4 * len("[1, 2]")) and repartition.held(df.where("false")) == (0, 0)
+
+
 def test_null_keys(sides):
     assert join.inner_join(*sides, "key", null_safe=True).count() == 4
 
