@@ -1,9 +1,12 @@
 """Known divisions: boundaries of a key as data, by which rows are dealt to partitions, numbered, stored and looked up.
 
-Partition k holds the keys from boundary k - 1 up to, but not with, boundary k. Boundaries are given, or the weighted
+Division k holds the keys from boundary k - 1 up to, but not with, boundary k. Boundaries are given, or the weighted
 quantiles of a sample of rows. A key's partition is found by binary search among them, natively; so what follows
 (moving rows, counting them, reading them back) agrees on it without sampling again. Keys may have several columns;
 nulls come first, NaN last.
+
+A division whose rows are too many for a task is a run of partitions: more boundaries are sampled within it, and rows of
+one key that fill several partitions are parted by a hash of the whole row. So a task's memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -17,12 +20,17 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..session import kept_table
+from .repartition import held, partition_numbers, row_bytes
 
 #: Rows that are sampled for a partition.
 SAMPLED = 100
+#: Bytes of rows for a task, with what sorting needs for each besides the row.
+TASK_BYTES, SORTED = 64 << 20, 32
+#: The column by which rows of one key are parted.
+TIE = "_tie"
 
 
 def _compare(a: tuple, b: tuple) -> int:
@@ -110,10 +118,39 @@ def sampled(df: DataFrame, keys: Sequence[str], parts: int, weight: Column | Non
     return Divisions(_schema(df, keys), tuple(dict.fromkeys(bounds[: parts - 1])))
 
 
+def _tied(df: DataFrame, divisions: Divisions) -> DataFrame:
+    """df with TIE where the divisions have it as a key."""
+    return df if TIE not in divisions.keys else df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]))
+
+
+def refined(df: DataFrame, divisions: Divisions) -> tuple[Divisions, tuple[int, ...]]:
+    """(divisions with as many sampled boundaries between the given ones as partitions of about TASK_BYTES need, the first partition of each given division but the first). Where a key fills several partitions, TIE is one more key."""
+    rows, size = held(df)
+    parts = -(-(size + rows * SORTED) // TASK_BYTES)
+    if parts <= 1:
+        return divisions, tuple(range(1, divisions.parts))
+    weight, schema, more = row_bytes(df) + SORTED, divisions.schema, ()
+    fine = sampled(df, divisions.keys, parts, weight)
+    if fine.parts < parts:
+        schema, more = StructType([*schema, StructField(TIE, LongType())]), (None,)  # null: no row of the key lies below
+        fine = sampled(_tied(df, Divisions(schema, ())), schema.names, parts, weight)
+    marked = sorted([(_ORDER((*b, *more)), 0, (*b, *more)) for b in divisions.bounds] + [(_ORDER(b), 1, b) for b in fine.bounds], key=lambda m: m[:2])
+    rising = [m for k, m in enumerate(marked) if not k or marked[k - 1][0] < m[0]]
+    return Divisions(schema, tuple(b for _, _, b in rising)), tuple(k + 1 for k, m in enumerate(rising) if m[1] == 0)
+
+
+def _dealt(df: DataFrame, divisions: Divisions, name: str) -> DataFrame:
+    return divisions.numbered(_tied(df, divisions), name).repartitionById(divisions.parts, F.col(name)).drop(TIE)
+
+
 def divided(df: DataFrame, divisions: Divisions, name: str = "part", sort: bool = True) -> DataFrame:
-    """Row by row in the partition of its number, sorted by the keys within it: so by them over all partitions in order."""
-    out = divisions.numbered(df, name).repartitionById(divisions.parts, F.col(name))
-    return out.sortWithinPartitions(*[F.col(f"`{k}`") for k in divisions.keys]) if sort else out
+    """Rows in partitions of refined() divisions, sorted by the keys within them: so by them over all partitions in order. `name`: the division of the partition that the row is really in."""
+    fine, firsts = refined(df, divisions)
+    rows = _dealt(df, fine, name).drop(name)
+    if sort:
+        rows = rows.sortWithinPartitions(*[F.col(f"`{k}`") for k in divisions.keys])
+    of = Divisions(StructType([StructField("_real", IntegerType())]), tuple((k,) for k in firsts))
+    return of.numbered(partition_numbers(rows, "_real"), name).drop("_real")
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "i", parts: int | None = None) -> DataFrame:
@@ -123,14 +160,14 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "i", parts: int |
     joined back to rows that are numbered within their partition. The order should leave no ties: rows that tie get places
     that are theirs alone, in an order that isn't known."""
     spark = df.sparkSession
-    divisions = sampled(df, order, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = dict(divisions.numbered(df.select(*[F.col(f"`{k}`") for k in order]), "_part").groupBy("_part").count().collect())
+    divisions, _ = refined(df, sampled(df, order, parts or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counts = dict(divisions.numbered(_tied(df, divisions).select(*[F.col(f"`{k}`") for k in divisions.keys]), "_part").groupBy("_part").count().collect())
     before, starts = 0, []
     for part in range(divisions.parts):
         starts.append((part, before))
         before += counts.get(part, 0)
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(f"`{k}`") for k in order]))
-    rows = divided(df, divisions, "_part", sort=False).withColumn("_place", place)
+    rows = _dealt(df, divisions, "_part").withColumn("_place", place)
     known = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
     return rows.join(known, "_part").withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_part", "_start", "_place")
 

@@ -48,6 +48,26 @@ def test_rows_lie_in_their_partition_in_order(spark):
     assert sizes.max() < 3 * len(rows) / d.parts
 
 
+@pytest.mark.parametrize("hot", [0, 15_000])
+def test_a_large_division_is_several_partitions(spark, monkeypatch, hot):
+    """No task gets a whole division, nor all rows of one key; the order over all partitions stays."""
+    rows = [(float(k % 997) if k >= hot else 500.5, k) for k in range(20_000)] + [(None, -1), (NAN, -2)]
+    df = spark.createDataFrame(rows, "x double, k long").repartition(4, "k")
+    d = divisions.given(df, "x", [0.0, 500.0, 501.0, 900.0, 1e9])
+    monkeypatch.setattr(divisions, "TASK_BYTES", 1000 * (24 + divisions.SORTED))
+    out = partition_numbers(divisions.divided(df, d, "part"), "real").collect()
+    assert sorted((r["k"], repr(r["x"]), r["part"]) for r in out) == sorted((k, repr(x), d.number((x,))) for x, k in rows)
+    assert np.bincount([r["real"] for r in out]).max() <= 2000
+    assert len({(r["part"], r["real"]) for r in out}) == len({r["real"] for r in out})
+    place = lambda r: (r["part"], r["x"] is not None, r["x"] is not None and r["x"] != r["x"], 0 if r["x"] is None or r["x"] != r["x"] else r["x"])
+    assert [place(r) for r in out] == sorted(map(place, out)) and [r["real"] for r in out] == sorted(r["real"] for r in out)
+    kept = divisions.stored(df, d, shared_folder(spark))
+    assert kept.lookup(spark, 500.5).count() == hot and kept.rows(spark).count() == len(rows)
+    at = sorted(divisions.positions(df, ["x"], parts=2).collect(), key=lambda r: r["i"])
+    assert [r["i"] for r in at] == list(range(len(rows))) and at[0]["x"] is None and repr(at[-1]["x"]) == "nan"
+    assert [r["x"] for r in at[1:-1]] == sorted(r["x"] for r in at[1:-1])
+
+
 def test_boundaries_by_weight_and_hot_keys(spark):
     rows = [(k, 1) for k in range(100)] + [(1000, 900)] + [(2000 + k, 0) for k in range(1000)]
     df = spark.createDataFrame(rows, "k long, w long")
