@@ -9,7 +9,8 @@ of all known words and of an unknown word add up to 1 in every context.
 Features of a class: its bias, the word before (bigram), the word before that (skip), and both (trigram), hashed to
 CONTEXTS buckets. Bigram weights start from counts, then all are moved in ROUNDS of distributed gradient updates: each
 round sums, over the training documents whose hash lies in its share, how often each feature was met and how often the
-model expected it, and moves every weight by the difference of the two logarithms. Tasks read about SHARE_BYTES of text
+model expected it, and moves every weight by the difference of the two logarithms. What the model expects depends on the
+two words before alone, so it is worked out once for each context that a task meets, times how often. Tasks read about SHARE_BYTES of text
 each and are summed as a tree, in whole numbers: the result depends on the documents alone, not on how they are packed,
 on the order in which tasks end or on the number of cores.
 
@@ -47,7 +48,7 @@ from .words import MOST_WORDS, Numbered, ascii_words, per_worker
 TOP, CLASSES, TAIL, BEFORE, CONTEXTS = 4096, 32, 32, 512, 1 << 13
 #: Ends of the rounds of gradient steps, as shares of the training documents: each takes the documents whose hash lies in its share.
 ROUNDS = (1 / 32, 2 / 32, 4 / 32, 8 / 32, 16 / 32, 1.0)
-#: Size of the steps, occurrences added to those counted, tokens whose gradients are added up at once, and the unit that they are rounded to; STEP * UNIT fits 31 bits.
+#: Size of the steps, occurrences added to those counted, contexts whose gradients are added up at once, and the unit that they are rounded to.
 RATE, PRIOR, STEP, UNIT = 0.5, 2.0, 4096, 1 << 18
 #: Bytes of text that one task of a round reads: it sends all weights' sums once.
 SHARE_BYTES = 64 << 20
@@ -222,7 +223,15 @@ class Model:
         one[starts] = self.n
         two[starts] = self.n
         two[starts[sizes > 1] + 1] = self.n
-        return one, two, (mix(one.astype(U) * U(1 << 20) + two.astype(U)) % U(CONTEXTS)).astype(np.int64)
+        return one, two, self.bucket(one, two)
+
+    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mix(one.astype(U) * U(1 << 20) + two.astype(U)) % U(CONTEXTS)).astype(np.int64)
+
+    @property
+    def width(self) -> int:
+        """Codes that there are: one * width + two is the number of a context."""
+        return self.n + 1 + TAIL
 
     def start(self, pairs: np.ndarray):
         """Classes, biases and bigram weights from counts. pairs: (word before, below BEFORE or any other; word or n + tail class)."""
@@ -268,36 +277,52 @@ class Model:
         one, two, both = self.contexts(w, sizes)
         c = self.classes(w)
         out = -np.log(np.concatenate([np.maximum(self.class_mass, 1), self.tail_mass]))[c]
-        for a in range(0, w.size, 1 << 14):
-            i = slice(a, a + (1 << 14))
-            x = self.weights(one[i], two[i], both[i])
-            most = x.max(axis=1)
-            own = x[np.arange(x.shape[0]), c[i]] - most
-            x -= most[:, None]
-            out[i] += own - np.log(np.exp(x, out=x).sum(axis=1))
-        return out / np.log(10)
+        met, at = np.unique(one * self.width + two, return_inverse=True)
+        most, total = np.empty((2, met.size), np.float32)
+        for a in range(0, met.size, STEP):
+            i = slice(a, a + STEP)
+            first, second = np.divmod(met[i], self.width)
+            x = self.weights(first, second, self.bucket(first, second))
+            most[i] = x.max(axis=1)
+            x -= most[i, None]
+            total[i] = np.log(np.exp(x, out=x).sum(axis=1))
+        own = self.A[one, c] + self.B[two, c] + self.T[both, c] + self.b[c]  # as weights() adds them
+        return (out + ((own - most[at]) - total[at])) / np.log(10)
 
     def log10(self, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 likelihood of each token, by its hash; counts: its occurrences in training."""
         return np.log10(counts + 1.0) + self.chances(self.codes(h), sizes)
 
-    def occurrences(self, w: np.ndarray, sizes: np.ndarray, sums: list[np.ndarray]):
-        """Adds up, for each row and class of A, B and T, how often the class was met (sums[0:3]) and was to be expected (sums[3:6], in units of 1 / UNIT, so that sums are whole numbers and come out the same in any order)."""
+    def met(self, w: np.ndarray, sizes: np.ndarray, sums: list[np.ndarray], seen: np.ndarray):
+        """Adds up, for each row and class of A, B and T, how often the class was met (sums[0:3]), and how often each context was (seen, by its number)."""
         keys = self.contexts(w, sizes)
-        small = [k.astype(np.uint16) for k in keys]
         c = self.classes(w)
         for k, met in zip(keys, sums):
             met.ravel()[:] += np.bincount(k * ALL + c, minlength=met.size)
-        for a in range(0, w.size, STEP):
-            i = slice(a, a + STEP)
-            g = self.weights(*(k[i] for k in keys))
+        contexts, times = np.unique(keys[0] * self.width + keys[1], return_counts=True)
+        seen[contexts] += times.astype(np.uint32)
+
+    def occurrences(self, w: np.ndarray, sizes: np.ndarray, sums: list[np.ndarray]):
+        """met() and expected() of these texts alone."""
+        seen = np.zeros(self.width**2, np.uint32)
+        self.met(w, sizes, sums, seen)
+        self.expected(seen, sums)
+
+    def expected(self, seen: np.ndarray, sums: list[np.ndarray]):
+        """Adds up how often each class was to be expected (sums[3:6]) in the contexts seen, in units of 1 / UNIT, so that sums are whole numbers and come out the same in any order."""
+        contexts = np.flatnonzero(seen)
+        for a in range(0, contexts.size, STEP):
+            i = contexts[a : a + STEP]
+            one, two = np.divmod(i, self.width)
+            keys = one, two, self.bucket(one, two)
+            g = self.weights(*keys)
             g -= g.max(axis=1, keepdims=True)
             np.exp(g, out=g)
             g *= UNIT / g.sum(axis=1, keepdims=True)
-            g = np.rint(g, out=g).astype(np.int32)
-            for k, expected in zip(small, sums[3:]):
-                order = np.argsort(k[i], kind="stable")  # of 16 bits: a radix sort
-                own = k[i][order]
+            g = np.rint(g, out=g).astype(np.int64) * seen[i, None]
+            for k, expected in zip(keys, sums[3:]):
+                order = np.argsort(k.astype(np.uint16), kind="stable")  # of 16 bits: a radix sort
+                own = k[order]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 expected[own[first]] += np.add.reduceat(g[order], first, axis=0)
 
@@ -444,11 +469,13 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, text: str = "text", doc_
     def gather(lo, hi):
         def run(batches):
             sums = [np.zeros(s, np.int64) for s in 2 * shapes]
+            seen = np.zeros(model.width**2, np.uint32)  # 17 million numbers at most
             for batch in batches:
                 for body in batch.column("body").to_pylist():
                     w, sizes = training(body, lo, hi)
                     if w.size:
-                        model.occurrences(w, sizes, sums)
+                        model.met(w, sizes, sums, seen)
+            model.expected(seen, sums)
             if sums[0].any():
                 for k, x in enumerate(sums):
                     yield mail([(k, TaskContext.get().partitionId(), blob(tight(x.ravel())))])

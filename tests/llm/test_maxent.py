@@ -59,6 +59,38 @@ def test_rounds_go_uphill():
         last = now
 
 
+def test_expectations_once_for_each_context(monkeypatch):
+    """Sums are those of every token; the weights of a context are worked out once."""
+    from loomgrid.llm import op08_maxent as op
+
+    rng = np.random.default_rng(0)
+    words = np.arange(50, dtype=np.uint64) << np.uint64(32)
+    w, sizes = rng.integers(0, 50 + 1 + op.TAIL, 9000), np.full(90, 100)
+    w[w == 50] = 0
+    m = op.Model(words, np.arange(50.0, 0, -1), np.full(op.TAIL, 2000.0))
+    m.start(rng.integers(0, 9, (op.BEFORE + 2 + op.TAIL, 50 + op.TAIL)).astype(float))
+    for x in (m.A, m.B, m.T):
+        x += rng.standard_normal(x.shape).astype(np.float32)
+    w[:4500] = w[4500:]
+    keys, c = m.contexts(w, sizes), m.classes(w)
+    x = m.weights(*keys)
+    x -= x.max(axis=1, keepdims=True)
+    own, e = x[np.arange(w.size), c].copy(), np.exp(x)
+    g = np.rint(e * (op.UNIT / e.sum(axis=1, keepdims=True))).astype(np.int64)
+    want = [np.zeros(y.shape, np.int64) for y in 2 * [m.A, m.B, m.T]]
+    for k, met, expected in zip(keys, want, want[3:]):
+        np.add.at(met, (k, c), 1)
+        np.add.at(expected, k, g)
+    rows, weights = [], op.Model.weights
+    monkeypatch.setattr(op.Model, "weights", lambda self, *k: rows.append(k[0].size) or weights(self, *k))
+    got = [np.zeros_like(y) for y in want]
+    m.occurrences(w, sizes, got)
+    distinct = len(set(zip(keys[0].tolist(), keys[1].tolist())))
+    assert all((a == b).all() for a, b in zip(got, want)) and sum(rows) == distinct < w.size
+    share = np.log(np.concatenate([np.maximum(m.class_mass, 1), m.tail_mass]))[c]
+    assert m.chances(w, sizes) == pytest.approx((own - np.log(e.sum(axis=1)) - share) / np.log(10), abs=1e-6) and sum(rows) == 2 * distinct
+
+
 @pytest.mark.parametrize("tasks", [1, 40, 1100])
 def test_sums_as_a_tree(spark, tasks):
     from loomgrid.llm.common import MAIL, blob, mail
