@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +53,16 @@ def moved(spark: SparkSession) -> dict[str, int]:
 EXCHANGES = "stage int, tasks int, input_rows long, read_rows long, read_bytes long, largest_read_rows long, median_read_rows double, written_rows long, written_bytes long, memory_spilled_bytes long, disk_spilled_bytes long"
 
 
+def last_attempt(store, stage: int):
+    """What Spark knows of a stage, or None where it has dropped it: of the stages beyond spark.ui.retainedStages the skipped ones go first."""
+    try:
+        return store.lastStageAttempt(stage)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "NoSuchElementException":
+            raise
+        return None
+
+
 def exchanges(spark: SparkSession, action: Callable[[], object]) -> DataFrame:
     """EXCHANGES of the jobs that an action starts, a row for each stage that ran: what it read from and wrote to exchanges, the largest and the median task's share of what was read, and spill.
 
@@ -72,8 +83,10 @@ def exchanges(spark: SparkSession, action: Callable[[], object]) -> DataFrame:
     at = gateway.new_array(gateway.jvm.double, 2)
     at[0], at[1] = 0.5, 1.0
     rows = []
-    for stage in stages:
-        x = store.lastStageAttempt(stage)
+    known = {stage: x for stage in stages if (x := last_attempt(store, stage)) is not None}
+    if len(stages) - len(known) > sum(int(j.numSkippedStages()) for j in own):
+        raise RuntimeError("Spark has dropped stages that ran: raise spark.ui.retainedStages")
+    for stage, x in known.items():
         if x.status().toString() != "COMPLETE":  # skipped: an earlier one's files were at hand
             continue
         found = store.taskSummary(stage, x.attemptId(), at)

@@ -108,3 +108,21 @@ def test_exchanges_of_one_action(spark):
     with pytest.raises(ZeroDivisionError):
         workers.exchanges(spark, lambda: 1 / 0)
     assert workers.exchanges(spark, lambda: None).count() == 0
+
+
+def test_stages_that_spark_has_dropped(spark, monkeypatch):
+    """Skipped ones may be missing, those that ran may not."""
+    rows = spark.range(100).repartition(3, "id").groupBy("id").count()
+    go = lambda: rows.write.format("noop").mode("overwrite").save()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    assert workers.last_attempt(store, 10**6) is None
+    found = workers.last_attempt
+
+    def without(status):
+        return lambda store, stage: x if (x := found(store, stage)) is not None and (x.status().toString() == "COMPLETE") != status else None
+
+    monkeypatch.setattr(workers, "last_attempt", without(False))
+    assert workers.exchanges(spark, go).count() >= 2
+    monkeypatch.setattr(workers, "last_attempt", without(True))
+    with pytest.raises(RuntimeError, match="retainedStages"):
+        workers.exchanges(spark, go)
