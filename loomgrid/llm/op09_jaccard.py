@@ -4,14 +4,17 @@ Equal sets are one class (a 128-bit hash of the set). Then:
 
 1. Sharing. With similarity t, a set of n has at least n - floor((1 - t) n) shingles in common with any partner. Each
    class sends the shingles below a bound on their hash (all, for small sets) to the hash's part, which answers whether
-   another class of a fitting size has it too. Classes that lack too many shared shingles have no link at all. The
-   bound leaves twice as many shingles as may be lacking, so a shared passage or common lines alone keep no class.
+   another class of a fitting size has it too, and with a label: the least class that has it and is linked with this
+   one by a chain of fitting sizes. Classes that lack too many shared shingles have no link at all. The bound leaves
+   twice as many shingles as may be lacking, so a shared passage or common lines alone keep no class.
 2. Tiles. The classes left are put in bands of sizes, t ** WIDE apart in ratio, so that partners are in the same band or
    in neighbouring ones; a class so near to the band below that it may have partners there is that band's guest too.
-   Bands are divided into tiles by hashes of shingles. Two linked classes share one of the floor((1 - t) n) + 1 least
-   hashes of each, so a class goes to the tiles of those of them that are shared: never to more than it has such
-   shingles, however many tiles there are. A tile of more than MOST classes, or of sets of more than MOST_BYTES, is
-   divided into blocks, and pairs of blocks are tiles of their own.
+   Bands are divided into tiles by labels. Two linked classes have the label of each shingle that they share, so a class
+   goes to the tiles of its labels (see kept_labels() for those it may leave out). Shingles that the same classes share
+   have one label: a class has a label for each group of copies or passage that it takes part in, not for each shingle,
+   and the tiles of a band are as many as these copies of classes fill, so that sets move a few times in tables of any
+   size. A tile of more than MOST classes, or of sets of more than MOST_BYTES, is divided into blocks, and pairs of
+   blocks are tiles of their own.
 3. In a tile, bitmaps of hashed shingles (parity, so that the bits in which two differ bound from below the shingles
    in which the sets differ, and so the overlap from above) leave few pairs, of which the sorted sets themselves are
    intersected. Pairs that are already connected within the tile are skipped: the components stay the same.
@@ -32,7 +35,7 @@ from .common import NULL_ID, at_packs, at_parts, blob, dropped, mix, pack_list,
 from .components import components
 from .words import Hashes, ascii_words, per_worker
 
-#: Classes for each tile of a band, classes of a tile beyond which it is divided, widths of bands, and the size up to which all shingles of a set are sent.
+#: Classes (copies of them) for each tile of a band, classes of a tile beyond which it is divided, widths of bands, and the size up to which all shingles of a set are sent.
 BLOCK, MOST, WIDE, SMALL = 4096, 8192, 4, 64
 #: Bytes of a tile's sets beyond which it is divided too: a task holds two blocks.
 MOST_BYTES = 64 << 20
@@ -120,6 +123,26 @@ def lead(n: int, num: int, den: int) -> int:
     return min(n, lacking(n, num, den) + 1)
 
 
+def kept_labels(labels: np.ndarray, hit: np.ndarray, below: int, n: int, num: int, den: int, fitting: int) -> np.ndarray:
+    """The labels by which a set of n meets its partners, of those of its shared shingles.
+
+    labels, hit: of the shingles that were sent, least hash first; below: how many of them lie below the bound.
+    Sets of less than `fitting` meet partners of less than fitting / t, so the shingles of both leads do. A larger set
+    lacks lacking(n) at most, so it shares m = below - lacking(n) shingles below the bound, or more, with any partner:
+    the same ones seen from either side, so the larger m holds for both. A set leaves out labels of less than m / 2 of
+    them in all. Then both together leave out less than the larger m, and one shingle is left whose label neither does.
+    Between these two are sizes with partners of either kind, which leave out none. A set of too few below the bound has
+    sent its lead, and leaves out none: a partner that has left out some meets it below the bound, others by the lead."""
+    if n < fitting:
+        p = lead(n, num, den)
+        return np.unique(labels[:p][hit[:p]])
+    kinds, counts = np.unique(labels[hit], return_counts=True)
+    if n < fitting * den // num + 2:
+        return kinds
+    order = np.argsort(counts, kind="stable")
+    return kinds[order[np.cumsum(counts[order]) > (below - lacking(n, num, den) - 1) // 2]]
+
+
 def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str, keep_rows: bool):
     """(packs, documents (pack, place, doc_id, n, class, and for one document of each pack and class that may have links: near, body), number of documents)."""
     spark = docs.sparkSession
@@ -141,8 +164,8 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
         return list({set_key(s): i for i, s in reversed(list(enumerate(sets))) if s.size}.values())[::-1]
 
     def sent(sets, rows):
-        """(document's place in rows, hash) of what is sent, one after another."""
-        parts = [sets[i][: np.searchsorted(sets[i], sent_below(sets[i].size, fitting), "right")] for i in rows]
+        """(document's place in rows, hash) of what is sent, one after another: all below the bound, and the lead."""
+        parts = [sets[i][: max(int(np.searchsorted(sets[i], sent_below(sets[i].size, fitting), "right")), lead(sets[i].size, num, den))] for i in rows]
         return np.repeat(np.arange(len(rows)), [x.size for x in parts]), np.concatenate(parts) if parts else np.zeros(0, U)
 
     def shares(h):
@@ -159,20 +182,20 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
         sizes = np.array([sets[i].size for i in rows], np.int64)
         for part, i in shares(h):
             held, at = np.unique(of[i], return_inverse=True)
-            yield part, len(i).to_bytes(4, "little") + h[i].tobytes() + blob(np.diff(at, prepend=0).astype(np.int32), keys[held], sizes[held])
+            yield part, len(i).to_bytes(4, "little") + (h[i] >> U(32)).astype(np.uint32).tobytes() + blob(np.diff(at, prepend=0).astype(np.int32), keys[held], sizes[held])
 
     def answer(pack_ids, got):
         hs, ks, ns, counts = [], [], [], []
         for body in got:
             n = int.from_bytes(body[:4], "little")
-            hs.append(np.frombuffer(body, U, n, 4))
-            step, keys, sizes = unblob(body[4 + 8 * n :])
+            hs.append(np.frombuffer(body, np.uint32, n, 4))  # the other half is the part, nearly: hashes taken for equal wrongly are a few in ten thousand, and lose no link
+            step, keys, sizes = unblob(body[4 + 4 * n :])
             at = np.cumsum(step)
             ks.append(keys[at])
             ns.append(sizes[at])
             counts.append(n)
         h, key, size = map(np.concatenate, (hs, ks, ns))
-        told = np.zeros(h.size, bool)
+        told, label = np.zeros(h.size, bool), np.zeros(h.size, np.uint32)
         by = np.argsort(h, kind="stable")
         same = np.diff(h[by]) == 0
         shared = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
@@ -186,8 +209,12 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
             of = np.cumsum(np.concatenate([[0], new]))
             fits = (h[one[:-1]] == h[one[1:]]) & (size[one[:-1]] * den >= size[one[1:]] * num)
             told[order] = (np.concatenate([[False], fits]) | np.concatenate([fits, [False]]))[of]
-        for p, x in zip(pack_ids.tolist(), np.split(told, np.cumsum(counts)[:-1])):
-            yield p, blob(np.packbits(x))
+            chains = np.flatnonzero(np.concatenate([[True], ~fits]))
+            least = np.minimum.reduceat(key[one], chains) & U(0xFFFFFFFF)
+            label[order] = np.repeat(least, np.diff(chains, append=one.size))[of]
+        ends = np.cumsum(counts)[:-1]
+        for p, x, y in zip(pack_ids.tolist(), np.split(told, ends), np.split(label, ends)):
+            yield p, blob(np.packbits(x), y[x])
 
     replies = written(at_parts(to_parts(source, ask), n_parts, answer), "shared")
     settle(spark)
@@ -197,9 +224,11 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
         ids, sets = sets_of(body)
         rows = firsts(sets)
         of, h = sent(sets, rows)
-        hit = np.zeros(h.size, bool)
+        hit, labels = np.zeros(h.size, bool), np.zeros(h.size, np.uint32)
         for part, i in shares(h):
-            hit[i] = np.unpackbits(unblob(told[0][part])[0], count=i.size).astype(bool)
+            bits, own = unblob(told[0][part])
+            hit[i] = np.unpackbits(bits, count=i.size).astype(bool)
+            labels[i[hit[i]]] = own
         out, near = [None] * len(sets), [None] * len(sets)
         ends = np.searchsorted(of, np.arange(len(rows) + 1))
         for r, i in enumerate(rows):
@@ -207,23 +236,20 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str
             tested = int(np.searchsorted(h[a:b], sent_below(s.size, few), "right"))
             if tested - int(hit[a : a + tested].sum()) > lacking(s.size, num, den):
                 continue
-            p = lead(s.size, num, den)
-            shared = np.ones(p, bool)  # what was not asked may be shared
-            shared[: min(p, b - a)] = hit[a : min(b, a + p)]
-            if shared.any():
-                out[i], near[i] = s.tobytes(), s[:p][shared].view(np.int64).tolist()
+            if (own := kept_labels(labels[a:b], hit[a:b], tested, s.size, num, den, fitting)).size:
+                out[i], near[i] = s.tobytes(), own.view(np.int32).tolist()
         keys = [set_key(s) if s.size else None for s in sets]
         n = len(sets)
-        return pa.table({"pack": pa.array([pack] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n": pa.array([s.size for s in sets], pa.int64()), "class": pa.array(keys, pa.binary()), "near": pa.array(near, pa.list_(pa.int64())), "body": pa.array(out, pa.binary())})
+        return pa.table({"pack": pa.array([pack] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n": pa.array([s.size for s in sets], pa.int64()), "class": pa.array(keys, pa.binary()), "near": pa.array(near, pa.list_(pa.int32())), "body": pa.array(out, pa.binary())})
 
-    all_docs = written(at_packs(source, [replies], keep, "pack long, place int, doc_id long, n long, class binary, near array<long>, body binary"), "sets")
+    all_docs = written(at_packs(source, [replies], keep, "pack long, place int, doc_id long, n long, class binary, near array<int>, body binary"), "sets")
     dropped(replies)
     settle(spark)
     return source, all_docs, total["docs"] or 0
 
 
-def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(class, component: (least, class) of the least class it is linked with) of classes with links."""
+def _tiles(all_docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(to: band, tile, i, j: blocks, class, least, n, upper, block, body): a row for each copy of a class that may have links."""
     step = WIDE * math.log(den / num) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
     below = F.floor(F.log(F.col("n") * (num / den * (1 - 1e-9))) / F.lit(step)).cast("int")  # the band of the least partner
@@ -233,8 +259,10 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
     def hosted(classes):
         return classes.withColumn("band", band).withColumn("_x", F.explode(sides)).select("*", "_x.*").drop("_x", "band")
 
-    # bands of sizes are a hundred at most; each has a tile for every BLOCK classes and guests
-    bands = hosted(own.select("class", "n").distinct()).groupBy("to").agg(F.ceil(F.count("*") / BLOCK).alias("tiles"), F.min("upper").alias("guests")).where("not guests").drop("guests")
+    # bands of sizes are a hundred at most; one that is more than a tile has a tile for every BLOCK copies of classes and guests
+    copies, size = F.size("near"), F.col("n") * 8
+    filled = lambda times: F.greatest(F.sum(times) / BLOCK, F.sum(times * size) * 2 / MOST_BYTES)
+    bands = hosted(own.select("class", "n", "near").dropDuplicates(["class"])).groupBy("to").agg(F.when(filled(F.lit(1)) <= 1, 1).otherwise(F.ceil(filled(copies))).cast("long").alias("tiles"), F.min("upper").alias("guests")).where("not guests").drop("guests")
     bands = written(bands, "bands")
     bands = small(bands, bands.count())
 
@@ -248,6 +276,11 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
     tiles = put(classes).join(small(full, full.count()), ["to", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     tiles = tiles.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_x"), "j": F.greatest("block", "_x")})
+    return tiles.select("to", "tile", "i", "j", "class", "least", "n", "upper", "block", "body")
+
+
+def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(class, component: (least, class) of the least class it is linked with) of classes with links."""
 
     def compare(group: pa.Table) -> pa.Table:
         keys, sets = group.column("class").to_pylist(), [np.frombuffer(x, U) for x in group.column("body").to_pylist()]
@@ -256,7 +289,7 @@ def _components(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         ends = {f"{c}{end}": pa.array([x[pair[at]] for pair in found], kind) for at, end in enumerate("ab") for c, x, kind in (("least_", least, pa.int64()), ("class_", keys, pa.binary()))}
         return pa.table(ends)
 
-    links = tiles.select("to", "tile", "i", "j", "class", "least", "n", "upper", "block", "body").groupBy("to", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
+    links = _tiles(all_docs, num, den).groupBy("to", "tile", "i", "j").applyInArrow(compare, "least_a long, class_a binary, least_b long, class_b binary")
     node = lambda end: F.struct(F.col(f"least_{end}").alias("least"), F.col(f"class_{end}").alias("class")).alias(end)
     return components(links.select(node("a"), node("b"))).select(F.col("node.class").alias("class"), "component")
 

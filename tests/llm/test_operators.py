@@ -242,6 +242,55 @@ def test_jaccard(docs, none, monkeypatch, k, num, block, most_bytes):
     assert op.linked(none).count() == 0
 
 
+def test_jaccard_copies(spark, monkeypatch):
+    """Groups of near copies in bands of many tiles: a class goes to few of them, with the links of all pairs."""
+    from loomgrid.llm import op09_jaccard as op
+    from loomgrid.plans.workers import exchanges
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        words = rng.integers(1 << 40, size=rng.integers(60, 320))
+        for _ in range(4):
+            own = np.where(rng.random(words.size) < rng.choice([0.01, 0.03, 0.05]), rng.integers(1 << 40, size=words.size), words)
+            rows.append((len(rows), " ".join(map("w{}".format, own))))
+    monkeypatch.setattr(op, "BLOCK", 8)
+    monkeypatch.setattr(op, "MOST", 16)
+    found = []
+    moved = exchanges(spark, lambda: found.extend(got(op.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100), "doc_id", "n_shingles", "component_id")))
+    most = max(r["written_rows"] for r in moved.collect())
+    want = brute_links(rows, 3, 80, 100)
+    assert found == want and 60 < len({c for *_, c in want}) < 200
+    assert most <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_jaccard_labels(num):
+    """Linked sets keep a common label, whatever the labels of their shared shingles and whichever others have been found shared."""
+    from loomgrid.llm import op09_jaccard as op
+
+    rng, den, tried, cut = np.random.default_rng(num), 100, 0, 0
+    few, fitting = op.SMALL, op.SMALL * den // num + 2
+    bound = lambda n, limit: 2**64 - 1 if n < limit else min(2**64 - 1, int(2 * (den - num) / den * 2**64))
+    for _ in range(3000):
+        common = int(rng.integers(20, 400))
+        own = rng.multinomial(common * den // num - common, [f := rng.choice([0, 0.2, 0.5]), 1 - f])
+        h = rng.permutation(rng.integers(2**64, size=common + own.sum(), dtype=np.uint64))
+        kinds, whole = int(rng.choice([1, 3, 30, 10**6])), rng.random()
+        labels, shared = lambda x: (x % np.uint64(kinds)).astype(np.uint32), np.concatenate([h[:common], h[common:][rng.random(own.sum()) < whole]])  # noqa: E731, B023
+        kept = []
+        for s in (h[: common + own[0]], np.delete(h, np.s_[common : common + own[0]])):
+            s, n = np.sort(s), s.size
+            sent = s[: max(int(np.searchsorted(s, np.uint64(bound(n, fitting)), "right")), op.lead(n, num, den))]
+            below, hit = int(np.searchsorted(sent, np.uint64(bound(n, few)), "right")), np.isin(sent, shared)
+            assert below - hit[:below].sum() <= op.lacking(n, num, den)
+            kept.append(op.kept_labels(labels(sent), hit, below, n, num, den, fitting))
+            cut += kept[-1].size < np.unique(labels(sent[hit])).size
+        assert np.intersect1d(*kept).size
+        tried += 1
+    assert tried == 3000 and cut > 500
+
+
 def test_components(spark):
     from loomgrid.llm.components import components
 
